@@ -106,10 +106,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/{name}.arrow")
                 writer = _SequenceWriter(sink, length, vocab_size)
-            memo.learn(texts)
             counts = np.empty(len(texts), dtype="<i8")
-            for i, text in enumerate(texts):
-                ids = np.frombuffer(memo.ids(text) + end_id.to_bytes(4, "little"), dtype="<u4")
+            for i, found in enumerate(memo.ids(texts)):
+                ids = np.frombuffer(found + end_id.to_bytes(4, "little"), dtype="<u4")
                 writer.add(ids)
                 counts[i] = len(ids)
             starts = at + np.cumsum(counts) - counts

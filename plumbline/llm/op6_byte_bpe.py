@@ -39,46 +39,50 @@ class PrefixEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pairs_limit: int = 2_000_000):
         self.ranks, self.token = ranks, {r: t for t, r in ranks.items()}
+        self.id_bytes = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.reachable: dict[bytes, bool] = {}
+        #: Tokens that merging their own bytes yields; the others never appear inside a match.
+        self.usable = {t for t in ranks if self.merged(t) == [t]}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.pairs_limit = pairs_limit
+        self.limit = pairs_limit
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE of a few bytes: merge the lowest-ranked adjacent pair until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        parts, rank, none = [data[i : i + 1] for i in range(len(data))], self.ranks.get, 1 << 60
         while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+            found = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(found)
+            if best == none:
                 break
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _reachable(self, token: bytes) -> bool:
-        if (known := self.reachable.get(token)) is None:
-            known = self.reachable[token] = self.merged(token) == [token]
-        return known
-
     def _fits(self, left: bytes, right: bytes) -> bool:
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) >= self.pairs_limit:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
-        return known
-
-    def last_token(self, data: bytes, end: int, rows: list[bytes]) -> bytes:
-        """The last token of data[:end], given the rows of shorter prefixes (rows[0] is b'')."""
-        for start in range(max(0, end - self.longest), end):
-            token = data[start:end]
-            if token in self.ranks and self._reachable(token) and (not start or self._fits(rows[start], token)):
-                return token
-        raise ValueError(f"byte {data[end - 1]} has no token")
+        """Whether the encoding of the two tokens' bytes is those two tokens."""
+        if len(self.fits) >= self.limit:
+            self.fits.clear()
+        self.fits[left, right] = ok = self.merged(left + right) == [left, right]
+        return ok
 
     def table(self, data: bytes, rows: list[bytes] | None = None) -> list[bytes]:
         """Rows for every prefix of ``data``, continuing from ``rows`` of a prefix of it."""
         rows = [b""] if rows is None else rows
+        usable, fits, longest = self.usable, self.fits, self.longest
         for end in range(len(rows), len(data) + 1):
-            rows.append(self.last_token(data, end, rows))
+            for start in range(end - longest if end > longest else 0, end):
+                token = data[start:end]
+                if token in usable:
+                    if not start:
+                        break
+                    ok = fits.get((rows[start], token))
+                    if ok is None:
+                        ok = self._fits(rows[start], token)
+                    if ok:
+                        break
+            else:
+                raise ValueError(f"byte {data[end - 1]} has no token")
+            rows.append(token)
         return rows
 
     def edited(self, rows: list[bytes], data: bytes, start: int, stop: int, new: bytes) -> tuple[list[bytes], int]:
@@ -90,7 +94,7 @@ class PrefixEncoder:
         now, after = data[:start] + new + data[stop:], list(rows[: start + 1])
         shift, same = len(now) - len(data), 0
         for end in range(start + 1, len(now) + 1):
-            after.append(self.last_token(now, end, after))
+            self.table(now[:end], after)
             old = end - shift
             same = same + 1 if old > stop and old < len(rows) and rows[old] == after[-1] else 0
             if same >= self.longest:
@@ -110,6 +114,23 @@ class PrefixEncoder:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else [self.ranks[t] for t in self.tokens(self.table(data))]
 
+    def encode_all(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Id bytes of distinct matches. In sorted order a word appends to a prefix that it shares
+        with the one before, whose rows it takes over."""
+        out, last, rows = {}, b"", [b""]
+        for word in sorted(words):
+            whole = self.id_bytes.get(word)
+            if whole is not None:
+                out[word] = whole
+                continue
+            same, most = 0, min(len(word), len(last))
+            while same < most and word[same] == last[same]:
+                same += 1
+            del rows[same + 1 :]
+            rows, last = self.table(word, rows), word
+            out[word] = b"".join([self.id_bytes[t] for t in self.tokens(rows)])
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -124,14 +145,19 @@ def codec(ranks_path: str, pattern: str) -> tuple[PrefixEncoder, PieceMemo]:
         # White space is the Unicode property, as in the pattern's own regular expression library.
         matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            out = []
-            for piece in pieces:
-                ids = [i for m in matches(piece) for i in encoder.encode(m.encode("utf-8", "surrogatepass"))]
-                out.append(np.asarray(ids, dtype="<u4").tobytes())
-            return out
+        words: dict[bytes, bytes] = {}
 
-        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode, limit=700_000)
+        def encode(pieces: list[str]) -> list[bytes]:
+            parts = [[m.encode("utf-8", "surrogatepass") for m in matches(piece)] for piece in pieces]
+            new = set().union(*parts).difference(words)
+            if len(words) + len(new) > 1_200_000:
+                words.clear()
+                new = set().union(*parts)
+            words.update(encoder.encode_all(new))
+            get = words.__getitem__
+            return [b"".join(map(get, x)) for x in parts]
+
+        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode)
     return _codecs[ranks_path, pattern]
 
 
@@ -143,8 +169,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         encoder, memo = codec(ranks_path, pattern)
         for batch in batches:
             n, ids_sha, text_sha, kept = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = memo.ids(text)
+            for ids in memo.ids(batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from plumbline.llm.op3_token_files import op3_token_files
 from plumbline.llm.op6_byte_bpe import op6_byte_bpe
+from plumbline.llm.op7_pii import op7_pii
+from plumbline.llm.op9_secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op6_byte_bpe, op7_pii, op9_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,8 @@ its pieces' tokens. Natural text repeats its pieces, so a worker encodes each di
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 #: A space with white space on both sides: the one case in which a piece's neighbours matter.
 _AMBIGUOUS = re.compile(r"\s \s")
@@ -37,27 +38,20 @@ class PieceMemo:
     it holds ``limit`` pieces, so its memory is bounded whatever the corpus.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_200_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def ids(self, text: str) -> bytes:
-        pieces, known = space_pieces(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def learn(self, texts: Iterable[str]) -> None:
-        """Encode a batch's new pieces in one call."""
-        new: set[str] = set()
-        for text in texts:
-            new.update(space_pieces(text))
-        self._learn(new)
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = list(set(pieces).difference(self.known))
-        if len(self.known) + len(new) > self.limit and self.known:
-            self.known.clear()
-            new = list(set(pieces))
-        self.known.update(zip(new, self.encode(new), strict=True))
+    def ids(self, texts: Iterable[str], together: int = 512) -> Iterator[bytes]:
+        """The ids of each text; new pieces of ``together`` texts are encoded in one call."""
+        texts = iter(texts)
+        while group := [space_pieces(t) for t in islice(texts, together)]:
+            new = set().union(*group).difference(self.known)
+            if new:
+                if len(self.known) + len(new) > self.limit:
+                    self.known.clear()
+                    new = set().union(*group)
+                found = sorted(new)
+                self.known.update(zip(found, self.encode(found), strict=True))
+            get = self.known.__getitem__
+            for pieces in group:
+                yield b"".join(map(get, pieces))
