@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import ids_and_texts, table
 
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
+#: A document is kept when the top grade is at least this likely.
+KEEP = 0.4
 BITS = 18
 #: Grades of the ratings table: 0 poor, 1 well written but toxic, 2 good.
 GRADES = 3
@@ -91,15 +93,25 @@ class OrdinalModel:
         return np.array([float(self.weights[b].sum()) for b in buckets])
 
 
-def fit(buckets: list[np.ndarray], grades: np.ndarray, k: int = GRADES, steps: int = 150, rate: float = 0.05, ridge: float = 2e-4, least: int = 4) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam; buckets of fewer than ``least`` documents stay at 0."""
+def fit(buckets: list[np.ndarray], grades: np.ndarray, k: int = GRADES, steps: int = 250, rate: float = 0.1, ridge: float = 1e-4, least: int = 10, evidence: float = 6.0) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam.
+
+    A bucket keeps weight 0 unless ``least`` documents have it and their share of some grade lies
+    ``evidence`` standard errors from that grade's share in the sample: rare words would only add
+    noise to long documents.
+    """
     size = 1 << BITS
     if not len(grades):
         return OrdinalModel(np.zeros(size), np.full(k - 1, -20.0))
     flat, lengths = np.concatenate(buckets), np.array([len(b) for b in buckets])
-    common = np.bincount(flat, minlength=size) >= least
     row = np.repeat(np.arange(len(grades)), lengths)
-    use = common[flat]
+    seen = np.bincount(flat, minlength=size)
+    telling = np.zeros(size, bool)
+    for j in range(k):
+        rate_j = np.mean(grades == j)
+        spread = np.sqrt(np.maximum(seen * rate_j * (1 - rate_j), 1e-9))
+        telling |= np.abs(np.bincount(flat, grades[row] == j, size) - seen * rate_j) >= evidence * spread
+    use = (telling & (seen >= least))[flat]
     flat, row = flat[use], row[use]
     names, flat = np.unique(flat, return_inverse=True)
     n = len(grades)
@@ -187,4 +199,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on(docs, graded(table(spark, sf_dir, "labels")))
     out = scored(ids_and_texts(docs), model)
-    return out.select("doc_id", "expected_grade", "p_top", (F.col("p_top") >= 0.5).alias("kept"))
+    return out.select("doc_id", "expected_grade", "p_top", (F.col("p_top") >= KEEP).alias("kept"))
