@@ -172,7 +172,7 @@ def matches(block: Items, words: list[bytes], enough: float, threshold: float) -
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, enough: float = 0.15, share: float = 0.75, least: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, enough: float = 0.15, share: float = 0.75, least: int = 8) -> DataFrame:
     """doc_id, item_id, score, end_word: documents that hold a copy of an item, edited or not."""
     spark, docs = docs.sparkSession, ids_and_texts(docs)
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
