@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.op1_topk import op1_topk
 from plumbline.llm.op10_decontaminate import op10_decontaminate
+from plumbline.llm.op2_repeats import op2_repeats
 from plumbline.llm.op3_token_files import op3_token_files
 from plumbline.llm.op4_quality import op4_quality
 from plumbline.llm.op5_near_duplicates import op5_near_duplicates
@@ -12,7 +13,7 @@ from plumbline.llm.op7_pii import op7_pii
 from plumbline.llm.op8_lm import op8_lm
 from plumbline.llm.op9_secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_token_files, op4_quality, op5_near_duplicates, op6_byte_bpe, op7_pii, op8_lm, op9_secrets, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_token_files, op4_quality, op5_near_duplicates, op6_byte_bpe, op7_pii, op8_lm, op9_secrets, op10_decontaminate)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}
