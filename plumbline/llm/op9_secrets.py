@@ -95,6 +95,20 @@ def natural_log_odds(token: str, encoding: str, log_pairs: np.ndarray) -> float:
     return -len(token) * math.log10(len(ALPHABETS[encoding])) - natural
 
 
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Runs of an encoding's characters outside the spans that the patterns found."""
+    if max(map(len, text.split()), default=0) < 20:
+        return []
+    runs = [m for m in _RUN.finditer(text) if encoding_of(m[0])]
+    return [{"token": m[0], "start": m.start(), "end": m.end()} for m in runs if not any(s <= m.start() and m.end() <= e for _, s, e in spans)]
+
+
+def strength(token: str, log_pairs: np.ndarray, reject: float) -> float:
+    """-log10 of the p-value of ordinary writing; 0 for a token that the battery rejects."""
+    encoding = encoding_of(token)
+    return max(0.0, natural_log_odds(token, encoding, log_pairs)) if min(randomness(token, encoding)) >= reject else 0.0
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _CAND = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _PAIR = pa.struct([("pair", pa.int32()), ("n", pa.int64())])
@@ -111,10 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 spans = credentials(text)
-                inside = [(s, e) for _, s, e in spans]
-                runs = [m for m in _RUN.finditer(text) if encoding_of(m[0])] if max(map(len, text.split()), default=0) >= 20 else []
-                candidates = [{"token": m[0], "start": m.start(), "end": m.end()} for m in runs if not any(s <= m.start() and m.end() <= e for s, e in inside)]
-                rows.append({"is_doc": True, "doc_id": doc_id, "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "candidates": candidates})
+                rows.append({"is_doc": True, "doc_id": doc_id, "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "candidates": candidates(text, spans)})
                 codes = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
                 codes = np.minimum(codes, 127)
                 pairs += np.bincount(codes[:-1] << 7 | codes[1:], minlength=128 * 128)
@@ -140,15 +151,7 @@ def judged(found: DataFrame, log_pairs: np.ndarray, reject: float) -> DataFrame:
         for batch in batches:
             out = []
             for cands in batch.column("candidates").to_pylist():
-                kept = []
-                for c in cands:
-                    encoding = encoding_of(c["token"])
-                    strength = natural_log_odds(c["token"], encoding, log_pairs)
-                    if min(randomness(c["token"], encoding)) >= reject:
-                        kept.append({"start": c["start"], "end": c["end"], "strength": max(0.0, strength)})
-                    else:
-                        kept.append({"start": c["start"], "end": c["end"], "strength": 0.0})
-                out.append(kept)
+                out.append([{"start": c["start"], "end": c["end"], "strength": strength(c["token"], log_pairs, reject)} for c in cands])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strength", pa.float64())]))
             yield pa.record_batch([batch.column("doc_id"), batch.column("spans"), pa.array(out, kind)], names=["doc_id", "spans", "random"])
 
@@ -168,29 +171,44 @@ def discovery_threshold(scored: DataFrame, fdr: float) -> float:
     return threshold
 
 
-def find_secrets(docs: DataFrame, fdr: float = 0.001, reject: float = 1e-4) -> DataFrame:
-    """doc_id, spans (struct kind, start, end): credentials and ``random`` strings, by start."""
+class Judge:
+    """What the corpus decided, as a function of one text: its spans (kind, start, end) by start."""
+
+    def __init__(self, log_pairs: np.ndarray, threshold: float, reject: float):
+        self.log_pairs, self.threshold, self.reject = log_pairs, threshold, reject
+
+    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        base = credentials(text)
+        found = [("random", c["start"], c["end"]) for c in candidates(text, base) if strength(c["token"], self.log_pairs, self.reject) >= self.threshold]
+        return sorted(base + found, key=lambda x: x[1])
+
+
+def _decided(docs: DataFrame, fdr: float, reject: float) -> tuple[DataFrame, Judge]:
     found = stored(scan(docs), "secrets")
-    scored = judged(found, character_model(found), reject)
-    threshold = discovery_threshold(scored, fdr)
-    secrets = F.transform(F.filter("random", lambda r: r["strength"] >= F.lit(threshold)), lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
+    log_pairs = character_model(found)
+    scored = judged(found, log_pairs, reject)
+    return scored, Judge(log_pairs, discovery_threshold(scored, fdr), reject)
+
+
+def find_secrets(docs: DataFrame, fdr: float = 0.001, reject: float = 1e-4) -> DataFrame:
+    """doc_id, base (the pattern-found spans), spans (all): struct kind, start, end, by start."""
+    scored, judge = _decided(docs, fdr, reject)
+    secrets = F.transform(F.filter("random", lambda r: r["strength"] >= F.lit(judge.threshold)), lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "random")) for x in (k, i)])
     ordered = F.array_sort(F.transform(F.concat("spans", secrets), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return scored.select("doc_id", F.col("spans").alias("base"), F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
-def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with each secret replaced by ``<secret>``; one shuffle of the texts by doc_id.
-    For tables whose ``doc_id`` is a key."""
+def redacted(docs: DataFrame, fdr: float = 0.001, reject: float = 1e-4) -> DataFrame:
+    """``docs`` with each secret in ``text`` replaced by ``<secret>``: two maps over the texts."""
+    judge = docs.sparkSession.sparkContext.broadcast(_decided(docs, fdr, reject)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                out.append(text if text is None else without(text, [(s["start"], s["end"]) for s in spans or ()]))
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["spans"])
+            out = [None if t is None else without(t, [(s, e) for _, s, e in judge.value.spans(t)]) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    return docs.join(found.select("doc_id", "spans"), "doc_id", "left").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]], put: str = "<secret>") -> str:
