@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from plumbline.plans import matching, relational, search, temporal, texts  # noqa: F401  register their queries
+from plumbline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
