@@ -7,17 +7,17 @@ symbol masked, and every pair under that distance shares a key. (At similarity 0
 none with probability 1e-7.) Pairs that share a key and differ in at most 46 of the 96 symbols are
 candidates (a pair at 0.75 differs in more with probability 3e-7), and the full shingle sets decide.
 
-Copies and crowded keys are kept from multiplying:
+Nothing in the join grows with the number of pairs:
 
 * documents of equal shingle sets form a class, and one of them stands for it;
-* round one pairs every document of a key only with the key's smallest one and with one chance
-  neighbour. Confirmed links give components;
-* round two looks only at keys whose documents still lie in different components, and there only
-  at pairs across components. A key's larger component is split into blocks, each of which meets
-  the key's other documents; so no pair is left out, none is formed inside a component, and no
-  task holds a whole crowded key.
-
-Confirmation sends each document's set once to each group of candidate pairs, not once per pair.
+* a task that holds a key's documents compares their signatures and gives back a spanning forest of
+  the candidate pairs, which connects the same documents with fewer links than documents;
+* components of the forests are the groups within which links can exist. A group's full sets meet
+  in a task, which intersects each document with all others at once and gives back a spanning
+  forest of the confirmed links. Every two documents of a group are compared unless they are
+  connected already, so no link that matters is left out;
+* a key or group of more than ``BLOCK`` (``SETS``) documents is cut into blocks, and each pair of
+  blocks is one task's.
 
 Defined results: null, empty or wordless texts have 0 shingles and are linked with nothing; a
 repeated ``doc_id`` gives one row (its largest set); rows with a null ``doc_id`` take no part and
@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,7 +40,8 @@ from plumbline.llm.shingles import MinHash, mixed, shingles
 
 SYMBOLS, INDEXED, CHUNK, DISTANCE = 96, 48, 4, 46
 PERCENT = 75
-BLOCK = 2_000  # documents of a key or of a candidate group that one task holds
+BLOCK = 10_000  # signatures of a key that one task holds, twice at most
+SETS = 3_000  # sets of a group that one task holds, twice at most
 BITMAP = 1 << 25  # bits of the fixed-size filter that picks the texts to read again
 
 _SIGNED = "doc_id long, n_shingles long, class binary, signature binary"
@@ -93,82 +93,61 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("doc", "signature").mapInArrow(run, "doc long, key long")
 
 
-def _close(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, signature_a, signature_b) within the signature distance: a, b with a < b."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = (_symbols(batch.column("signature_a")) != _symbols(batch.column("signature_b"))).sum(axis=1) <= DISTANCE
-                a, b = batch.column("a").to_numpy()[near], batch.column("b").to_numpy()[near]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long").distinct()
-
-
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Each document of a key with the key's smallest document and with a chance neighbour."""
-    by_doc = Window.partitionBy("key").orderBy("doc")
-    by_chance = Window.partitionBy("key").orderBy(F.xxhash64("doc", "key"))
-    other = lambda w, f: F.struct(f("doc").over(w).alias("doc"), f("signature").over(w).alias("signature"))
-    rows = buckets.select("doc", "signature", other(by_doc, F.first).alias("least"), other(by_chance, F.lag).alias("chance"))
-    rows = rows.select("doc", "signature", F.explode(F.array("least", "chance")).alias("other"))
-    return _close(rows.filter("other.doc is not null and other.doc <> doc").select(F.col("other.doc").alias("a"), F.col("doc").alias("b"), F.col("other.signature").alias("signature_a"), F.col("signature").alias("signature_b")))
-
-
-def remaining_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of a key whose documents lie in different components."""
-    rows = buckets.join(labels, buckets["doc"] == labels["node"], "left").select("key", "doc", "signature", F.coalesce("label", "doc").alias("label"))
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main"))
-    mixed_keys = sizes.filter("labels > 1").select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed_keys, "key")
-    members = rows.select("key", "doc", "label", "signature", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(False).alias("probe"))
-    probes = rows.filter("label <> main").select("key", "doc", "label", "signature", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"))
+def blocked(rows: DataFrame, group: str, row: str, most: int) -> DataFrame:
+    """rows with ``spot``, one for each pair of the group's blocks that the row's block is in."""
+    blocks = F.ceil(F.count("*").over(Window.partitionBy(group)) / most).cast("int")
+    cut = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(row), F.col("_n")).cast("int"))
+    pair = F.struct(F.least("_b", "_o"), F.greatest("_b", "_o"))
+    meets = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return meets.withColumn("spot", F.xxhash64(F.col(group), pair)).drop("_n", "_b", "_o")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in _sorted_groups(batches):
-            for found in _across(key, group):
-                yield found
 
-    shuffled = members.unionByName(probes).withColumn("spot", F.xxhash64("key", "block")).repartition("spot").sortWithinPartitions("spot", "key", "block")
-    return shuffled.select("key", "block", "doc", "label", "signature", "probe").mapInArrow(compare, "a long, b long")
-
-
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(key, rows) of each key and block from rows sorted by them."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each spot, from batches sorted by spot."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        spots = np.stack([batch.column("key").to_numpy(), batch.column("block").to_numpy()])
-        cuts = np.flatnonzero((spots[:, 1:] != spots[:, :-1]).any(axis=0)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for low, high in zip(edges, edges[1:], strict=False):
+        spots = batch.column("spot").to_numpy()
+        cuts = (np.flatnonzero(spots[1:] != spots[:-1]) + 1).tolist()
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             part = batch.slice(low, high - low)
-            if held and (held[0]["key"][0] != part["key"][0] or held[0]["block"][0] != part["block"][0]):
-                yield held[0]["key"][0].as_py(), pa.Table.from_batches(held)
+            if held and held[0]["spot"][0] != part["spot"][0]:
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(part)
     if held:
-        yield held[0]["key"][0].as_py(), pa.Table.from_batches(held)
-
-
-def _across(key: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Close pairs of a probe and a member with different labels, in the first key they share."""
-    probe = group["probe"].to_numpy(zero_copy_only=False)
-    if probe.all() or not probe.any():
-        return
-    doc, label = group["doc"].to_numpy(), group["label"].to_numpy()
-    symbols = _symbols(group["signature"].combine_chunks())
-    keys = chunk_keys(symbols)
-    rows = np.flatnonzero(~probe)
-    for p in np.flatnonzero(probe):
-        near = rows[((symbols[rows] != symbols[p]).sum(axis=1) <= DISTANCE) & (label[rows] != label[p])]
-        if len(near):
-            # A pair is formed in the first key that it shares; two probes that meet in both roles give it twice.
-            shared = keys[near] == keys[p]
-            near = near[keys[p][shared.argmax(axis=1)] == key]
-            yield pa.record_batch([pa.array(np.minimum(doc[near], doc[p])), pa.array(np.maximum(doc[near], doc[p]))], names=["a", "b"])
+        yield pa.Table.from_batches(held)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+
+
+def candidate_forest(buckets: DataFrame) -> DataFrame:
+    """(a, b): in every key, a spanning forest of the pairs within the signature distance."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for group in _groups(batches):
+            docs, symbols = group["doc"].to_numpy(), _symbols(group["signature"].combine_chunks())
+            left = np.arange(len(docs))
+            while len(left):  # walk each component from its first row, comparing only with rows not reached
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    at = queue.pop()
+                    near = (symbols[left] != symbols[at]).sum(axis=1) <= DISTANCE
+                    reached, left = left[near], left[~near]
+                    queue += reached.tolist()
+                    found += [(docs[at], docs[r]) for r in reached]
+            if len(found) > 100_000:
+                yield _links(found)
+                found = []
+        yield _links(found)
+
+    rows = blocked(buckets, "key", "doc", BLOCK).select("spot", "doc", "signature")
+    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
 
 
 def _bitmap(docs: DataFrame) -> np.ndarray:
@@ -196,37 +175,54 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc long, grams binary")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= PERCENT * union."""
-    pairs = stored(pairs, "candidates")
-    groups = components(pairs)
-    size = F.count("*").over(Window.partitionBy("label"))
-    blocks = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK)).cast("int"))
-    a = blocks.select(F.col("node").alias("a"), "label", F.col("block").alias("block_a"))
-    b = blocks.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    placed = stored(pairs.join(a, "a").join(b, "b").select("a", "b", F.xxhash64("label", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("spot")), "candidates")
-    places = placed.select(F.explode(F.array("a", "b")).alias("doc"), F.col("spot").alias("place")).distinct()
-    sets = _sets(docs, groups.select(F.col("node").alias("doc"))).join(places, "doc")
-
-    def decide(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        grams: dict[int, np.ndarray] = {}
-        for doc, data in zip(sets["doc"], sets["grams"], strict=True):
-            new = np.frombuffer(data, np.uint64)
-            old = grams.get(doc)
-            if old is None or (len(new), xxhash.xxh3_128_digest(data)) > (len(old), xxhash.xxh3_128_digest(old.tobytes())):
-                grams[doc] = new
-        keep = []
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            x, y = grams[a], grams[b]
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                keep.append(False)
+def confirmed_forest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): in every group (node, label), a spanning forest of the pairs whose full shingle sets
+    have 100 * intersection >= PERCENT * union."""
+    groups = stored(blocked(groups.select(F.col("node").alias("doc"), "label"), "label", "doc", SETS).select("doc", "spot"), "groups")
+    rows = _sets(docs, groups.select("doc").distinct()).join(groups, "doc").select("spot", "doc", "grams")
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            yield _links(exact_links(group["doc"].to_pylist(), group["grams"].to_pylist()))
+
+    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
+
+
+def exact_links(docs: list[int], data: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between some documents' shingle sets."""
+    own: dict[int, bytes] = {}
+    for doc, grams in zip(docs, data, strict=True):  # of a repeated id the largest set stands
+        own[doc] = max(own.get(doc, b""), grams, key=lambda g: (len(g), xxhash.xxh3_128_digest(g)))
+    docs = sorted(own, key=lambda d: (len(own[d]), d))
+    sizes = np.array([len(own[d]) // 8 for d in docs])
+    names, flat = np.unique(np.frombuffer(b"".join([own[d] for d in docs]), np.uint64), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    there, links = np.zeros(len(names), np.int32), []
+    # Walk each component from its first set, comparing only with sets not reached, of fitting size.
+    left, n_left, flat_left, start_left = np.arange(len(docs)), sizes, flat, starts
+    queue: list[int] = []
+    while len(left) or queue:
+        if not queue:
+            queue, gone = [int(left[0])], np.array([0])
+        else:
+            i = queue.pop()
+            low, high = np.searchsorted(n_left, [-(-PERCENT * sizes[i] // 100), 100 * sizes[i] // PERCENT + 1])
+            if low >= high:
                 continue
-            both = np.sort(np.concatenate([x, y]))
-            same = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * same >= PERCENT * (len(both) - same))
-        return pairs.loc[keep, ["a", "b"]]
-
-    return placed.groupBy("spot").cogroup(sets.groupBy("place")).applyInPandas(decide, "a long, b long")
+            there[flat[starts[i] : starts[i] + sizes[i]]] = 1
+            end = start_left[high] if high < len(left) else len(flat_left)
+            same = np.add.reduceat(there[flat_left[start_left[low] : end]], start_left[low:high] - start_left[low])
+            there[flat[starts[i] : starts[i] + sizes[i]]] = 0
+            gone = np.flatnonzero(100 * same >= PERCENT * (sizes[i] + n_left[low:high] - same)) + low
+            links += [(docs[i], docs[j]) for j in left[gone].tolist()]
+            queue += left[gone].tolist()
+        if len(gone):
+            stay = np.ones(len(left), bool)
+            stay[gone] = False
+            flat_left = flat_left[np.repeat(stay, n_left)]
+            left, n_left = left[stay], n_left[stay]
+            start_left = np.cumsum(n_left) - n_left
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,9 +234,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = F.count("*").over(Window.partitionBy("key"))
     keys = _keyed(classes).withColumn("crowd", crowd).filter("crowd > 1").drop("crowd")
     buckets = stored(keys.join(classes.drop("class"), "doc"), "keys")
-    links = stored(confirmed(docs, first_pairs(buckets)), "links")
-    more = confirmed(docs, remaining_pairs(buckets, components(links)).distinct())
-    labels = components(links.unionByName(more))
+    groups = components(candidate_forest(buckets))
+    labels = components(confirmed_forest(docs, groups))
     classed = documents.join(classes.select("class", F.col("doc").alias("first")), "class", "left").join(labels, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id"))
     out = classed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -42,22 +42,19 @@ def shingles(text: str) -> np.ndarray:
 
 
 class MinHash:
-    """``symbols`` minima under independent hashes, each cut to its low 16 bits."""
+    """``symbols`` minima under different 32-bit linear hashes of the grams, mixed to 16 bits each.
+
+    The grams are mixed hashes themselves, so a linear map of them is enough.
+    """
 
     def __init__(self, symbols: int, seed: int = 7):
-        self.salts = mixed(np.arange(1, symbols + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        draws = mixed(np.arange(1, 2 * symbols + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        self.factors = (draws[:symbols] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+        self.offsets = (draws[symbols:] >> np.uint64(32)).astype(np.uint32)[:, None]
 
     def of(self, grams: np.ndarray, step: int = 4096) -> np.ndarray:
-        best = np.full(len(self.salts), _MASK, np.uint64)
-        for low in range(0, len(grams), step):
-            # One multiplication tells the hashes apart; the grams are mixed already.
-            x = (grams[None, low : low + step] ^ self.salts[:, None]) * np.uint64(0xC4CEB9FE1A85EC53)
-            best = np.minimum(best, _scrambled(x).min(axis=1))
-        return (best & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    return x
+        x = (grams >> np.uint64(32)).astype(np.uint32)
+        best = np.full(len(self.factors), 0xFFFFFFFF, np.uint32)
+        for low in range(0, len(x), step):
+            best = np.minimum(best, (x[None, low : low + step] * self.factors + self.offsets).min(axis=1))
+        return (mixed(best.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
