@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import ids_and_texts, lower_words, stored, table
 
 BLOCK_IDS = 1024  # neighbouring ids in a block
-SHARD_BYTES = 24 << 20  # text bytes whose n-grams make a shard
+SHARD_BYTES = 6 << 20  # text bytes whose n-grams make a shard
 BROADCAST_BYTES = 48 << 20
 BITS_PER_ENTRY, PROBES = 12, 6
 BASE = 1.5  # ratio of neighbouring count levels
 LAMBDA = 0.6  # weight of the pair estimate
+KEY_BITS = 40  # with the shard's number they tell n-grams apart; the last bit tells pairs from words
 END = b"\n"  # no word holds white space
 
 
@@ -111,11 +112,11 @@ class Grams:
         #: Shard and key of each n-gram, words first; the last key bit tells pairs from words.
         mixed, self.is_word = _mixed(grams), np.arange(len(grams)) < len(seen)
         self.shard = (mixed >> np.uint64(48)).astype(np.int64) % shards
-        self.key = (mixed & np.uint64((1 << 48) - 2)) | (~self.is_word).astype(np.uint64)
+        self.key = (mixed & np.uint64((1 << KEY_BITS) - 2)) | (~self.is_word).astype(np.uint64)
 
     def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, its n-grams)."""
-        order = np.argsort(self.shard, kind="stable")
+        """(shard, its n-grams in order of their keys)."""
+        order = np.lexsort((self.key, self.shard))
         edges = np.searchsorted(self.shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             yield s, order[edges[s] : edges[s + 1]]
@@ -126,13 +127,18 @@ class Grams:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Ascending keys as 32-bit steps; the few longer steps keep their upper bits apart."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    long = np.flatnonzero(steps >> np.uint64(32))
+    return np.concatenate([[len(long)], long, steps[long] >> np.uint64(32), steps & np.uint64(0xFFFFFFFF)]).astype("<u4").tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    raw = np.frombuffer(data, "<u4")
+    n = int(raw[0])
+    steps = raw[1 + 2 * n :].astype(np.uint64)
+    steps[raw[1 : 1 + n]] |= raw[1 + n : 1 + 2 * n].astype(np.uint64) << np.uint64(32)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def _answer(with_levels: bool):
         for block, low, high in zip(pdf["block"], edges, edges[1:], strict=False):
             mine = at[low:high]
             own = mine[word[mine] & (total[mine] > 0)]
-            rows.append(("counts", block, _pack(grams[own]), total[own].astype("<u8").tobytes()))
+            rows.append(("counts", block, _pack(grams[own]), total[own].astype("<u8").tobytes()))  # counts compress well
             if with_levels:
                 own = mine[levels[mine] > 0]
                 rows.append(("levels", block, _pack(grams[own]), levels[own].astype(np.uint8).tobytes()))
