@@ -75,17 +75,24 @@ def stop_list(language: Column) -> Column:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with ``value`` evaluated once, even where lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _grams(w: Column, n: int, last: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+
 def shingles(c: Column, n: int = C.SHINGLE_WORDS) -> Column:
     """Distinct n-word shingles of the folded text; none below n words."""
-    w = F.split(fold(c), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.array_distinct(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return bound(F.split(fold(c), " "), lambda w: F.array_distinct(F.when(F.size(w) >= n, _grams(w, n, F.size(w) - n + 1)).otherwise(none)))
 
 
 def raw_shingles(c: Column, n: int = C.SHINGLE_WORDS) -> Column:
     """Shingles of white-space words, at least one."""
-    w = words(c)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return bound(words(c), lambda w: F.array_distinct(_grams(w, n, F.greatest(F.size(w) - n + 1, F.lit(1)))))
 
 
 def clean_text(c: Column) -> Column:

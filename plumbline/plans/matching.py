@@ -37,8 +37,8 @@ def candidate_blocking(t: Tables) -> DataFrame:
     return M.candidates_by(t.pages, "page_id", {"stem": stem, "host": host}).select("a", "b", "reason")
 
 
-@query("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars < 300 THEN 'text_summary_only' END, CASE WHEN lang = 'es' THEN 'layout_unknown' END, CASE WHEN n_chars % 3 = 0 THEN 'date_from_closing' END, CASE WHEN source = 'src1' THEN 'statute_unmapped:x' END], x -> x IS NOT NULL) AS w FROM documents),
-f AS (SELECT doc_id, len(list_filter(w, x -> x IN ('text_summary_only', 'layout_unknown'))) AS low, len(w) AS n FROM r)
+@query("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars < 300 THEN 'text_summary_only' END, CASE WHEN lang = 'es' THEN 'layout_unknown' END, CASE WHEN n_chars % 3 = 0 THEN 'date_from_closing' END, CASE WHEN source = 'src1' THEN 'statute_unmapped:x' END], lambda x: x IS NOT NULL) AS w FROM documents),
+f AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('text_summary_only', 'layout_unknown'))) AS low, len(w) AS n FROM r)
 SELECT doc_id, CAST(greatest(0, 100 - low * 60 - (n - low) * 25) AS BIGINT) AS score, CASE WHEN low > 0 THEN 'low' WHEN n > 0 THEN 'medium' ELSE 'high' END AS band FROM f""")
 def confidence(t: Tables) -> DataFrame:
     flags = F.array(F.when(F.col("n_chars") < 300, "text_summary_only"), F.when(F.col("lang") == "es", "layout_unknown"), F.when(F.col("n_chars") % 3 == 0, "date_from_closing"), F.when(F.col("source") == "src1", "statute_unmapped:x"))

@@ -30,7 +30,7 @@ def band_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
 
 
-@query("""WITH w AS (SELECT unnest(list_filter([CASE WHEN n_chars < 500 THEN 'short:' || lang END, CASE WHEN n_chars > 5000 THEN 'long:' || lang END, CASE WHEN lang <> 'en' THEN 'foreign' END], x -> x IS NOT NULL)) AS w FROM documents)
+@query("""WITH w AS (SELECT unnest(list_filter([CASE WHEN n_chars < 500 THEN 'short:' || lang END, CASE WHEN n_chars > 5000 THEN 'long:' || lang END, CASE WHEN lang <> 'en' THEN 'foreign' END], lambda x: x IS NOT NULL)) AS w FROM documents)
 SELECT split_part(w, ':', 1) AS value, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, value LIMIT 15""")
 def reason_topk(t: Tables) -> DataFrame:
     """Warnings counted by code, details stripped."""
@@ -84,10 +84,10 @@ def offset_page(t: Tables) -> DataFrame:
     return page.crossJoin(F.broadcast(total)).select("o_orderkey", "o_custkey", "total")  # one row
 
 
-@query("""SELECT n.n_name, r.r_name, count(*) AS orders, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(38, 2)) AS total FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2""")
+@query("""SELECT n.n_name, r.r_name, count(*) AS orders, CAST(sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2""")
 def join_chain(t: Tables) -> DataFrame:
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
+    return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
 @query("""SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND c.c_mktsegment = 'BUILDING' AND o.o_orderpriority = '1-URGENT'""")
@@ -125,7 +125,7 @@ def null_safe_compare(t: Tables) -> DataFrame:
     return a.join(b, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", (~F.col("l_returnflag").eqNullSafe(F.col("next_flag"))).alias("differs"))
 
 
-@query("""SELECT l_returnflag, count(*) AS rows, min(l_quantity) AS least, max(l_quantity) AS most, CAST(sum(CAST(l_extendedprice * 100 AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT l_suppkey) AS suppliers, bool_or(l_quantity > 49) AS any_large, bool_and(l_quantity > 0) AS all_positive FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag, count(*) AS rows, min(l_quantity) AS least, max(l_quantity) AS most, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT l_suppkey) AS suppliers, bool_or(l_quantity > 49) AS any_large, bool_and(l_quantity > 0) AS all_positive FROM lineitem GROUP BY 1""")
 def aggregates(t: Tables) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return t.lineitem.groupBy("l_returnflag").agg(
@@ -134,11 +134,11 @@ def aggregates(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT o_custkey, list_transform(list_sort(list({'p': -o_totalprice, 'k': o_orderkey})), x -> x.k)[1:3] AS best_list FROM orders GROUP BY 1""".replace("list_transform", "list_transform"))
+@query("""SELECT o_custkey, array_to_string(list_transform(list_sort(list({'p': -o_totalprice, 'k': o_orderkey})), lambda x: x.k)[1:3], ',') AS best_list FROM orders GROUP BY 1""")
 def best_of_group(t: Tables) -> DataFrame:
     """Each customer's three dearest orders in order."""
     top = R.top_per_key(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
-    return top.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("best_list"))
+    return top.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("best_list"))
 
 
 @query("""WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
@@ -169,9 +169,9 @@ def rate_limit(t: Tables) -> DataFrame:
     return R.within_seconds(t.events.filter("event_type = 'error'"), "user_id", "ts", 6 * 3600).select("event_id", "user_id", "recent")
 
 
-@query("""SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3""")
 def daily_quota(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).filter("n >= 3")
+    return t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).filter("n >= 3")
 
 
 @query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS d FROM events)
@@ -210,7 +210,7 @@ def row_set_equality(t: Tables) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
-SELECT l_orderkey, len(list_intersect(a.s, b.s)) AS both_sides, len(list_filter(a.s, x -> NOT list_contains(b.s, x))) AS only_first, len(list_distinct(list_concat(a.s, b.s))) AS either FROM a JOIN b USING (l_orderkey)""")
+SELECT l_orderkey, len(list_intersect(a.s, b.s)) AS both_sides, len(list_filter(a.s, lambda x: NOT list_contains(b.s, x))) AS only_first, len(list_distinct(list_concat(a.s, b.s))) AS either FROM a JOIN b USING (l_orderkey)""")
 def set_operations(t: Tables) -> DataFrame:
     side = lambda c, name: t.lineitem.filter(c).groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias(name))
     both = side("l_returnflag = 'R'", "a").join(side("l_returnflag <> 'R'", "b"), "l_orderkey")

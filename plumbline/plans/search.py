@@ -12,7 +12,7 @@ from plumbline.plans.registry import Tables, query
 QUESTION = "the thing of and with this"
 TERMS = query_terms(QUESTION)
 _LIST = "[" + ", ".join(f"'{x}'" for x in TERMS) + "]"
-_LEX = f"""SELECT doc_id, CAST(sum(len(list_filter(regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{{L}}+'), x -> list_contains({_LIST}, x)))) AS BIGINT) AS score FROM documents GROUP BY 1"""
+_LEX = f"""SELECT doc_id, CAST(sum(len(list_filter(regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{{L}}+'), lambda x: list_contains({_LIST}, x)))) AS BIGINT) AS score FROM documents GROUP BY 1"""
 _LEXRANK = f"""SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_LEX}) WHERE score > 0 ORDER BY rank LIMIT 50"""
 _VECRANK = """SELECT vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 50"""
 _RRF = f"SELECT doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ({_LEXRANK}) UNION ALL SELECT doc_id, rank FROM ({_VECRANK})) GROUP BY 1"
@@ -58,10 +58,10 @@ def authority_weighted(t: Tables) -> DataFrame:
     return S.weighted(fused, "score", weights[F.col("source")]).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query(f"""SELECT d.source, max(l.score) AS best, list_transform(list_sort(list({{'s': -l.score, 'c': l.doc_id}})), x -> x.c) AS chunks FROM ({_LEXRANK}) l JOIN documents d USING (doc_id) GROUP BY 1""")
+@query(f"""SELECT d.source, max(l.score) AS best, array_to_string(list_transform(list_sort(list({{'s': -l.score, 'c': l.doc_id}})), lambda x: x.c), ',') AS chunks FROM ({_LEXRANK}) l JOIN documents d USING (doc_id) GROUP BY 1""")
 def record_groups(t: Tables) -> DataFrame:
     """Sources by their best document, documents in order of score."""
-    return S.by_record(_lexical(t).join(t.documents.select("doc_id", "source"), "doc_id"), "source", "score", "doc_id")
+    return S.by_record(_lexical(t).join(t.documents.select("doc_id", "source"), "doc_id"), "source", "score", "doc_id").withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
 
 
 @query(f"""SELECT l.doc_id, CASE WHEN d.source = 'src0' THEN p.text ELSE substr(d.text, 1, 200) END AS shown FROM ({_LEXRANK}) l JOIN documents d USING (doc_id) LEFT JOIN (SELECT lang, arg_min(substr(text, 1, 200), doc_id) AS text FROM documents WHERE source <> 'src0' GROUP BY 1) p ON p.lang = d.lang""")

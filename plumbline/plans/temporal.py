@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import intervals as I
@@ -15,7 +15,7 @@ _SPANS = """SELECT o_custkey, CAST(o_orderdate AS DATE) AS valid_from, lead(CAST
 
 def _spans(t: Tables) -> DataFrame:
     orders = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
-    w = F.lead("day").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("o_custkey").orderBy("day", "o_orderkey"))
+    w = F.lead("day").over(Window.partitionBy("o_custkey").orderBy("day", "o_orderkey"))
     return orders.withColumn("valid_from", F.col("day")).withColumn("valid_to", w).filter("valid_to is null or valid_from < valid_to")
 
 
@@ -103,8 +103,6 @@ SELECT o_custkey, count(*) AS notes FROM s JOIN (SELECT user_id, CAST(ts AS DATE
 @query(_NOTES)
 def notes_between(t: Tables) -> DataFrame:
     """Notes that fall after the previous snapshot and up to the next: key equality and a range."""
-    from pyspark.sql import Window
-
     day = F.to_date("o_orderdate")
     spans = t.orders.select("o_custkey", day.alias("d"), F.lag(day).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("d_old"))
     notes = t.events.select(F.col("user_id").alias("o_custkey"), F.add_months(F.to_date("ts"), -300).alias("day"))
@@ -119,7 +117,8 @@ def _streamed(t: Tables, shape) -> DataFrame:
     spark = t.spark
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="plumbline-")
     root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*").parquet(f"{t.sf_dir}/events.parquet" if _is_folder(t) else f"{t.sf_dir}/events*.parquet")
+    path = f"{t.sf_dir}/events.parquet" if _is_folder(t) else f"{t.sf_dir}/events*.parquet"
+    stream = S.event_stream(spark, path, t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need it
     return S.run_once(shape(stream), f"{root}/out", f"{root}/state")
 
 
@@ -138,4 +137,5 @@ def stream_dedup(t: Tables) -> DataFrame:
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 def stream_window(t: Tables) -> DataFrame:
     """Daily counts of the windows that the watermark has closed."""
-    return _streamed(t, lambda s: S.windowed_counts(s, "ts", ["event_type"], "1 day", late="1 hour"))
+    counts = _streamed(t, lambda s: S.windowed_counts(s, "ts", ["event_type"], "1 day", late="1 hour"))
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -13,17 +13,17 @@ from plumbline.plans.registry import Tables, query
 _TOKENS = "regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{L}+')"
 _STOPS = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in C.STOP_WORDS.items()) + " ELSE [] END"
 _FOLD = "trim(regexp_replace(translate(lower(translate(text, 'İI', 'iı')), 'çğışöüâîû', 'cgisouaiu'), '[^a-z0-9]+', ' ', 'g'))"
-_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) ELSE [] END"
+_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [] END"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k, {_STOPS} AS s FROM documents) SELECT doc_id, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round(len(list_filter(k, x -> list_contains(s, x))) / len(k), 6) END AS share FROM t""")
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k, {_STOPS} AS s FROM documents) SELECT doc_id, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round(len(list_filter(k, lambda x: list_contains(s, x))) / len(k), 6) END AS share FROM t""")
 def stopword_ratio(t: Tables) -> DataFrame:
     tokens = T.letter_tokens(F.col("text"))
     return t.documents.select("doc_id", F.size(tokens).cast("long").alias("tokens"), F.round(T.share_of(tokens, T.stop_list(F.col("lang"))), 6).alias("share"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS n, len(string_split(text, chr(10))) AS pages, {_TOKENS} AS k, {_STOPS} AS s, len(regexp_replace(text, '[^?]', '', 'g')) AS q FROM documents),
-v AS (SELECT doc_id, n / pages AS per, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round_even(len(list_filter(k, x -> list_contains(s, x))) / len(k), 4) ELSE 0 END AS share FROM m)
+v AS (SELECT doc_id, n / pages AS per, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round_even(len(list_filter(k, lambda x: list_contains(s, x))) / len(k), 4) ELSE 0 END AS share FROM m)
 SELECT doc_id, CASE WHEN per < 50 THEN 'no_text_layer' WHEN tokens >= 50 AND share < 0.03 THEN 'bad_ocr_layer' END AS reason, tokens FROM v""")
 def text_quality(t: Tables) -> DataFrame:
     """Verdicts on texts, a line standing for a page."""
@@ -58,9 +58,9 @@ def shingle_containment(t: Tables) -> DataFrame:
     return pairs.select("doc_id", "other", F.round(X.containment(F.col("g"), F.col("h")), 6).alias("score"))
 
 
-@query("""SELECT min(doc_id) AS first_id, count(*) AS copies, list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
+@query("""SELECT min(doc_id) AS first_id, count(*) AS copies, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
 def exact_dedupe(t: Tables) -> DataFrame:
-    return X.exact_duplicates(t.documents, "doc_id", "text").filter("copies > 1").select("first_id", "copies", "ids")
+    return X.exact_duplicates(t.documents, "doc_id", "text").filter("copies > 1").select("first_id", "copies", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query()
@@ -70,7 +70,7 @@ def dup_groups(t: Tables) -> DataFrame:
     return X.duplicate_groups(keyed, "key", "doc_id", "text", "day")
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> trim(x) <> '') AS l FROM documents) SELECT doc_id, len(l) AS lines, len(list_distinct(l)) AS distinct_lines FROM l""")
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) SELECT doc_id, len(l) AS lines, len(list_distinct(l)) AS distinct_lines FROM l""")
 def line_repetition(t: Tables) -> DataFrame:
     out = X.repeated_lines(t.documents, "doc_id", "text")
     return out.select("doc_id", F.col("lines").cast("long").alias("lines"), F.col("distinct_lines").cast("long").alias("distinct_lines"))
