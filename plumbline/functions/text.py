@@ -130,8 +130,8 @@ def case_number(c: Column) -> tuple[Column, Column]:
 
 def expanded_articles(c: Column, most: int = 200) -> Column:
     """'18-21, 25' as an array of article numbers; other tokens stay."""
-    low = lambda t: F.regexp_extract(t, r"^(\d+)-(\d+)$", 1).cast("int")
-    high = lambda t: F.regexp_extract(t, r"^(\d+)-(\d+)$", 2).cast("int")
+    low = lambda t: F.regexp_extract(t, r"^(\d+)-(\d+)$", 1).try_cast("int")
+    high = lambda t: F.regexp_extract(t, r"^(\d+)-(\d+)$", 2).try_cast("int")
     item = lambda t: F.when(F.coalesce((high(t) >= low(t)) & (high(t) - low(t) <= most), F.lit(False)), F.transform(F.sequence(low(t), high(t)), lambda x: x.cast("string"))).otherwise(F.array(t))
     return F.flatten(F.transform(F.filter(F.split(c, r"\s*,\s*"), lambda t: t != ""), item))
 

@@ -43,10 +43,15 @@ def extension_mismatch(path: Column, found: Column) -> Column:
     return F.coalesce(~F.array_contains(types[extension(path)], found), F.lit(False))
 
 
+#: Where Windows Turkish differs from Latin-1: bytes and letters, in the same order.
+TURKISH_BYTES, TURKISH_LETTERS = "\u00d0\u00dd\u00de\u00f0\u00fd\u00fe", "\u011e\u0130\u015e\u011f\u0131\u015f"
+
+
 def decoded_text(content: Column) -> Column:
-    """UTF-8 text (byte order mark dropped), else Windows Turkish."""
+    """UTF-8 text (byte order mark dropped), else the letters of Windows Turkish."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(F.regexp_replace(utf8, "^\ufeff", ""), F.decode(content, "windows-1254"))
+    turkish = F.translate(F.decode(content, "ISO-8859-1"), TURKISH_BYTES, TURKISH_LETTERS)
+    return F.coalesce(F.regexp_replace(utf8, "^\ufeff", ""), turkish)
 
 
 def not_cached(files: DataFrame, cache: DataFrame, fingerprint: str) -> DataFrame:
