@@ -58,7 +58,7 @@ def _memo(tokenizer_path: str) -> PieceMemo:
             return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
         def encode(pieces: list[str]) -> list[bytes]:
-            plain = [p for p in pieces if p[0] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace()]
+            plain = [p for p in pieces if p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace()]
             found = {}
             for low in range(0, len(plain), 5_000):
                 part = plain[low : low + 5_000]
@@ -199,7 +199,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                 yield pa.record_batch([docs["doc_id"].combine_chunks(), pa.array(starts + row["before"], pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.withColumn("before", before).select("path", "before")
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,15 +15,21 @@ from itertools import islice
 _AMBIGUOUS = re.compile(r"\s \s")
 
 
-def space_pieces(text: str) -> list[str]:
-    """``text`` cut before each space; a single piece when white space runs make that unsafe."""
-    if not text:
-        return []
+def space_keys(text: str) -> list[str]:
+    """Keys of the pieces of ``text``, cut before each space, or before fewer of them where white
+    space runs make that unsafe.
+
+    A piece that is one space and a word has the word as its key; any other has a space before it.
+    """
     if "  " in text or _AMBIGUOUS.search(text):
-        return _runs(text)
-    head, *rest = text.split(" ")
-    pieces = [" " + x for x in rest]
-    return [head, *pieces] if head else pieces
+        return [p[1:] if p[0] == " " and p.count(" ") == 1 else " " + p for p in _runs(text)]
+    keys = text.split(" ")
+    keys[0] = " " + keys[0]
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 def _runs(text: str) -> list[str]:
@@ -44,14 +50,14 @@ class PieceMemo:
     def ids(self, texts: Iterable[str], together: int = 512) -> Iterator[bytes]:
         """The ids of each text; new pieces of ``together`` texts are encoded in one call."""
         texts = iter(texts)
-        while group := [space_pieces(t) for t in islice(texts, together)]:
+        while group := [space_keys(t) for t in islice(texts, together)]:
             new = set().union(*group).difference(self.known)
             if new:
                 if len(self.known) + len(new) > self.limit:
                     self.known.clear()
                     new = set().union(*group)
                 found = sorted(new)
-                self.known.update(zip(found, self.encode(found), strict=True))
+                self.known.update(zip(found, self.encode(list(map(piece_of, found))), strict=True))
             get = self.known.__getitem__
-            for pieces in group:
-                yield b"".join(map(get, pieces))
+            for keys in group:
+                yield b"".join(map(get, keys))
