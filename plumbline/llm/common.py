@@ -48,3 +48,17 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def lower_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+_memos: dict[tuple[str, str], dict] = {}
+
+
+def memo(owner: str, what: str = "") -> dict:
+    """A dict of this Python worker for ``owner``; those of other owners are emptied.
+
+    Workers outlive tasks and stages; what one operator remembers must not stay beside the next.
+    """
+    for (other, _), held in _memos.items():
+        if other != owner:
+            held.clear()
+    return _memos.setdefault((owner, what), {})

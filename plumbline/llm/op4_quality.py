@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, table
+from plumbline.llm.common import ids_and_texts, memo, table
 
 FIT_ROWS = 20_000
 #: A document is kept when the top grade is at least this likely.
@@ -42,15 +42,13 @@ def _bucket(name: bytes) -> int:
     return xxhash.xxh3_64_intdigest(name) >> (64 - BITS)
 
 
-_words: dict[bytes, int] = {}
-
-
-def _word_bucket(word: bytes) -> int:
-    if (known := _words.get(word)) is None:
-        if len(_words) >= 1_000_000:
-            _words.clear()
-        known = _words[word] = _bucket(b"w:" + word)
-    return known
+def _word_buckets(words: set[bytes]) -> set[int]:
+    known = memo("quality")
+    if len(known) > 400_000:
+        known.clear()
+    for w in words.difference(known):
+        known[w] = _bucket(b"w:" + w)
+    return set(map(known.__getitem__, words))
 
 
 def shape(text: str, data: bytes, words: list[bytes]) -> list[bytes]:
@@ -75,7 +73,7 @@ def features(text: str) -> np.ndarray:
     """Sorted distinct buckets of the whole text."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.translate(_LETTERS).split()
-    found = {_word_bucket(w) for w in set(words)}
+    found = _word_buckets(set(words))
     found.update(_bucket(s) for s in shape(text, data, words))
     return np.array(sorted(found), np.int32)
 
@@ -169,9 +167,6 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, k: int = G
     return fit(buckets, np.array([got["grade"][i].as_py() for i in order], np.int64), k)
 
 
-_cached: dict[int, dict[bytes, float]] = {}
-
-
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` and expected_grade, p_top (probability of the top grade), all columns kept.
 

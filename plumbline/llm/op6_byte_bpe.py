@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import ids_and_texts, table
+from plumbline.llm.common import ids_and_texts, memo, table
 from plumbline.llm.tokens import PieceMemo
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -145,10 +145,11 @@ def codec(ranks_path: str, pattern: str) -> tuple[PrefixEncoder, PieceMemo]:
         # White space is the Unicode property, as in the pattern's own regular expression library.
         matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
-        words: dict[bytes, bytes] = {}
+        owner = f"byte bpe {ranks_path}"
 
         def encode(pieces: list[str]) -> list[bytes]:
             parts = [[m.encode("utf-8", "surrogatepass") for m in matches(piece)] for piece in pieces]
+            words = memo(owner, "words")
             new = set().union(*parts).difference(words)
             if len(words) + len(new) > 1_200_000:
                 words.clear()
@@ -157,7 +158,7 @@ def codec(ranks_path: str, pattern: str) -> tuple[PrefixEncoder, PieceMemo]:
             get = words.__getitem__
             return [b"".join(map(get, x)) for x in parts]
 
-        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode)
+        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode, owner)
     return _codecs[ranks_path, pattern]
 
 

@@ -41,7 +41,7 @@ SHARD_BYTES = 6 << 20  # text bytes whose n-grams make a shard
 BROADCAST_BYTES = 48 << 20
 BITS_PER_ENTRY, PROBES = 12, 6
 BASE = 1.5  # ratio of neighbouring count levels
-LAMBDA = 0.6  # weight of the pair estimate
+PAIR_WEIGHT, TRUST = 0.6, 300  # most weight of the pair estimate, and the context count that gives half of it
 KEY_BITS = 40  # with the shard's number they tell n-grams apart; the last bit tells pairs from words
 END = b"\n"  # no word holds white space
 
@@ -225,7 +225,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         p_word = ((exact[:words] + 1) / (train_tokens + vocabulary + 1))[grams.word]
         context = expected_count(levels[:words])[grams.first_of_pair]
         share = np.divide(np.minimum(expected_count(levels[words:]), context), context, out=np.zeros(len(context)), where=context > 0)
-        weight = np.where(context > 0, LAMBDA, 0.0)[grams.pair]  # after an unseen word the word alone decides
+        weight = (PAIR_WEIGHT * context / (context + TRUST))[grams.pair]  # after an unseen word the word alone decides
         p = weight * share[grams.pair] + (1 - weight) * p_word
         per_doc = lambda x: np.add.reduceat(x, np.cumsum(grams.lengths) - grams.lengths)
         return pd.DataFrame({

@@ -5,19 +5,19 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from plumbline.llm.common import lower_words
+from plumbline.llm.common import lower_words, memo
 
 WORDS = 5
 _MASK = (1 << 64) - 1
-_known: dict[bytes, int] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > 1_000_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    known = memo("shingles")
+    if len(known) > 400_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

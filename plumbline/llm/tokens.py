@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
+from plumbline.llm.common import memo
+
 #: A space with white space on both sides: the one case in which a piece's neighbours matter.
 _AMBIGUOUS = re.compile(r"\s \s")
 
@@ -44,12 +46,12 @@ class PieceMemo:
     it holds ``limit`` pieces, so its memory is bounded whatever the corpus.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_200_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], owner: str, limit: int = 1_200_000):
+        self.encode, self.owner, self.limit, self.known = encode, owner, limit, {}
 
     def ids(self, texts: Iterable[str], together: int = 512) -> Iterator[bytes]:
         """The ids of each text; new pieces of ``together`` texts are encoded in one call."""
-        texts = iter(texts)
+        texts, self.known = iter(texts), memo(self.owner, "pieces")
         while group := [space_keys(t) for t in islice(texts, together)]:
             new = set().union(*group).difference(self.known)
             if new:
