@@ -67,7 +67,7 @@ def _memo(tokenizer_path: str) -> PieceMemo:
             found.update(zip(rest, one_by_one(rest), strict=True))
             return [found[p] for p in pieces]
 
-        _memos[tokenizer_path] = PieceMemo(encode, f"token files {tokenizer_path}")
+        _memos[tokenizer_path] = PieceMemo(encode, f"token files {tokenizer_path}", limit=1_700_000)
     return _memos[tokenizer_path]
 
 
