@@ -23,7 +23,7 @@ def sql():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)):
             return repr(float(v))
