@@ -92,3 +92,24 @@ def resolved(*by_priority: Column, unknown: str = "unknown") -> Column:
 def answer_score(cited: Column, must: Column) -> Column:
     """Share of the things that must be cited that are (1 when nothing must)."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(must, cited)), F.size(must)), F.lit(1.0))
+
+
+def integrity(answers: DataFrame, cited: str, read: str, stated: str) -> DataFrame:
+    """answers with ``problems``: cites what was not read, states another number of sources than it cites."""
+    unread = F.size(F.array_except(cited, read)) > 0
+    miscounted = F.col(stated) != F.size(F.array_distinct(cited))
+    found = F.array(F.when(unread, "cites_unread"), F.when(miscounted, "count_differs"))
+    return answers.withColumn("problems", F.filter(found, lambda p: p.isNotNull()))
+
+
+def backfilled(df: DataFrame, kind: str, folder_kind: Column, retype: Column, to: str) -> DataFrame:
+    """df with missing kinds from the folder, then retyped where a condition holds; ``filled`` says how."""
+    first = F.coalesce(F.col(kind), folder_kind)
+    how = F.when(retype & first.isNotNull() & (first != to), "retyped").when(F.col(kind).isNull() & first.isNotNull(), "from_folder").when(first.isNull(), "unknown").otherwise("kept")
+    return df.withColumn("filled", how).withColumn(kind, F.when(retype & first.isNotNull(), F.lit(to)).otherwise(first))
+
+
+def overlay_suggestions(df: DataFrame, user: str, detected: str) -> DataFrame:
+    """The user's value wins; a detection that differs stays beside it."""
+    shown = F.coalesce(F.col(user), F.col(detected))
+    return df.withColumn("shown", shown).withColumn("differs", F.when(F.col(user).isNotNull() & ~F.col(user).eqNullSafe(F.col(detected)), F.col(detected)))

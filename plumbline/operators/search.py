@@ -79,3 +79,43 @@ def recall_at(ranked_: DataFrame, expected: DataFrame, question: str, item: str,
     found = ranked_.filter(F.col("rank") <= k).select(question, item, F.lit(1).alias("_hit")).distinct()
     per = expected.join(found, [question, item], "left").groupBy(question).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
     return ranked_.select(question).distinct().join(per, question, "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
+def index_sync(wanted: DataFrame, stored: DataFrame, vectors: DataFrame, key: list[str], digest: str) -> DataFrame:
+    """What the chunk index must do: keep, insert, rewrite or delete each chunk, and whether the
+    vector of an equal text can be reused.
+
+    wanted, stored: key columns and the text's digest; vectors: digest (of one model).
+    """
+    w = wanted.select(*key, F.col(digest).alias("_w"))
+    s = stored.select(*key, F.col(digest).alias("_s"))
+    action = F.when(F.col("_s").isNull(), "insert").when(F.col("_w").isNull(), "delete").when(F.col("_w") == F.col("_s"), "keep").otherwise("rewrite")
+    known = vectors.select(F.col(digest).alias("_w"), F.lit(True).alias("_v")).distinct()
+    out = w.join(s, key, "full_outer").withColumn("action", action).join(known, "_w", "left")
+    return out.withColumn("reuse", F.col("action").isin("insert", "rewrite") & F.coalesce("_v", F.lit(False))).drop("_w", "_s", "_v")
+
+
+def embedding_batches(df: DataFrame, row: str, tokens: str, most: int = 64, most_tokens: int = 60_000) -> DataFrame:
+    """row, batch: texts in batches of at most ``most`` texts and ``most_tokens`` tokens, filled greedily
+    in each partition. A text that alone exceeds the tokens is a batch of its own."""
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def run(parts):
+        part, batch, n, size = TaskContext.get().partitionId(), 0, 0, 0
+        for pdf in parts:
+            out = []
+            for t in pdf["t"]:
+                if n and (n == most or size + t > most_tokens):
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + int(t)
+                out.append(f"{part}-{batch}")
+            yield pd.DataFrame({"id": pdf["id"], "batch": out, "tokens": pdf["t"]})
+
+    return df.select(F.col(row).alias("id"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t")).mapInPandas(run, "id long, batch string, tokens long")
+
+
+def overlap_ranking(df: DataFrame, row: str, text: str, terms: list[str], covered: Column, bonus: int = 100) -> DataFrame:
+    """Rows by shared words, rows whose reference is covered first; ties by row."""
+    shared = F.size(F.array_intersect(F.array_distinct(T.letter_tokens(F.col(text))), F.array(*map(F.lit, terms))))
+    return df.select(row, (shared + F.when(covered, bonus).otherwise(0)).alias("score")).filter("score > 0")

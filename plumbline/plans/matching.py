@@ -99,3 +99,30 @@ def verification_status(t: Tables) -> DataFrame:
 def answer_scores(t: Tables) -> DataFrame:
     cited = F.array_distinct(T.letter_tokens(F.col("text")))
     return t.documents.select("doc_id", M.answer_score(cited, F.array(F.lit("the"), F.lit("of"), F.lit("and"))).alias("score"))
+
+
+@query("""WITH a AS (SELECT conv_id, list(turn) FILTER (WHERE role = 'assistant') AS cited, list(turn) FILTER (WHERE turn <= 4) AS seen, count(*) FILTER (WHERE role = 'assistant' AND turn <= 6) AS stated FROM conversations GROUP BY 1),
+b AS (SELECT conv_id, coalesce(cited, []) AS cited, coalesce(seen, []) AS seen, stated FROM a)
+SELECT conv_id, concat_ws(',', CASE WHEN len(list_filter(cited, lambda x: NOT list_contains(seen, x))) > 0 THEN 'cites_unread' END, CASE WHEN stated <> len(list_distinct(cited)) THEN 'count_differs' END) AS problems FROM b""")
+def answer_integrity(t: Tables) -> DataFrame:
+    """Conversations whose assistant turns go beyond the turns read, or are miscounted."""
+    said = F.col("role") == "assistant"
+    answers = t.conversations.groupBy("conv_id").agg(F.collect_list(F.when(said, F.col("turn"))).alias("cited"), F.collect_list(F.when(F.col("turn") <= 4, F.col("turn"))).alias("seen"), F.count_if(said & (F.col("turn") <= 6)).alias("stated"))
+    return M.integrity(answers, "cited", "seen", "stated").select("conv_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("""WITH f AS (SELECT CASE WHEN n_chars % 4 = 0 THEN NULL ELSE lang END AS kind, CASE source WHEN 'src0' THEN 'en' WHEN 'src1' THEN 'de' END AS folder, n_chars > 8000 AS r FROM documents), g AS (SELECT kind, coalesce(kind, folder) AS k, r FROM f)
+SELECT CASE WHEN r AND k IS NOT NULL THEN 'long' ELSE k END AS kind, CASE WHEN r AND k IS NOT NULL AND k <> 'long' THEN 'retyped' WHEN kind IS NULL AND k IS NOT NULL THEN 'from_folder' WHEN k IS NULL THEN 'unknown' ELSE 'kept' END AS filled, count(*) AS n FROM g GROUP BY 1, 2""")
+def type_backfill(t: Tables) -> DataFrame:
+    folder = F.create_map(F.lit("src0"), F.lit("en"), F.lit("src1"), F.lit("de"))[F.col("source")]
+    docs = t.documents.withColumn("kind", F.when(F.col("n_chars") % 4 != 0, F.col("lang")))
+    return M.backfilled(docs, "kind", folder, F.col("n_chars") > 8000, "long").groupBy("kind", "filled").agg(F.count("*").alias("n"))
+
+
+@query()
+def quote_places(t: Tables) -> DataFrame:
+    """Where the first words of a document's second line stand in it."""
+    from plumbline.operators.parsing import located
+
+    quote = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 20)
+    return located(t.documents.withColumn("quote", quote), "text", "quote").select("doc_id", "char_start", "char_end")

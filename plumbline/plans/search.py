@@ -84,3 +84,29 @@ def recall_at_k(t: Tables) -> DataFrame:
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("s"), "vec_id")))
     expected = v.filter("vec_id < 100").join(F.broadcast(asked), (F.col("label") == F.col("_l")) & (F.col("vec_id") != F.col("question"))).select("question", "vec_id")
     return S.recall_at(ranked, expected, "question", "vec_id", 10).withColumn("recall", F.round("recall", 9)).join(expected.select("question").distinct(), "question", "left_semi")
+
+
+@query("""WITH w AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0), v AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0),
+j AS (SELECT coalesce(w.doc_id, s.doc_id) AS doc_id, w.h AS wh, s.h AS sh FROM w FULL OUTER JOIN s ON w.doc_id = s.doc_id)
+SELECT action, reuse, count(*) AS n FROM (SELECT CASE WHEN sh IS NULL THEN 'insert' WHEN wh IS NULL THEN 'delete' WHEN wh = sh THEN 'keep' ELSE 'rewrite' END AS action, coalesce(v.h IS NOT NULL AND (sh IS NULL OR (wh IS NOT NULL AND wh <> sh)), false) AS reuse FROM j LEFT JOIN v ON v.h = j.wh) GROUP BY 1, 2""")
+def index_sync(t: Tables) -> DataFrame:
+    """The work that brings a stored index to the wanted chunks, by kind."""
+    docs = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    stored = docs.filter("doc_id % 11 <> 0").withColumn("h", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("h")))
+    out = S.index_sync(docs.filter("doc_id % 7 <> 0"), stored, docs.filter("doc_id % 3 = 0"), ["doc_id"], "h")
+    return out.groupBy("action", "reuse").agg(F.count("*").alias("n"))
+
+
+@query()
+def embedding_batches(t: Tables) -> DataFrame:
+    from plumbline.functions.text import estimate_tokens
+
+    batches = S.embedding_batches(t.documents.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens")
+    return batches.groupBy("batch").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"""SELECT doc_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{{L}}+')), {_LIST})) + CASE WHEN source = 'src3' THEN 100 ELSE 0 END AS BIGINT) AS score FROM documents
+WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{{L}}+')), {_LIST})) + CASE WHEN source = 'src3' THEN 100 ELSE 0 END > 0""")
+def overlap_rank(t: Tables) -> DataFrame:
+    ranked = S.overlap_ranking(t.documents, "doc_id", "text", TERMS, F.col("source") == "src3")
+    return ranked.select("doc_id", F.col("score").cast("long").alias("score"))

@@ -139,3 +139,20 @@ def stream_window(t: Tables) -> DataFrame:
     """Daily counts of the windows that the watermark has closed."""
     counts = _streamed(t, lambda s: S.windowed_counts(s, "ts", ["event_type"], "1 day", late="1 hour"))
     return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS a, lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)
+SELECT o_custkey, CAST(sum(b - a) AS BIGINT) AS gap_days, count(*) FILTER (WHERE a IS NULL) AS open_gaps FROM s WHERE o_orderstatus = 'P' AND (b IS NULL OR a < b) GROUP BY 1""")
+def gap_days(t: Tables) -> DataFrame:
+    """Days without a known text per customer."""
+    gaps = _spans(t).filter("o_orderstatus = 'P'").select("o_custkey", F.col("valid_from").alias("gap_from"), F.col("valid_to").alias("gap_to"))
+    return I.days_of_gaps(gaps, ["o_custkey"])
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderstatus = 'P' AS gap, CAST(o_orderdate AS DATE) AS a, lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY a, gap) AS place FROM s WHERE b IS NULL OR a < b)
+SELECT place, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE NOT gap) AS versions FROM p GROUP BY 1""")
+def interleaved_timeline(t: Tables) -> DataFrame:
+    spans = _spans(t)
+    rows = I.interleaved(spans.filter("o_orderstatus <> 'P'"), spans.filter("o_orderstatus = 'P'"), "o_custkey")
+    counts = rows.groupBy("place").agg(F.count_if(F.col("kind") == "gap").alias("gaps"), F.count_if(F.col("kind") == "version").alias("versions"))
+    return counts.select(F.col("place").cast("long").alias("place"), "gaps", "versions")
