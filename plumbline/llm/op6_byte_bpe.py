@@ -151,14 +151,14 @@ def codec(ranks_path: str, pattern: str) -> tuple[PrefixEncoder, PieceMemo]:
             parts = [[m.encode("utf-8", "surrogatepass") for m in matches(piece)] for piece in pieces]
             words = memo(owner, "words")
             new = set().union(*parts).difference(words)
-            if len(words) + len(new) > 1_200_000:
+            if len(words) + len(new) > 400_000:
                 words.clear()
                 new = set().union(*parts)
             words.update(encoder.encode_all(new))
             get = words.__getitem__
             return [b"".join(map(get, x)) for x in parts]
 
-        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode, owner)
+        _codecs[ranks_path, pattern] = encoder, PieceMemo(encode, owner, limit=600_000)
     return _codecs[ranks_path, pattern]
 
 
