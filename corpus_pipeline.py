@@ -3,6 +3,10 @@
 Each stage reads what the one before kept (written as Parquet) and all but the last return the
 columns of the documents table. Decisions are made by the operators of ``plumbline.llm`` and take
 effect: rejected rows go, secrets are replaced in the texts.
+
+Rows with a null ``doc_id`` are judged by their texts like others, but stages that drop by id leave
+them; rows that share a ``doc_id`` stand or fall together in the stages that drop by id. Null and
+empty texts pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
