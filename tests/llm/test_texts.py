@@ -321,3 +321,17 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         docs = out
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("none", [False, True])
+def test_pipeline_odd_rows(spark, none):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(d, t, None, "src0", None) for d, t in odd_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.limit(0) if none else docs
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).cache()
+        assert out.count() <= docs.count() and (not none or out.count() == 0)
+        assert out.columns == docs.columns or "decoded_sha256" in out.columns
+        docs = out
+    assert none or docs.filter("doc_id is null").count() > 0
