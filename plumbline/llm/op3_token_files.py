@@ -18,6 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,11 @@ def _memo(tokenizer_path: str) -> PieceMemo:
             return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
         def encode(pieces: list[str]) -> list[bytes]:
-            plain = [p for p in pieces if p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace()]
-            found = {}
-            for low in range(0, len(plain), 5_000):
-                part = plain[low : low + 5_000]
-                found.update(zip(part, run_on(part), strict=True))
-            rest = [p for p in pieces if p not in found]
-            found.update(zip(rest, one_by_one(rest), strict=True))
-            return [found[p] for p in pieces]
+            plain = [p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace() for p in pieces]
+            out, rest = list(compress(pieces, plain)), [p for p, simple in zip(pieces, plain, strict=True) if not simple]
+            ids = [x for low in range(0, len(out), 5_000) for x in run_on(out[low : low + 5_000])]
+            simple, others = iter(ids), iter(one_by_one(rest))
+            return [next(simple) if p else next(others) for p in plain]
 
         _memos[tokenizer_path] = PieceMemo(encode, f"token files {tokenizer_path}", limit=1_700_000)
     return _memos[tokenizer_path]

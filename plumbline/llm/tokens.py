@@ -58,7 +58,7 @@ class PieceMemo:
                 if len(self.known) + len(new) > self.limit:
                     self.known.clear()
                     new = set().union(*group)
-                found = sorted(new)
+                found = list(new)
                 self.known.update(zip(found, self.encode(list(map(piece_of, found))), strict=True))
             get = self.known.__getitem__
             for keys in group:
