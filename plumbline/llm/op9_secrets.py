@@ -1,11 +1,12 @@
 """Secrets: pattern-found credentials, and strings that a battery of randomness tests finds random.
 
-A candidate is a run of 20 or more characters of an encoding's alphabet with digits and letters in
-it. The encoding is inferred (hex, base32, base64) and three tests ask whether its symbols look
+A candidate is a run of 16 or more characters of an encoding's alphabet with a letter in it, after
+whatever sign ("=" too); "=" belongs to it as padding at its end only. The encoding is inferred (hex, base32, base64) and three tests ask whether its symbols look
 uniform and independent: chi-squared against the alphabet, runs about the median, lag-one serial
 correlation. A candidate that fails any at ``reject`` is no key. The others must also be shown not
 to be ordinary writing: their p-value is the likelihood ratio of the corpus's own character pairs
-to uniform symbols, a bound that a long string can push further down than a short one, and the
+to uniform symbols, pairs taken as they are or as words in another case and joined by other signs
+(capitals, camelCase, snake_case), whichever is likelier. It is a bound that a long string can push further down than a short one, and the
 Benjamini-Hochberg step-up over all candidates of the corpus keeps false discoveries below
 ``fdr``. Its threshold comes from a histogram of log p-values, whose size is fixed.
 
@@ -33,7 +34,7 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}")
+_RUN = re.compile(r"([A-Za-z0-9+/_-]{16,})(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 
 #: The alphabets of the encodings, in the order in which they are tried.
@@ -45,6 +46,10 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+#: Characters as the model of re-cased writing sees them: lower case, joining signs as spaces.
+_FOLDED = np.array([32 if chr(c) in "+/-_" else ord(chr(c).lower()) for c in range(128)])
+#: log10 of how likely writing keeps its case between letters, changes it, and takes one joining sign of five.
+SAME_CASE, OTHER_CASE, ONE_SIGN = math.log10(0.9), math.log10(0.1), math.log10(0.2)
 #: Histogram cells of -log10 p; the last one holds everything beyond.
 CELLS, CELL = 4000, 0.05
 
@@ -63,7 +68,7 @@ def credentials(text: str) -> list[tuple[str, int, int]]:
 
 def encoding_of(token: str) -> str | None:
     letters = set(token)
-    if not any(c.isdigit() for c in letters) or not any(c.isalpha() for c in letters):
+    if not any(c.isalpha() for c in letters):
         return None
     return next((k for k, own in _SETS.items() if letters <= own), None)
 
@@ -89,18 +94,26 @@ def randomness(token: str, encoding: str) -> tuple[float, float, float]:
 
 
 def natural_log_odds(token: str, encoding: str, log_pairs: np.ndarray) -> float:
-    """log10 of p(token | uniform symbols) / p(token | the corpus's character pairs)."""
+    """log10 of p(token | uniform symbols) / p(token | the corpus's character pairs).
+
+    The pairs are the likelier of two equally likely models: as they are, and re-cased.
+    """
     codes = np.frombuffer(token.encode("ascii"), np.uint8)
-    natural = float(log_pairs[32, codes[0]] + log_pairs[codes[:-1], codes[1:]].sum())
+    folded = _FOLDED[codes]
+    upper = np.array([c.isupper() for c in token if c.isalpha()])
+    changes, signs = int(np.count_nonzero(upper[1:] != upper[:-1])), int(np.count_nonzero(folded == 32))
+    cased = changes * OTHER_CASE + (len(upper) - 1 - changes) * SAME_CASE + signs * ONE_SIGN
+    likely = [float(model[32, x[0]] + model[x[:-1], x[1:]].sum()) for model, x in zip(log_pairs, (codes, folded), strict=True)]
+    natural = max(likely[0], likely[1] + cased + math.log10(0.5)) + math.log10(0.5)
     return -len(token) * math.log10(len(ALPHABETS[encoding])) - natural
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Runs of an encoding's characters outside the spans that the patterns found."""
-    if max(map(len, text.split()), default=0) < 20:
+    if max(map(len, text.split()), default=0) < 16:
         return []
-    runs = [m for m in _RUN.finditer(text) if encoding_of(m[0])]
-    return [{"token": m[0], "start": m.start(), "end": m.end()} for m in runs if not any(s <= m.start() and m.end() <= e for _, s, e in spans)]
+    runs = [m for m in _RUN.finditer(text) if encoding_of(m[1])]
+    return [{"token": m[1], "start": m.start(), "end": m.end()} for m in runs if not any(s <= m.start() and m.end(1) <= e for _, s, e in spans)]
 
 
 def strength(token: str, log_pairs: np.ndarray, reject: float) -> float:
@@ -136,12 +149,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def character_model(found: DataFrame) -> np.ndarray:
-    """log10 p(next character | character), smoothed; at most 128 x 128 counts reach the driver."""
-    counts = np.full((128, 128), 0.5)
+    """log10 p(next character | character), smoothed, as written and folded; at most 128 x 128 counts reach the driver."""
+    counts = np.full((2, 128, 128), 0.5)
     summed = found.filter(~F.col("is_doc")).select(F.explode("pairs").alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n"))
     for pair, n in summed.collect():
-        counts[pair >> 7, pair & 127] += n
-    return np.log10(counts / counts.sum(axis=1, keepdims=True))
+        counts[0, pair >> 7, pair & 127] += n
+        counts[1, _FOLDED[pair >> 7], _FOLDED[pair & 127]] += n
+    return np.log10(counts / counts.sum(axis=2, keepdims=True))
 
 
 def judged(found: DataFrame, log_pairs: np.ndarray, reject: float) -> DataFrame:
