@@ -7,7 +7,9 @@ reader gets sequence i without copying. A second Arrow file beside it lists each
 The manifest (one row per file) is a Parquet table that Spark commits: files of failed or
 speculative attempts are never in it.
 
-Defined results: null text = empty text = the end id alone; a null ``doc_id`` sorts first; rows
+Defined results: the ids are the library's own with ``add_special_tokens=False``, so a text that holds
+an added token's string (``<|endoftext|>``) gets that token's id there; null text = empty text = the
+end id alone; a null ``doc_id`` sorts first; rows
 that share a ``doc_id`` are separate documents ordered by text; an empty table gives no rows; other
 columns are ignored.
 """
@@ -40,8 +42,6 @@ def _memo(tokenizer_path: str) -> PieceMemo:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-
         vocabulary = tok.get_vocab()
         begins = np.zeros(max(vocabulary.values()) + 1, bool)
         begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # tokens with a leading space
@@ -65,7 +65,7 @@ def _memo(tokenizer_path: str) -> PieceMemo:
             simple, others = iter(ids), iter(one_by_one(rest))
             return [next(simple) if p else next(others) for p in plain]
 
-        _memos[tokenizer_path] = PieceMemo(encode, f"token files {tokenizer_path}", limit=1_700_000)
+        _memos[tokenizer_path] = PieceMemo(encode, f"token files {tokenizer_path}", limit=1_700_000, apart=[t.content for t in tok.get_added_tokens_decoder().values()])
     return _memos[tokenizer_path]
 
 

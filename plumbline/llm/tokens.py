@@ -43,16 +43,25 @@ class PieceMemo:
     """Encoded bytes of pieces, each distinct piece encoded once while it stays in the memo.
 
     ``encode`` maps a list of pieces to a list of little-endian id bytes. The memo is emptied when
-    it holds ``limit`` pieces, so its memory is bounded whatever the corpus.
+    it holds ``limit`` pieces, so its memory is bounded whatever the corpus. The strings in ``apart``
+    are pieces wherever they stand, and what is between them is cut as a text of its own.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], owner: str, limit: int = 1_200_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], owner: str, limit: int = 1_200_000, apart: Iterable[str] = ()):
         self.encode, self.owner, self.limit, self.known = encode, owner, limit, {}
+        self.apart = sorted(apart, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, self.apart))})")
+
+    def keys(self, text: str) -> list[str]:
+        if not any(x in text for x in self.apart):
+            return space_keys(text)
+        parts = self.cut.split(text)
+        return [k for i, part in enumerate(parts) if part for k in ([" " + part] if i % 2 else space_keys(part))]
 
     def ids(self, texts: Iterable[str], together: int = 512) -> Iterator[bytes]:
         """The ids of each text; new pieces of ``together`` texts are encoded in one call."""
         texts, self.known = iter(texts), memo(self.owner, "pieces")
-        while group := [space_keys(t) for t in islice(texts, together)]:
+        while group := [self.keys(t) for t in islice(texts, together)]:
             new = set().union(*group).difference(self.known)
             if new:
                 if len(self.known) + len(new) > self.limit:

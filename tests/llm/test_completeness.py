@@ -1,9 +1,27 @@
 """Inputs that an operator once cut before its tests saw them."""
 
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+from plumbline.llm import op3_token_files as op3
 from plumbline.llm import op9_secrets as op9
-from tests.llm.helpers import documents
+from tests.llm.helpers import documents, new_folder
+
+
+def test_token_files_give_the_librarys_ids_for_added_tokens(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a \n <|endoftext|>  b", "plain words", "<|endoftext |> no"]
+    tok, want, start = Tokenizer.from_file(path), {}, 0
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want[i], start = (start, len(ids), zlib.crc32(ids.tobytes())), start + len(ids)
+    folder = new_folder(tmp_path)
+    manifest = op3.write_token_files(documents(spark, list(enumerate(texts))), folder, path)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op3.read_token_files(manifest, folder).collect()} == want
 
 
 def test_random_strings_after_equals_short_and_without_digits_are_found(spark):
