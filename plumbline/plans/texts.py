@@ -49,13 +49,12 @@ def benchmark_overlap(t: Tables) -> DataFrame:
 SELECT p.doc_id, p.o AS other, round(len(list_intersect(p.g, s.g)) / least(len(p.g), len(s.g)), 6) AS score FROM p JOIN s ON s.doc_id = p.o""")
 def shingle_containment(t: Tables) -> DataFrame:
     """Each document against the next one, by the smaller set."""
-    sets = t.documents.select("doc_id", "text").withColumn("g", T.shingles(F.col("text"))).filter(F.size("g") >= 20).select("doc_id", "g")
-    ids = sets.select("doc_id")
-    # Neighbours by id without a window over one partition: the next id is the least larger one, nearly always within a few.
-    steps = ids.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("d")).select("doc_id", (F.col("doc_id") + F.col("d")).alias("other"))
-    following = steps.join(ids.withColumnRenamed("doc_id", "other"), "other", "left_semi").groupBy("doc_id").agg(F.min("other").alias("other"))
-    pairs = sets.join(following, "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("g").alias("h")), "other")
-    return pairs.select("doc_id", "other", F.round(X.containment(F.col("g"), F.col("h")), 6).alias("score"))
+    held = t.documents.select("doc_id", "text").filter(F.size(T.shingles(F.col("text"))) >= 20)
+    pairs = X.beside_next(held, "doc_id", "text", spread=t.documents)
+    # A lambda's argument is evaluated once; as plain columns the sets would be built at each mention.
+    sets = F.array(F.struct(T.shingles(F.col("text")).alias("g"), T.shingles(F.col("other_text")).alias("h")))
+    score = F.transform(sets, lambda s: X.containment(s["g"], s["h"]))[0]
+    return pairs.select("doc_id", "other", F.round(score, 6).alias("score"))
 
 
 @query("""SELECT min(doc_id) AS first_id, count(*) AS copies, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
