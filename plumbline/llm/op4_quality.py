@@ -6,13 +6,17 @@ grade and the tail probability P(grade >= k) follow. Features are the document's
 a few measures of its shape (repetition, capitals, symbols, word length) cut into steps.
 
 Fitting uses at most ``FIT_ROWS`` rated documents, those with the smallest hashes of their ids; the
-bound is what lets the ratings be broadcast and the sample's features be fitted on the driver. The
-scores are one map over all texts.
+bound is what lets the ratings be broadcast. Their features are stored; tasks count in how many of
+them each bucket stands beside each grade (K x 2**BITS sums), and only the buckets that tell grades
+apart come to the driver, a few per document. The scores are one map over all texts.
 
 Defined results: null text = empty text (shape features only); documents without a rating are
 scored like any other; several ratings of one document count as the lowest; a null rating does not
-count; without any ratings every document has the top grade and is kept; repeated or null
-``doc_id`` rows stay separate; an empty table gives no rows; other columns pass through ``kept``.
+count; ratings of equal hash are taken in order of ``doc_id``; without any ratings every document has
+the top grade and is kept; repeated or null ``doc_id`` rows stay separate (a rated id that repeats
+counts once for each of its rows, within ``FIT_ROWS``); an empty table gives no rows; a text of any
+length is one row of features, at most 2**BITS of them; other columns pass through ``scored``, whose
+scores replace columns of the same names; ``kept_by`` gives back a table's own columns as they are.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import ids_and_texts, memo, table
+from plumbline.llm.common import ids_and_texts, memo, stored, table
 
 FIT_ROWS = 20_000
 #: A document is kept when the top grade is at least this likely.
@@ -91,57 +96,60 @@ class OrdinalModel:
         return np.array([float(self.weights[b].sum()) for b in buckets])
 
 
-def fit(buckets: list[np.ndarray], grades: np.ndarray, k: int = GRADES, steps: int = 250, rate: float = 0.1, ridge: float = 1e-4, least: int = 10, evidence: float = 6.0) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam.
+def telling(counts: np.ndarray, grades: np.ndarray, least: int = 10, evidence: float = 6.0) -> np.ndarray:
+    """The buckets that may have a weight, from documents by grade and bucket and documents by grade.
 
-    A bucket keeps weight 0 unless ``least`` documents have it and their share of some grade lies
-    ``evidence`` standard errors from that grade's share in the sample: rare words would only add
-    noise to long documents.
+    ``least`` documents have it and their share of some grade lies ``evidence`` standard errors from
+    that grade's share in the sample: rare words would only add noise to long documents.
     """
-    size = 1 << BITS
-    if not len(grades):
+    n, seen = max(1, grades.sum()), counts.sum(axis=0)
+    found = np.zeros(counts.shape[1], bool)
+    for rate, own in zip(grades / n, counts, strict=True):
+        found |= np.abs(own - seen * rate) >= evidence * np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
+    return found & (seen >= least)
+
+
+def fit(buckets: list[np.ndarray], grades: np.ndarray, k: int = GRADES, steps: int = 250, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam; only the buckets that the rows hold can get a weight."""
+    size, n = 1 << BITS, len(grades)
+    if not n:
         return OrdinalModel(np.zeros(size), np.full(k - 1, -20.0))
-    flat, lengths = np.concatenate(buckets), np.array([len(b) for b in buckets])
-    row = np.repeat(np.arange(len(grades)), lengths)
-    seen = np.bincount(flat, minlength=size)
-    telling = np.zeros(size, bool)
-    for j in range(k):
-        rate_j = np.mean(grades == j)
-        spread = np.sqrt(np.maximum(seen * rate_j * (1 - rate_j), 1e-9))
-        telling |= np.abs(np.bincount(flat, grades[row] == j, size) - seen * rate_j) >= evidence * spread
-    use = (telling & (seen >= least))[flat]
-    flat, row = flat[use], row[use]
-    names, flat = np.unique(flat, return_inverse=True)
-    n = len(grades)
+    row = np.repeat(np.arange(n), [len(b) for b in buckets])
+    names, flat = np.unique(np.concatenate(buckets), return_inverse=True)
     share = np.bincount(grades, minlength=k) / n
     balance = (1 / np.maximum(share, 1e-9) ** 0.5)[grades]
     balance /= balance.mean()
-    # thresholds = first, then positive gaps: always ordered
     x = np.zeros(len(names) + k - 1)
     x[len(names)] = -2.0
     mean, var = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        w, raw = x[: len(names)], x[len(names) :]
-        gaps = np.exp(raw[1:])
-        cuts = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, w[flat], n)
-        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -40, 40))), np.ones((n, 1))], axis=1)
-        slope = below * (1 - below)  # d P(grade <= j) / d threshold_j
-        at = np.arange(n)
-        p = np.maximum(below[at, grades + 1] - below[at, grades], 1e-12)
-        up, low = slope[at, grades + 1] / p * balance / n, slope[at, grades] / p * balance / n
-        d_score = up - low  # of the negative log-likelihood
-        d_cut = np.zeros(k - 1)
-        for j in range(k - 1):
-            d_cut[j] = low[grades == j + 1].sum() - up[grades == j].sum()
-        tail = np.cumsum(d_cut[::-1])[::-1]
-        grad = np.concatenate([np.bincount(flat, d_score[row], len(names)) + ridge * w, [tail[0]], tail[1:] * gaps])
+        grad = slope_at(x, flat, row, grades, balance, len(names), k, ridge)[1]
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         x -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(size)
     weights[names] = x[: len(names)]
-    raw = x[len(names) :]
-    return OrdinalModel(weights, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
+    return OrdinalModel(weights, cuts_of(x[len(names) :]))
+
+
+def cuts_of(raw: np.ndarray) -> np.ndarray:
+    """The first threshold, then positive gaps: always ordered."""
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
+
+
+def slope_at(x: np.ndarray, flat: np.ndarray, row: np.ndarray, grades: np.ndarray, balance: np.ndarray, names: int, k: int, ridge: float) -> tuple[float, np.ndarray]:
+    """(penalised mean negative log-likelihood, its gradient) at weights and raw thresholds ``x``."""
+    n, w, raw = len(grades), x[:names], x[names:]
+    score = np.bincount(row, w[flat], n)
+    below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(score[:, None] - cuts_of(raw), -40, 40))), np.ones((n, 1))], axis=1)
+    slope = below * (1 - below)  # d P(grade <= j) / d threshold_j
+    at = np.arange(n)
+    p = np.maximum(below[at, grades + 1] - below[at, grades], 1e-12)
+    up, low = slope[at, grades + 1] / p * balance / n, slope[at, grades] / p * balance / n
+    d_score = up - low  # of the negative log-likelihood
+    d_cut = np.array([low[grades == j + 1].sum() - up[grades == j].sum() for j in range(k - 1)])
+    tail = np.cumsum(d_cut[::-1])[::-1]
+    grad = np.concatenate([np.bincount(flat, d_score[row], names) + ridge * w, [tail[0]], tail[1:] * np.exp(raw[1:])])
+    return float(-(np.log(p) * balance).sum() / n + ridge * (w @ w) / 2), grad
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -160,20 +168,39 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, k: int = G
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("grade"), pa.array(found, pa.binary())], names=["grade", "buckets"])
 
-    sample = ids_and_texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(run, "grade int, buckets binary").limit(rows)
-    got = sample.toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["grade"][i].as_py(), got["buckets"][i].as_py()))
-    buckets = [np.frombuffer(got["buckets"][i].as_py(), np.int32) for i in order]
-    return fit(buckets, np.array([got["grade"][i].as_py() for i in order], np.int64), k)
+    sample = stored(ids_and_texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(run, "grade int, buckets binary").limit(rows), "rated")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k, (1 << BITS) + 1), np.int64)  # the last place: documents of the grade
+        for batch in batches:
+            for grade, found in zip(batch.column("grade").to_pylist(), batch.column("buckets").to_pylist(), strict=True):
+                sums[grade, np.frombuffer(found, np.int32)] += 1
+                sums[grade, -1] += 1
+        grade, at = np.nonzero(sums)
+        yield pa.record_batch([pa.array(grade, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[grade, at])], names=["grade", "at", "n"])
+
+    sums = sample.mapInArrow(count, "grade int, at int, n long").groupBy("grade", "at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((k, (1 << BITS) + 1), np.int64)
+    counts[sums["grade"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
+    use = telling(counts[:, :-1], counts[:, -1])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(b, np.int32) for b in batch.column("buckets").to_pylist()]
+            yield pa.record_batch([batch.column("grade"), pa.array([b[use[b]].tobytes() for b in found], pa.binary())], names=["grade", "buckets"])
+
+    # Rows in an order of their own make the fit the same whatever the partitioning.
+    got = sample.mapInArrow(keep, "grade int, buckets binary").orderBy("grade", "buckets").toArrow()
+    return fit([np.frombuffer(b, np.int32) for b in got["buckets"].to_pylist()], got["grade"].to_numpy().astype(np.int64), k)
 
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` and expected_grade, p_top (probability of the top grade), all columns kept.
+    """``docs`` and expected_grade, p_top (probability of the top grade), other columns kept.
 
     The model is a fixed 2**BITS weights, sent to each worker once.
     """
+    docs = docs.drop("expected_grade", "p_top")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("expected_grade", "p_top")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -181,12 +208,22 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             below = m.at_most(m.score([features(t) for t in texts]))
             extra = [pa.array((1 - below).sum(axis=1), pa.float64()), pa.array(1 - below[:, -1], pa.float64())]
-            yield pa.record_batch([batch.column(f.name) for f in fields] + extra, names=[f.name for f in fields] + ["expected_grade", "p_top"])
+            yield pa.record_batch(batch.columns + extra, names=batch.schema.names + ["expected_grade", "p_top"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
 
-    from pyspark.sql import types as T
+def kept_by(docs: DataFrame, model: OrdinalModel, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose top grade is at least ``least`` likely, their own columns only."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            below = sent.value.at_most(sent.value.score([features(t or "") for t in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(1 - below[:, -1] >= least))
 
-    schema = T.StructType([*fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
-    return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

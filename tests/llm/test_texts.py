@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import op3_token_files as op3
@@ -123,6 +124,60 @@ def test_quality_held_out(spark):
     assert np.all(np.diff(model.thresholds) > 0)
 
 
+def test_quality_gradient_is_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    n, names, k = 60, 7, 4
+    held = [np.flatnonzero(rng.random(names) < 0.4) for _ in range(n)]
+    flat, row = np.concatenate(held), np.repeat(np.arange(n), list(map(len, held)))
+    grades, balance = rng.integers(0, k, n), rng.random(n) + 0.5
+    for _ in range(20):
+        x = rng.normal(size=names + k - 1)
+        loss, grad = op4.slope_at(x, flat, row, grades, balance, names, k, 0.01)
+        cuts, w = op4.cuts_of(x[names:]), x[:names]
+        plain = 0.0
+        for i in range(n):  # the cumulative-link likelihood, a document at a time
+            score = w[held[i]].sum()
+            at_most = [0.0, *(1 / (1 + math.exp(score - c)) for c in cuts), 1.0]
+            plain -= balance[i] * math.log(at_most[grades[i] + 1] - at_most[grades[i]]) / n
+        assert math.isclose(loss, plain + 0.005 * float(w @ w), rel_tol=1e-9)
+        for j in range(len(x)):
+            step = np.zeros(len(x))
+            step[j] = 1e-5
+            slope = (op4.slope_at(x + step, flat, row, grades, balance, names, k, 0.01)[0] - op4.slope_at(x - step, flat, row, grades, balance, names, k, 0.01)[0]) / 2e-5
+            assert math.isclose(grad[j], slope, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_quality_query_equals_a_plain_version(spark):
+    """The query's rows from features, counts, fit and scores on whole lists, without Spark."""
+    docs, rated = [(r["doc_id"], r["text"] or "") for r in real_documents(spark).collect()], {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        rated[r["doc_id"]] = min(rated.get(r["doc_id"], 2), 0 if r["quality"] < 1 else 1 if r["toxic"] >= 1 else 2)
+    seen = sorted((rated[d], op4.features(t).tobytes()) for d, t in docs if d in rated)
+    grades, sets = np.array([g for g, _ in seen]), [np.frombuffer(b, np.int32) for _, b in seen]
+    counts = np.zeros((op4.GRADES, 1 << op4.BITS), np.int64)
+    for g, b in zip(grades, sets):
+        counts[g, b] += 1
+    use = op4.telling(counts, np.bincount(grades, minlength=op4.GRADES))
+    model = op4.fit([b[use[b]] for b in sets], grades)
+    got = {r["doc_id"]: (r["expected_grade"], r["p_top"], r["kept"]) for r in QUERIES["op4_quality"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d, t in docs:
+        below = [1 / (1 + math.exp(model.weights[op4.features(t)].sum() - c)) for c in model.thresholds]
+        assert np.allclose(got[d][:2], (sum(1 - b for b in below), 1 - below[-1]), atol=1e-6) and got[d][2] == (got[d][1] >= op4.KEEP)
+
+
+def test_quality_keeps_own_columns_and_ties(spark):
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} text number {i}") for i in range(200)] + [(7, "good fine text number 7")] * 3
+    df = documents(spark, rows).withColumn("p_top", F.lit("own"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = op4.fit_on(df, op4.graded(labels), k=3)
+    kept = op4.kept_by(df, model)
+    assert kept.columns == df.columns and {r["p_top"] for r in kept.collect()} == {"own"}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i % 2)
+    again = op4.fit_on(df.repartition(7), op4.graded(labels), k=3)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.thresholds, again.thresholds)
+
+
 def test_quality_odd_rows(spark):
     df = documents(spark, odd_rows())
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
