@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import shared_dir, table
-from plumbline.llm.op4_quality import KEEP, fit_on, graded, scored
+from plumbline.llm.op4_quality import fit_on, graded, kept_by
 from plumbline.llm.op5_near_duplicates import near_duplicates
 from plumbline.llm.op6_byte_bpe import encode_decode
 from plumbline.llm.op9_secrets import redacted
@@ -24,8 +24,7 @@ from plumbline.llm.op10_decontaminate import contaminated
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose top grade is likely enough (op 4)."""
-    model = fit_on(docs, graded(table(spark, sf_dir, "labels")))
-    return scored(docs, model).filter(F.col("p_top") >= KEEP).select(*docs.columns)
+    return kept_by(docs, fit_on(docs, graded(table(spark, sf_dir, "labels"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
