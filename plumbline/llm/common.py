@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below the cluster's shared folder, ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder (tests).
+    A local session without that setting gets a temporary folder (tests); a cluster must have it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -45,6 +47,21 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def joined(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` inner-joined with ``facts``, which has one row per key and the number ``n`` of its rows.
+
+    Keys with more than 1,000 rows and 1/1000 of all (at most 1,000 keys) are broadcast, so that the
+    rows of a hot key stay where they are and meet in no task.
+    """
+    total, most = facts.agg(F.sum(n), F.max(n)).first()
+    least = max(1_000, (total or 0) // 1_000)
+    if (most or 0) <= least:
+        return rows.join(facts, key)
+    hot = F.broadcast(facts.filter(F.col(n) > least))
+    cold = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col(n) <= least), key)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def lower_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()

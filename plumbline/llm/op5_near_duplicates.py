@@ -1,11 +1,11 @@
 """MinHash near-duplicates: a multi-index Hamming join of signatures, then exact confirmation.
 
-A document's signature holds 96 minima of its shingle hashes, cut to 16 bits. The first 48 symbols
-form 12 chunks of four. Two signatures that differ in at most 23 of the 48 have, by pigeonhole, a
-chunk with at most one differing symbol; so each chunk is indexed four times, each time with one
-symbol masked, and every pair under that distance shares a key. (At similarity 0.75 a pair shares
-none with probability 1e-7.) Pairs that share a key and differ in at most 46 of the 96 symbols are
-candidates (a pair at 0.75 differs in more with probability 3e-7), and the full shingle sets decide.
+A document's signature holds 96 minima of its shingle hashes, cut to 16 bits, in 24 chunks of four.
+Two signatures that differ in at most 47 symbols have, by pigeonhole, a chunk with at most one
+differing symbol; so each chunk is indexed four times, each time with one symbol masked, and every
+pair under that distance shares a key. Pairs that share a key and differ in at most 47 symbols are
+candidates (a pair at similarity 0.75 differs in more with probability 1e-7), and the full shingle
+sets decide.
 
 Nothing in the join grows with the number of pairs:
 
@@ -16,12 +16,15 @@ Nothing in the join grows with the number of pairs:
   in a task, which intersects each document with all others at once and gives back a spanning
   forest of the confirmed links. Every two documents of a group are compared unless they are
   connected already, so no link that matters is left out;
-* a key or group of more than ``BLOCK`` (``SETS``) documents is cut into blocks, and each pair of
-  blocks is one task's.
+* a key or group of more than ``BLOCK`` (``SETS``) documents, or of more than ``SHINGLES``
+  shingles, is cut into blocks, and each pair of blocks is one task's; keys and groups are counted
+  with partial sums, never in a window.
 
 Defined results: null, empty or wordless texts have 0 shingles and are linked with nothing; a
 repeated ``doc_id`` gives one row (its largest set); rows with a null ``doc_id`` take no part and
-come back each with a null component, kept; an empty table gives no rows; other columns are ignored.
+come back each with a null component, kept; ties cannot occur, components are named by their smallest
+id; a very long text is one set, held alone with those it is compared with; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, stored, table
+from plumbline.llm.common import ids_and_texts, joined, stored, table
 from plumbline.llm.graph import components
 from plumbline.llm.shingles import MinHash, mixed, shingles
 
-SYMBOLS, INDEXED, CHUNK, DISTANCE = 96, 48, 4, 46
+SYMBOLS, CHUNK, DISTANCE = 96, 4, 47
 PERCENT = 75
 BLOCK = 10_000  # signatures of a key that one task holds, twice at most
-SETS = 3_000  # sets of a group that one task holds, twice at most
-BITMAP = 1 << 25  # bits of the fixed-size filter that picks the texts to read again
+SETS, SHINGLES = 3_000, 4_000_000  # sets of a group, and their shingles, that one task holds, twice at most
+PICKED = 1 << 25  # documents up to which a broadcast filter, 16 bits for each, picks the texts to read again
 
 _SIGNED = "doc_id long, n_shingles long, class binary, signature binary"
 
@@ -69,9 +72,9 @@ def _symbols(column: pa.Array) -> np.ndarray:
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each chunk and masked symbol: rows x (INDEXED / CHUNK * CHUNK)."""
+    """A 64-bit key for each chunk and masked symbol: a row per signature."""
     keys = []
-    for low in range(0, INDEXED, CHUNK):
+    for low in range(0, SYMBOLS, CHUNK):
         for masked in range(CHUNK):
             key = np.full(len(symbols), low * CHUNK + masked, np.uint64)
             for i in range(CHUNK):
@@ -93,13 +96,15 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("doc", "signature").mapInArrow(run, "doc long, key long")
 
 
-def blocked(rows: DataFrame, group: str, row: str, most: int) -> DataFrame:
-    """rows with ``spot``, one for each pair of the group's blocks that the row's block is in."""
-    blocks = F.ceil(F.count("*").over(Window.partitionBy(group)) / most).cast("int")
-    cut = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(row), F.col("_n")).cast("int"))
+def blocked(rows: DataFrame, counts: DataFrame, group: str, row: str, blocks) -> DataFrame:
+    """rows with ``spot``, one for each pair of the group's blocks that the row's block is in.
+
+    ``counts``: group, n (rows) and what ``blocks``, a column, needs to tell a group's blocks.
+    """
+    cut = joined(rows, counts.withColumn("_n", blocks.cast("int")), group).withColumn("_b", F.pmod(F.xxhash64(row), F.col("_n")).cast("int"))
     pair = F.struct(F.least("_b", "_o"), F.greatest("_b", "_o"))
     meets = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return meets.withColumn("spot", F.xxhash64(F.col(group), pair)).drop("_n", "_b", "_o")
+    return meets.select(row, F.xxhash64(F.col(group), pair).alias("spot"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -125,8 +130,8 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
 
-def candidate_forest(buckets: DataFrame) -> DataFrame:
-    """(a, b): in every key, a spanning forest of the pairs within the signature distance."""
+def candidate_forest(classes: DataFrame) -> DataFrame:
+    """(a, b) of classes (doc, signature): in every key, a spanning forest of the pairs within the signature distance."""
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -146,39 +151,47 @@ def candidate_forest(buckets: DataFrame) -> DataFrame:
                 found = []
         yield _links(found)
 
-    rows = blocked(buckets, "key", "doc", BLOCK).select("spot", "doc", "signature")
+    keys = _keyed(classes)
+    crowds = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowds")
+    rows = blocked(keys, crowds, "key", "doc", F.ceil(F.col("n") / BLOCK)).join(classes.select("doc", "signature"), "doc")
     return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
 
 
-def _bitmap(docs: DataFrame) -> np.ndarray:
-    """A filter of ``BITMAP`` bits over the column ``doc``; its size does not depend on the data."""
-    at = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
-    bits = docs.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit")
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITMAP // 64, np.int64)
+def _bitmap(docs: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits over the column ``doc``."""
+    at = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    words = docs.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, grams of (at least) the wanted documents, from their whole texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    """doc, grams of (at least) the wanted documents, from their whole texts: picked by a broadcast
+    filter of at most 2 * PICKED bytes, or by a semi-join where there are more of them."""
+    n, texts = wanted.count(), ids_and_texts(docs).filter("doc_id is not null")
+    bits = 64 * max(1, n // 4)
+    if n > PICKED:
+        texts, few = texts.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), None
+    else:
+        few = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            use = pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-            batch = batch.filter(use)
+            if few is not None:
+                at = batch.column("at").to_numpy()
+                batch = batch.filter(pa.array((few.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             yield pa.record_batch([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "grams"])
 
-    texts = ids_and_texts(docs).filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
-    return texts.mapInArrow(run, "doc long, grams binary")
+    return texts.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(run, "doc long, grams binary")
 
 
 def confirmed_forest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): in every group (node, label), a spanning forest of the pairs whose full shingle sets
-    have 100 * intersection >= PERCENT * union."""
-    groups = stored(blocked(groups.select(F.col("node").alias("doc"), "label"), "label", "doc", SETS).select("doc", "spot"), "groups")
+    """(a, b): in every group (doc, label, n_shingles), a spanning forest of the pairs whose full
+    shingle sets have 100 * intersection >= PERCENT * union."""
+    counts = groups.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / SETS), F.least(F.ceil(F.col("size") / SHINGLES), F.col("n")))
+    groups = stored(blocked(groups.select("doc", "label"), counts, "label", "doc", blocks), "groups")
     rows = _sets(docs, groups.select("doc").distinct()).join(groups, "doc").select("spot", "doc", "grams")
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +241,9 @@ def exact_links(docs: list[int], data: list[bytes]) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the contract in the module's text."""
     found = stored(signed(docs), "signatures")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_shingles"), F.desc("class")))
-    documents = found.filter("doc_id is not null").select("doc_id", "n_shingles", "class", first.alias("copy")).filter("copy = 1").drop("copy")
-    classes = stored(found.filter("doc_id is not null and n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "signature")).alias("x")).select("class", F.col("x.doc_id").alias("doc"), F.col("x.signature").alias("signature")), "classes")
-    crowd = F.count("*").over(Window.partitionBy("key"))
-    keys = _keyed(classes).withColumn("crowd", crowd).filter("crowd > 1").drop("crowd")
-    buckets = stored(keys.join(classes.drop("class"), "doc"), "keys")
-    groups = components(candidate_forest(buckets))
+    documents = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "class")).alias("x")).select("doc_id", "x.*")
+    classes = stored(found.filter("doc_id is not null and n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x")).select("class", F.col("x.doc_id").alias("doc"), "x.n_shingles", "x.signature"), "classes")
+    groups = stored(components(candidate_forest(classes)).withColumnRenamed("node", "doc").join(classes.select("doc", "n_shingles"), "doc"), "candidates")
     labels = components(confirmed_forest(docs, groups))
     classed = documents.join(classes.select("class", F.col("doc").alias("first")), "class", "left").join(labels, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id"))

@@ -166,12 +166,12 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, block):
 
 
 def test_pigeonhole():
-    """Signatures of 48 symbols that differ in 23 share a key, wherever the differences lie."""
+    """Signatures of 96 symbols that differ in 47 share a key, wherever the differences lie."""
     rng = np.random.default_rng(2)
     for _ in range(200):
         a = rng.integers(0, 1 << 16, 96).astype(np.uint16)
         b = a.copy()
-        b[rng.choice(48, 23, replace=False)] += 1
+        b[rng.choice(96, 47, replace=False)] += 1
         keys = op5_near_duplicates.chunk_keys(np.stack([a, b]))
         assert (keys[0] == keys[1]).any()
 
@@ -182,5 +182,21 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 1000: 1000, 1001: 1000}
 
 
+def test_components_of_a_hot_star(spark):
+    """A centre with most of all links: its links are joined by broadcast."""
+    links = spark.createDataFrame([(5, i) for i in range(10, 4_000)] + [(i, i + 1) for i in range(5_000, 5_300)] + [(3_999, 5_000)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(links).collect()}
+    assert got == {**dict.fromkeys([5, *range(10, 4_000), *range(5_000, 5_301)], 5)}
+
+
+@pytest.mark.parametrize(("picked", "shingles_"), [(0, 4_000_000), (1 << 25, 300)])
+def test_near_duplicates_by_semi_join_and_by_size(spark, monkeypatch, picked, shingles_):
+    monkeypatch.setattr(op5_near_duplicates, "PICKED", picked)
+    monkeypatch.setattr(op5_near_duplicates, "SHINGLES", shingles_)
+    rows = [(i, " ".join(f"t{j + i // 3}" for j in range(60 + 400 * (i == 7)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_components(op5_near_duplicates.near_duplicates(df)) == brute_components(texts_of(df))
+
+
 def test_near_duplicates_empty(spark):
     assert op5_near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
