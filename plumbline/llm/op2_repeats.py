@@ -10,23 +10,28 @@ function of the window's bytes alone, so equal windows have equal anchors. Neigh
 share anchors; about every 35th byte begins a new *span*, the windows of one anchor occurrence.
 
 1. spans (anchor hash, span digest, place) are dealt out by anchor. Of equal spans the first stays
-   and all windows of the others are repeats. What is left are different spans. Only where several
-   of them share an anchor can further windows be equal: at the edges of repeats and around edits.
-2. those spans' bytes are read again and dealt out by anchor. Each group of anchors gets a suffix
-   array, by prefix doubling up to ``length`` bytes with ties in text order. A window with an equal
-   one before it in suffix order has an LPF of at least ``length``: its previous smaller position
-   is that neighbour.
+   and the others, whose windows all start earlier in the first, are repeats. What is left are
+   different spans. Only where several of them share an anchor can further windows be equal: at the
+   edges of repeats and around edits.
+2. those spans' bytes are cut from the texts, which meet the list of them in groups of ids, and are
+   dealt out by anchor. Each group of anchors gets a suffix array, by prefix doubling up to
+   ``length`` bytes with ties in text order. The previous and the next smaller position of each
+   position in suffix order are its two candidates for an earlier match; the longer common prefix
+   with either is its LPF, and a window whose LPF reaches ``length`` is a repeat.
 3. the repeats meet their documents, in groups of ids, and are cut out.
 
-An anchor that holds more than 1/HOT of all spans (a line that every page carries) is found in a
-sample beforehand; at most HOT anchors can. Its spans are dealt out by their own digests in step 1
-and its windows by their digests in step 2, so no task gets them all. The sample decides only where
-rows go, never the result. Copies inside a task's own texts are settled before the shuffle.
-
-Defined results: null text = empty text; documents shorter than ``length`` stay whole; a row whose
-``doc_id`` is null has no order, so it is left whole and repeats nothing; rows that share
-``doc_id`` and text come back as one document (other rows that share an id are cut at each other's
-places too: ids are meant to be unique); an empty table gives no rows; other columns are ignored.
+Equal spans are told by 96 bits of a digest, so that copies of texts are not carried around; so are
+the windows of an anchor that holds more than 1/HOT of all spans, or more than HOT_SPANS of them (a
+line that every page carries). Such anchors are found in a sample beforehand; at most HOT and one for
+each HOT_SPANS spans can exist. Their spans are dealt out by their own digests in step 1 and their
+windows by theirs in step 2, so no task gets them all. The sample decides only where rows go, never
+the result. Copies inside a task's own texts are settled before the shuffle.
+
+Defined results: null text = empty text = nothing to remove; ``doc_id`` is a key: rows with the same id
+and text are one document, rows with the same id and other texts are cut where either repeats; rows
+with a null ``doc_id`` have no place in the order: each comes back whole and repeats nothing; a text of
+any length is cut a piece of 4 MB at a time; of equal strings the earliest start is kept, so there are
+no ties; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,12 +52,11 @@ from plumbline.llm.shingles import mixed
 LENGTH, GRAM = 100, 24
 TEXT_BYTES = 16 << 20  # bytes of text that a task looks at together, and that a group of ids holds
 SPANS, CONTEXT_BYTES = 400_000, 4 << 20  # spans, and span bytes, that a group should hold
-HOT, SAMPLE = 5_000, 64
-BITMAP = 1 << 26
+HOT, HOT_SPANS, SAMPLE = 5_000, 1_000_000, 64
 PIECE = 4 << 20
 
 _ROWS = "what string, bucket long, h binary, s binary, doc binary, start binary, n binary"
-_MARKS = "what string, bucket long, doc binary, start binary, n binary"
+_MARKS = "what string, bucket long, h binary, doc binary, start binary, n binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -159,15 +163,20 @@ def _id_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def _mark_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, groups: int) -> list[dict]:
-    """Repeated windows as one row for each group of ids."""
+def _rows(what: str, group: np.ndarray, n_type: str = "<i4", **columns: np.ndarray) -> list[dict]:
+    """One row for each group, holding its part of the columns in order of place."""
     rows = []
-    for g, at in _by_bucket(_id_group(doc, groups)):
-        at = at[np.lexsort((start[at], doc[at]))]
-        rows.append({"what": "mark", "bucket": g, "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
+    for g, at in _by_bucket(group):
+        at = at[np.lexsort((columns["start"][at], columns["doc"][at]))]
+        rows.append({"what": what, "bucket": g, **{k: v[at].astype({"h": "<u8", "n": n_type}.get(k, "<i8")).tobytes() for k, v in columns.items()}})
     return rows
 
 
+def _mark_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, groups: int) -> list[dict]:
+    """Repeated windows by group of ids."""
+    return _rows("mark", _id_group(doc, groups), doc=doc, start=start, n=n)
+
+
 def _groups_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
     held, size = [], 0
     for batch in batches:
@@ -190,8 +199,14 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
+def _columns(table_: pa.Table, *names: str) -> list[np.ndarray]:
+    """Packed columns of some rows, end to end."""
+    kinds = {"h": "<u8", "n": "<i4"}
+    return [np.concatenate([np.zeros(0, kinds.get(c, "<i8")), *(np.frombuffer(x, kinds.get(c, "<i8")) for x in table_[c].to_pylist())]) for c in names]
+
+
 def hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors with more than 1/HOT of the spans of every SAMPLE-th document: at most HOT."""
+    """Anchors with more than 1/HOT, or HOT_SPANS, of all spans, judged by every SAMPLE-th document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _groups_of_texts(batches):
@@ -200,7 +215,7 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
 
     counts = stored(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r["h"] for r in counts.filter(F.col("n") > max(100, total / HOT)).select("h").collect()]
+    hot = [r["h"] for r in counts.filter(F.col("n") > max(100, min(total / HOT, HOT_SPANS / SAMPLE))).select("h").collect()]
     return np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
@@ -212,69 +227,88 @@ def _settle_spans(hot: np.ndarray, groups: int):
     """Step 1 in one group of anchors: repeats of whole spans, and the spans to look into."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed = pdf[pdf["what"] == "mark"].drop(columns=["h", "s"]).to_dict("records")
+        columns = [c.split()[0] for c in _MARKS.split(", ")]
+        passed = pdf[pdf["what"] == "mark"][columns].to_dict("records")
         pdf = pdf[pdf["what"] == "span"]
         if not len(pdf):
-            return pd.DataFrame(passed, columns=["what", "bucket", "doc", "start", "n"])
+            return pd.DataFrame(passed, columns=columns)
         h, doc, start, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4")))
         spans, first = Spans(h, *_split(b"".join(pdf["s"])), doc, start, n).firsts()
         h, _, _, doc, start, n = spans.columns
         rows = _mark_rows(doc[~first], start[~first], n[~first], groups)
         anchor = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
         several = first & ((np.bincount(anchor, first)[anchor] > 1) | _is_in(h, hot))
-        if several.any():
-            rows.append({"what": "open", "bucket": 0, "doc": doc[several].astype("<i8").tobytes(), "start": start[several].astype("<i8").tobytes(), "n": b""})
-        return pd.DataFrame(passed + rows, columns=["what", "bucket", "doc", "start", "n"])
+        doc, start, n, h = doc[several], start[several], n[several], h[several]
+        rows += _rows("open", _id_group(doc, groups), doc=doc, start=start, n=n, h=h)
+        return pd.DataFrame(passed + rows, columns=columns)
 
     return run
 
 
-def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (mixed(mixed(doc.astype(np.uint64)) + start.astype(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
-
-
-def _open_bitmap(settled: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the places of the spans to look into."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITMAP // 8, np.uint8)
-        for batch in batches:
-            for doc, start in zip(batch.column("doc").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                at = _place(np.frombuffer(doc, "<i8"), np.frombuffer(start, "<i8"))
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        words = bits.view("<i8")
-        used = np.flatnonzero(words)
-        yield pa.record_batch([pa.array(used), pa.array(words[used])], names=["word", "bits"])
-
-    found = settled.filter("what = 'open'").select("doc", "start").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def repeated_windows(texts: bytes, lengths: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """True where a window of the concatenated texts equals an earlier one: its LPF reaches ``length``.
+def _ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(k, the rank of each position's next k bytes) for k = 8, 16, .. and at last ``length``.
 
-    Ranks of all suffixes by their first 8, 16, .. bytes are doubled while they fit in ``length``
-    and then overlapped to exactly ``length``. With ties in text order, a window's previous smaller
-    position in suffix order with a common prefix of ``length`` is its neighbour, if any is.
+    Ranks of twice the bytes come from pairs of ranks; the last step overlaps to exactly ``length``.
     """
-    data = np.frombuffer(texts, np.uint8)
-    ends = np.cumsum(lengths)
-    room = np.repeat(ends, lengths) - np.arange(len(data))  # bytes to the end of the own text
     words = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     for step in (1, 2, 4):
         words = (words[:-step] << np.uint64(8 * step)) | words[step:]
-    rank, known = np.unique(words[: len(data)], return_inverse=True)[1].astype(np.int64), 8
+    known = min(8, length)
+    rank = np.unique(words[: len(data)] >> np.uint64(8 * (8 - known)), return_inverse=True)[1].astype(np.int64)
+    out = [(known, rank.astype(np.int32))]
     while known < length:
         ahead = min(known, length - known)
         then = np.zeros_like(rank)
         then[:-ahead] = rank[ahead:]
         rank, known = np.unique(rank << 32 | then, return_inverse=True)[1].astype(np.int64), known + ahead
+        out.append((known, rank.astype(np.int32)))
+    return out
+
+
+def _smaller_before(x: np.ndarray) -> np.ndarray:
+    """For each place of ``x`` the nearest one before it with a smaller value, -1 without one.
+
+    Every place starts from its neighbour and jumps to where that one has got to, until it is smaller.
+    """
+    found = np.arange(-1, len(x) - 1, dtype=np.int32)
+    left = np.flatnonzero(found >= 0)
+    left = left[x[found[left]] > x[left]]
+    while len(left):
+        found[left] = found[found[left]]
+        left = left[found[left] >= 0]
+        left = left[x[found[left]] > x[left]]
+    return found
+
+
+def _common(data: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """The common prefix of the suffixes at ``a`` and ``b``, up to ``length`` bytes."""
+    out = np.where(ranks[-1][1][a] == ranks[-1][1][b], length, 0)
+    open_ = np.flatnonzero(out == 0)
+    a, b, known = a[open_], b[open_], np.zeros(len(open_), np.int64)
+    last = len(data) - 1
+    for k, rank in ranks[-2::-1]:
+        known += k * (rank[np.minimum(a + known, last)] == rank[np.minimum(b + known, last)])
+    more = np.arange(len(open_))
+    for _ in range(min(8, length)):
+        same = (known[more] < length) & (data[np.minimum(a[more] + known[more], last)] == data[np.minimum(b[more] + known[more], last)])
+        more = more[same]
+        known[more] += 1
+    out[open_] = np.minimum(known, length - 1)
+    return out
+
+
+def previous_factors(texts: bytes, lengths: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest previous factor of each window's start in the concatenated texts, up to ``length``
+    bytes; 0 where no window of its own text starts."""
+    data, out = np.frombuffer(texts, np.uint8), np.zeros(len(texts), np.int64)
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))  # bytes to the end of the own text
     windows = np.flatnonzero(room >= length)
-    order = windows[np.argsort(rank[windows], kind="stable")]
-    out = np.zeros(len(data), bool)
-    out[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    if len(windows):
+        ranks = _ranks(data, length)
+        order = windows[np.argsort(ranks[-1][1][windows], kind="stable")]
+        for at in (_smaller_before(order), len(order) - 1 - _smaller_before(order[::-1])[::-1]):
+            has = np.flatnonzero((at >= 0) & (at < len(order)))
+            out[order[has]] = np.maximum(out[order[has]], _common(data, ranks, order[has], order[at[has]], length))
     return out
 
 
@@ -282,7 +316,8 @@ def _look_into(groups: int):
     """Step 2 in one group of anchors (or of window digests, for hot anchors)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["what"] == "mark"].drop(columns=["h", "s"]).to_dict("records")
+        columns = ["what", "bucket", "doc", "start", "n"]
+        rows = pdf[pdf["what"] == "mark"][columns].to_dict("records")
         contexts = pdf[pdf["what"] == "context"]
         if len(contexts):
             doc, start, n = (np.concatenate([np.frombuffer(x, t) for x in contexts[c]]) for c, t in (("doc", "<i8"), ("start", "<i8"), ("n", "<i4")))
@@ -292,7 +327,7 @@ def _look_into(groups: int):
             once = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)]
             order = order[once]
             text = b"".join([data[begins[i] : begins[i] + sizes[i]] for i in order.tolist()])
-            again = np.flatnonzero(repeated_windows(text, sizes[order]))
+            again = np.flatnonzero(previous_factors(text, sizes[order]) >= LENGTH)
             if len(again):
                 own = np.searchsorted(np.cumsum(sizes[order]), again, "right")
                 at = start[order][own] + again - (np.cumsum(sizes[order]) - sizes[order])[own]
@@ -303,7 +338,7 @@ def _look_into(groups: int):
             hi, lo = _split(b"".join(windows["s"]))
             found, first = Spans(np.zeros(len(hi), np.uint64), hi, lo, doc, start, np.ones(len(hi), np.int64)).firsts()
             rows += _mark_rows(*_runs(found.columns[3][~first], found.columns[4][~first]), groups)
-        return pd.DataFrame(rows, columns=["what", "bucket", "doc", "start", "n"])
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -338,33 +373,47 @@ def find_repeats(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
             yield _batch(rows)
 
     settled = stored(docs.mapInArrow(deal, _ROWS).groupBy(F.col("bucket"), F.col("what")).applyInPandas(_settle_spans(hot, groups), _MARKS), "repeats")
-    bitmap = spark.sparkContext.broadcast(_open_bitmap(settled))
 
-    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for texts in _groups_of_texts(batches):
-            parts, slices = [], []
-            for doc, data in texts:
-                h, start, n = spans_of(data)
-                place = _place(np.full(len(start), doc), start)
-                use = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                if use.any():
-                    h, start, n = h[use], start[use], n[use]
-                    parts.append((h, np.full(len(h), doc, np.int64), start, n))
-                    slices += [data[a : a + m + LENGTH - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True)]
-            if not parts:
-                continue
-            h, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            is_hot, rows = _is_in(h, sent_hot.value), []
-            cold = np.flatnonzero(~is_hot)
-            for b, at in _by_bucket((mixed(h[cold]) % np.uint64(wide)).astype(np.int64)):
-                at = cold[at]
-                rows.append({"what": "context", "bucket": b, "s": b"".join([slices[i] for i in at.tolist()]), "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
-            rows += _hot_windows([(doc[i], start[i], slices[i]) for i in np.flatnonzero(is_hot).tolist()], wide, groups)
-            yield _batch(rows)
+    def cut_out(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The bytes of a group's spans to look into, dealt out by anchor."""
+        doc, start, n, h = _columns(wanted, "doc", "start", "n", "h")
+        order = np.argsort(doc, kind="stable")
+        doc, start, n, h = doc[order], start[order], n[order], h[order]
+        at, slices = [], []
+        for own, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
+            low, high = np.searchsorted(doc, own), np.searchsorted(doc, own, "right")
+            if low < high:
+                data = text.encode("utf-8", "surrogatepass")
+                for i, a, m in zip(range(low, high), start[low:high].tolist(), n[low:high].tolist(), strict=True):
+                    if a + m + LENGTH - 1 <= len(data):  # else the place is in another text of this id
+                        at.append(i)
+                        slices.append(data[a : a + m + LENGTH - 1])
+        at = np.array(at, np.int64)
+        doc, start, n, h = doc[at], start[at], n[at], h[at]
+        is_hot, rows = _is_in(h, sent_hot.value), []
+        cold = np.flatnonzero(~is_hot)
+        for b, at in _by_bucket((mixed(h[cold]) % np.uint64(wide)).astype(np.int64)):
+            at = cold[at]
+            rows.append({"what": "context", "bucket": b, "s": b"".join([slices[i] for i in at.tolist()]), "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
+        rows += _hot_windows([(doc[i], start[i], slices[i]) for i in np.flatnonzero(is_hot).tolist()], wide, groups)
+        return pa.Table.from_pylist(rows, schema=_SCHEMA)
+
+    wanted = settled.filter("what = 'open'").groupBy("bucket")
+    spans = grouped(docs, groups).groupBy("bucket").cogroup(wanted).applyInArrow(cut_out, _ROWS)
+    more = spans.groupBy(F.col("bucket"), F.col("what")).applyInPandas(_look_into(groups), "what string, bucket long, doc binary, start binary, n binary")
+    return settled.filter("what = 'mark'").drop("h").unionByName(more), groups
+
+
+def grouped(docs: DataFrame, groups: int) -> DataFrame:
+    """doc_id, text, bucket: the document's group of ids; rows without an id are dealt out by text."""
 
-    more = docs.mapInArrow(reread, _ROWS).groupBy(F.col("bucket"), F.col("what")).applyInPandas(_look_into(groups), _MARKS)
-    return settled.filter("what = 'mark'").unionByName(more), groups
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            spread = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 if i is None else i for i, t in zip(ids, batch.column("text").to_pylist(), strict=True)] if batch.column("doc_id").null_count else ids
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(_id_group(np.array(spread, np.int64), groups))], names=["doc_id", "text", "bucket"])
+
+    return docs.mapInArrow(run, "doc_id long, text string, bucket long")
 
 
 def _hot_windows(spans: list[tuple[int, int, bytes]], wide: int, groups: int) -> list[dict]:
@@ -401,33 +450,32 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     docs = ids_and_texts(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks, groups = find_repeats(docs, size)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * keep_bytes]
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(_id_group(ids, groups))], names=["doc_id", "text", "bucket"])
-
-    def cut(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        ids, starts, ns = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in marks[c])]) for c, t in (("doc", "<i8"), ("start", "<i8"), ("n", "<i4")))
+    def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        ids, starts, ns = _columns(marks, "doc", "start", "n")
         order = np.argsort(ids, kind="stable")
         ids, starts, ns = ids[order], starts[order], ns[order]
-        rows = []
-        for doc, text in texts[["doc_id", "text"]].drop_duplicates().itertuples(index=False):
+        rows, seen = [], set()
+        for doc, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
             data, runs = text.encode("utf-8", "surrogatepass"), []
-            if not pd.isna(doc):
-                low, high = np.searchsorted(ids, [int(doc), int(doc) + 1])
+            if doc is not None:
+                if (doc, text) in seen:
+                    continue
+                seen.add((doc, text))
+                low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")
                 runs = merged(starts[low:high], ns[low:high])
             parts, at = [], 0
             for a, b in runs:
                 parts.append(data[at:a])
                 at = b
             kept = b"".join([*parts, data[at:]])
-            rows.append((None if pd.isna(doc) else int(doc), len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *[kept] * keep_bytes))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes])
-        return out.astype({"doc_id": "Int64"})
+            rows.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *[kept] * keep_bytes))
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return docs.mapInArrow(group, "doc_id long, text string, bucket long").groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, schema)
+    return grouped(docs, groups).groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, schema)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

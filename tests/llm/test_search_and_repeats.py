@@ -96,16 +96,47 @@ def test_repeats_odd_rows(spark, monkeypatch, hot):
     assert out.filter("doc_id is null and n_removed > 0").count() == 0
 
 
-def test_repeated_windows_equal_naive():
-    rng = np.random.default_rng(5)
-    texts = [bytes(rng.integers(97, 99, n).tolist()) for n in (120, 300, 40, 250)]
-    data, lengths = b"".join(texts), np.array(list(map(len, texts)))
-    got, seen, at = op2_repeats.repeated_windows(data, lengths, 12), set(), 0
-    for t in texts:
-        for i in range(len(t) - 12 + 1):
-            assert got[at + i] == (t[i : i + 12] in seen)
-            seen.add(t[i : i + 12])
-        at += len(t)
+def naive_factors(texts, length):
+    """LPF by comparing every two starts."""
+    whole = [(t, i) for t in texts for i in range(len(t))]
+    out = []
+    for k, (t, i) in enumerate(whole):
+        best = 0
+        if len(t) - i >= length:
+            for u, j in whole[:k]:
+                if len(u) - j >= length:
+                    n = 0
+                    while n < length and t[i + n] == u[j + n]:
+                        n += 1
+                    best = max(best, n)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("length", [5, 12, 20, 40])
+def test_previous_factors_equal_naive(length):
+    rng = np.random.default_rng(length)
+    texts = [bytes(rng.integers(97, 99, n).tolist()) for n in (90, 120, 7, 80)] + [b"ab" * 40, b"ab" * 30, b"", b"c" * 60]
+    got = op2_repeats.previous_factors(b"".join(texts), np.array(list(map(len, texts))), length)
+    assert got.tolist() == naive_factors(texts, length)
+
+
+def test_smaller_before_equals_a_stack():
+    rng = np.random.default_rng(6)
+    for x in (rng.permutation(300), np.arange(50), np.arange(50)[::-1].copy(), np.zeros(0, int)):
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert op2_repeats._smaller_before(x).tolist() == want
+
+
+def test_repeats_far_ids_beside_null_ids(spark):
+    """Ids that floating point cannot hold; rows without an id come back whole, each of them."""
+    rng = np.random.default_rng(9)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 80))
+    far = (1 << 53) + 1
+    df = spark.createDataFrame([(5, text), (far, text), (None, text), (None, text), (None, None)], "doc_id long, text string").repartition(3)
+    got = op2_repeats.without_repeats(df).collect()
+    n = len(text)
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in got) == [(-1, 0, 0), (-1, n, 0), (-1, n, 0), (5, n, 0), (far, n, n)]
 
 
 def test_repeats_empty(spark):
