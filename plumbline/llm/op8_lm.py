@@ -1,25 +1,36 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-The model interpolates word pairs with single words. Counts of pairs (and of single words as their
-contexts) are not kept but quantised on a log scale, and an n-gram of level q is put into a Bloom
-filter q times, as (n-gram, 1) .. (n-gram, q). A count is read by probing level after level until
-one is missing: never too low, and too high by a level with the filter's small error rate. Pairs
-seen once have level 0.
-
-The filter is cut into shards by n-gram hash, so that its size follows the corpus while a shard's
-does not. Documents are taken in blocks of neighbouring ids. A task sends each shard the distinct
-n-grams of its blocks with their training counts; a shard sums them, builds its filter, and answers
-each block with the exact counts of its words (for the base score). The filters themselves are
-broadcast to the workers, which probe them, where their size is bounded by ``BROADCAST_BYTES``;
-for a larger corpus each shard probes its filter and answers with the levels it found. Both ways
-read the same bits and give the same scores. The texts are shuffled once, to meet the answers.
+The model interpolates word pairs with single words. Counts of pairs are not kept but quantised on a
+log scale, from a count of 1 on, and a pair of level q is put into a Bloom filter q times, as
+(pair, 1) .. (pair, q). A level is read by probing until one is missing: never too low, and too high
+with the filter's small error rate. With ĉ the count that stands for the level read (at most the
+counts of the pair's words), S and N the sum of ĉ and the number of different words after h,
+
+    p(w | h) = (ĉ(h, w) + N(h) p(w)) / (S(h) + N(h)),    p(w) = (c(w) + 1) / (tokens + words + 1)
+
+so the mass that quantising takes or adds is in S, and what the followers of h leave goes to the
+single words: over all words and one unknown word p( | h) is 1, but for pairs that were never seen
+and that the filter takes for seen. After a word that training has not seen, p(w) alone decides.
+
+Texts are packed once into chunks of words as numbers, and only chunks travel after that. N-grams go
+by ranges of a 64-bit hash to shards, so that the filter's size follows the corpus while a shard's
+does not; keys that two n-grams share (about n^2 / 2^65 pairs of them among n) count together.
+
+1. a chunk sends each shard the keys of its n-grams with their training counts; a shard sums them,
+   builds its part of the filter, and answers each chunk in the order of the keys it sent: counts of
+   words, and for each pair whether it is the first chunk that has it.
+2. the levels of a chunk's pairs are read from the filter: from all parts, broadcast to the workers,
+   where their size is bounded by ``BROADCAST_BYTES``; for a larger corpus each shard probes its own
+   part and the levels are in its answer. Both ways read the same bits and give the same scores. Each
+   pair's ĉ is added to its first word's sums by the one chunk that has it first.
+3. the sums come back to the chunks, which score their texts.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Tokens are lower-cased
 words and one end mark per document.
 
 Defined results: null text = empty text = its end mark; a null ``doc_id`` counts as the text
-"null"; rows that share a ``doc_id`` are separate documents; an empty table gives no rows; other
-columns are ignored.
+"null"; rows that share a ``doc_id`` are separate documents; a very long text is a chunk of its own;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,49 +42,47 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ids_and_texts, lower_words, stored, table
+from plumbline.llm.shingles import mixed
 
-BLOCK_IDS = 1024  # neighbouring ids in a block
+CHUNK_BYTES = 4 << 20  # text bytes of a chunk
 SHARD_BYTES = 6 << 20  # text bytes whose n-grams make a shard
 BROADCAST_BYTES = 48 << 20
 BITS_PER_ENTRY, PROBES = 12, 6
 BASE = 1.5  # ratio of neighbouring count levels
-PAIR_WEIGHT, TRUST = 0.6, 300  # most weight of the pair estimate, and the context count that gives half of it
-KEY_BITS = 40  # with the shard's number they tell n-grams apart; the last bit tells pairs from words
 END = b"\n"  # no word holds white space
+FIRST = 0x80  # marks, in an answer, the chunk that has a pair first; the other bits are its level
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    """Quantised counts: 0 below 2, else 1 + floor(log_BASE(count / 2))."""
-    return np.where(count > 1, 1 + np.floor(np.log(np.maximum(count, 2) / 2) / math.log(BASE) + 1e-9), 0).astype(np.int64)
+    """Quantised counts: 0 for none, else 1 + floor(log_BASE(count))."""
+    return np.where(count > 0, 1 + np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9), 0).astype(np.int64)
 
 
-def expected_count(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts."""
-    return np.where(levels > 0, (BASE ** (levels - 1) + BASE**levels), 0.0)
+#: Twice the middle of each level's counts: whole numbers, whose sums are exact.
+_TWICE = np.array([0, *(math.ceil(BASE ** (q - 1) - 1e-9) + math.ceil(BASE**q - 1e-9) - 1 for q in range(1, 88))], np.int64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (fixed multipliers)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def twice_expected(levels: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Twice the count that a pair's level stands for, at most the counts of its words."""
+    return np.minimum(_TWICE[np.minimum(levels, 87)], 2 * np.minimum(context, word))
 
 
 def _places(grams: np.ndarray, q: int, bits: int) -> Iterator[np.ndarray]:
-    a = _mixed(grams + np.uint64(q * 0x9E3779B97F4A7C15 % (1 << 64)))
-    b = _mixed(a) | np.uint64(1)
+    a = mixed(grams + np.uint64(q * 0x9E3779B97F4A7C15 % (1 << 64)))
+    b = mixed(a) | np.uint64(1)
     for i in range(PROBES):
         yield ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
 
 
-def build_filter(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def build_filter(grams: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The bits (bytes) of a filter over n-grams with these counts; its size follows the entries."""
     levels = level(counts)
-    bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
+    bits = max(64, -(-int(levels.sum()) * bits_per_entry // 8) * 8)
     table_ = np.zeros(bits // 8, np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
         for at in _places(grams[levels >= q], q, bits):
@@ -94,147 +103,225 @@ def read_levels(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return levels
 
 
-class Grams:
-    """The n-grams of some documents, as numbers into their distinct words and pairs."""
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most >> (8 * n) == 0)).tobytes()
 
-    def __init__(self, texts: list[str], shards: int):
-        seen: dict[bytes, int] = {END: 0}
-        docs = [[seen.setdefault(w, len(seen)) for w in [*lower_words(t), END]] for t in texts]
-        words = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64)
-        self.lengths = np.array([len(d) for d in docs], np.int64)
-        self.word = np.fromiter((w for d in docs for w in d), np.int64, int(self.lengths.sum()))
-        before = np.r_[0, self.word[:-1]]
-        before[np.cumsum(self.lengths) - self.lengths] = 0  # a document begins after an end mark
-        pairs, self.pair = np.unique(before * len(seen) + self.word, return_inverse=True)
-        first, second = pairs // len(seen), pairs % len(seen)
-        self.first_of_pair, self.words = first, len(seen)
-        grams = np.concatenate([words, _mixed(words[first] * np.uint64(3) + _mixed(words[second]))])
-        #: Shard and key of each n-gram, words first; the last key bit tells pairs from words.
-        mixed, self.is_word = _mixed(grams), np.arange(len(grams)) < len(seen)
-        self.shard = (mixed >> np.uint64(48)).astype(np.int64) % shards
-        self.key = (mixed & np.uint64((1 << KEY_BITS) - 2)) | (~self.is_word).astype(np.uint64)
-
-    def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, its n-grams in order of their keys)."""
-        order = np.lexsort((self.key, self.shard))
-        edges = np.searchsorted(self.shard[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            yield s, order[edges[s] : edges[s + 1]]
-
-    def training_counts(self, train: np.ndarray) -> np.ndarray:
-        use = np.repeat(train, self.lengths)
-        return np.concatenate([np.bincount(self.word[use], minlength=self.words), np.bincount(self.pair[use], minlength=len(self.first_of_pair))])
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Ascending keys as 32-bit steps; the few longer steps keep their upper bits apart."""
+    """Ascending keys as steps, lower and upper halves apart."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    long = np.flatnonzero(steps >> np.uint64(32))
-    return np.concatenate([[len(long)], long, steps[long] >> np.uint64(32), steps & np.uint64(0xFFFFFFFF)]).astype("<u4").tobytes()
+    return len(keys).to_bytes(4, "little") + (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + _small(steps >> np.uint64(32))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, "<u4")
-    n = int(raw[0])
-    steps = raw[1 + 2 * n :].astype(np.uint64)
-    steps[raw[1 : 1 + n]] |= raw[1 + n : 1 + 2 * n].astype(np.uint64) << np.uint64(32)
-    return np.cumsum(steps, dtype=np.uint64)
+    n = int.from_bytes(data[:4], "little")
+    low = np.frombuffer(data, "<u4", n, 4).astype(np.uint64)
+    return np.cumsum(low | _wide(data[4 + 4 * n :], n).astype(np.uint64) << np.uint64(32), dtype=np.uint64)
+
 
+CHUNKS = "chunk long, bytes long, tokens long, ids binary, named binary, held_out binary, lengths binary, words binary, vocabulary binary"
 
-def _blocks(docs: DataFrame) -> DataFrame:
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The texts in chunks: each document's words as numbers into the chunk's vocabulary of hashes."""
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(7)) == 2
-    return ids_and_texts(docs).withColumn("held_out", held_out).withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-1)))
 
+    def chunk_of(number: int, size: int, rows: list[tuple], seen: dict[bytes, int], words: list[list[int]]) -> pa.RecordBatch:
+        ids, held = zip(*rows, strict=True)
+        lengths = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter((w for d in words for w in d), np.int64, int(lengths.sum()))
+        vocabulary = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], "<u8")
+        row = {
+            "chunk": number, "bytes": size, "tokens": len(flat), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "named": np.array([i is not None for i in ids]).tobytes(),
+            "held_out": np.array(held).tobytes(), "lengths": lengths.astype("<u4").tobytes(), "words": _small(flat), "vocabulary": vocabulary.tobytes(),
+        }
+        return pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.int64() if i < 3 else pa.binary()) for i, k in enumerate(row)]))
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values of ``wanted`` keys, 0 where missing."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, rows, seen, words = TaskContext.get().partitionId() << 32, 0, [], {END: 0}, []
+        for batch in batches:
+            for doc, text, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
+                rows.append((doc, held))
+                words.append([seen.setdefault(w, len(seen)) for w in [*lower_words(text), END]])
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield chunk_of(number, size, rows, seen, words)
+                    number, size, rows, seen, words = number + 1, 0, [], {END: 0}, []
+        if rows:
+            yield chunk_of(number, size, rows, seen, words)
+
+    return ids_and_texts(docs).withColumn("held_out", held_out).mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """A chunk's n-grams, as numbers into its distinct words and pairs, and their keys."""
+
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        self.word = _wide(row["words"], int(self.lengths.sum()))
+        self.held_out = np.frombuffer(row["held_out"], bool)
+        hashes = np.frombuffer(row["vocabulary"], "<u8")
+        self.words = len(hashes)
+        before = np.r_[0, self.word[:-1]]
+        before[np.cumsum(self.lengths) - self.lengths] = 0  # a document begins after an end mark
+        pairs, self.pair = np.unique(before * self.words + self.word, return_inverse=True)
+        self.first, self.second = pairs // self.words, pairs % self.words
+        own = mixed(hashes)
+        #: The last bit tells pairs from words.
+        self.word_keys = own & ~np.uint64(1)
+        self.keys = np.concatenate([self.word_keys, mixed(own[self.first] * np.uint64(3) + hashes[self.second]) | np.uint64(1)])
+
+    def counts(self) -> np.ndarray:
+        use = np.repeat(~self.held_out, self.lengths)
+        return np.concatenate([np.bincount(self.word[use], minlength=self.words), np.bincount(self.pair[use], minlength=len(self.first))])
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its keys' places in ascending order): shards are ranges of keys."""
     order = np.argsort(keys)
-    at = order[np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)]
-    return np.where(keys[at] == wanted, values[at].astype(np.int64), 0)
+    shard = ((keys[order] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, int)
+    for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        yield int(shard[low]), order[low:high]
 
 
-_SENT = "shard int, block long, keys binary, counts binary"
-_ANSWER = "shard int, what string, block long, keys binary, data binary"
+_SENT = "shard long, chunk long, keys binary, a binary, b binary"
+_ANSWER = "what string, shard long, chunk long, a binary, b binary, tokens long, words long"
+_ANSWERS = [c.split()[0] for c in _ANSWER.split(", ")]
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _messages(number: int, keys: np.ndarray, shards: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
+    """Two numbers for each key, by shard."""
+    rows = [(s, number, _pack(keys[at]), _small(a[at]), _small(b[at]) if b is not None else b"") for s, at in _by_shard(keys, shards)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "chunk", "keys", "a", "b"])
+
+
 def _send(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pdf = batch.to_pandas()
-            for block, docs in pdf.groupby("block"):
-                grams = Grams(docs["text"].tolist(), shards)
-                counts = grams.training_counts(~docs["held_out"].to_numpy()).astype("<u4")
-                rows = [(s, block, _pack(grams.key[at]), counts[at].tobytes()) for s, at in grams.by_shard(shards)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "keys", "counts"])
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                yield from _messages(chunk.number, chunk.keys, shards, chunk.counts()).to_batches()
 
     return run
 
 
-def _answer(with_levels: bool):
+def _gathered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(messages by chunk, edges of each one's keys, distinct keys, each key's number, its first place)."""
+    pdf = pdf.sort_values("chunk")
+    parts = [_unpack(k) for k in pdf["keys"]]
+    grams, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    return pdf, np.cumsum([0, *map(len, parts)]), grams, at, first
+
+
+def _sum(column: pd.Series, edges: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, np.concatenate([_wide(x, k) for x, k in zip(column, np.diff(edges).tolist(), strict=True)]), n).astype(np.int64)
+
+
+def _answer(by_broadcast: bool, bits_per_entry: int):
+    """A shard: counts of words and places of pairs for each chunk, with levels or beside the filter."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(k) for k in pdf["keys"]]
-        edges = np.cumsum([0, *map(len, parts)])
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]), len(grams)).astype(np.int64)
+        shard = int(pdf["shard"].iloc[0])
+        pdf, edges, grams, at, first = _gathered(pdf)
+        total = _sum(pdf["a"], edges, at, len(grams))
         word = grams & np.uint64(1) == 0
-        bits = build_filter(grams, total)
-        rows = [("filter", -2, b"", bits.tobytes()), ("sums", -2, b"", np.array([total[word].sum(), (total[word] > 0).sum()], "<u8").tobytes())]
-        levels = read_levels(bits, grams) if with_levels else None
-        for block, low, high in zip(pdf["block"], edges, edges[1:], strict=False):
+        bits = build_filter(grams[~word], total[~word], bits_per_entry)
+        rows = [("sums", shard, -1, b"", b"", int(total[word].sum()), int((total[word] > 0).sum()))]
+        marks = np.zeros(len(at), np.uint8)
+        if by_broadcast:
+            rows.append(("filter", shard, -1, bits.tobytes(), b"", 0, 0))
+        else:
+            levels = np.zeros(len(grams), np.uint8)
+            levels[~word] = read_levels(bits, grams[~word])
+            marks = levels[at]
+        marks[first[~word & (total > 0)]] |= FIRST
+        for chunk, low, high in zip(pdf["chunk"], edges, edges[1:], strict=False):
             mine = at[low:high]
-            own = mine[word[mine] & (total[mine] > 0)]
-            rows.append(("counts", block, _pack(grams[own]), total[own].astype("<u8").tobytes()))  # counts compress well
-            if with_levels:
-                own = mine[levels[mine] > 0]
-                rows.append(("levels", block, _pack(grams[own]), levels[own].astype(np.uint8).tobytes()))
-        return pd.DataFrame([(int(pdf["shard"].iloc[0]), *r) for r in rows], columns=["shard", "what", "block", "keys", "data"])
+            rows.append(("answer", shard, chunk, marks[low:high].tobytes(), _small(total[mine[word[mine]]]), 0, 0))
+        return pd.DataFrame(rows, columns=_ANSWERS)
 
     return run
 
 
-def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _answer_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard of contexts: what all chunks say of them, to each chunk that asks."""
+    shard = int(pdf["shard"].iloc[0])
+    pdf, edges, keys, at, _ = _gathered(pdf)
+    mass, followers = (_sum(pdf[c], edges, at, len(keys)) for c in ("a", "b"))
+    rows = [("context", shard, chunk, _small(mass[at[low:high]]), _small(followers[at[low:high]]), 0, 0) for chunk, low, high in zip(pdf["chunk"], edges, edges[1:], strict=False)]
+    return pd.DataFrame(rows, columns=_ANSWERS)
+
+
+class Answered(Chunk):
+    """A chunk with what the shards said: exact counts of words, levels of pairs."""
+
+    def __init__(self, row: dict, answers: pa.Table, shards: int, filters: dict[int, np.ndarray] | None):
+        super().__init__(row)
+        said = {r["shard"]: r for r in answers.to_pylist() if r["what"] == "answer"}
+        self.exact, marks, levels = np.zeros(self.words, np.int64), np.zeros(len(self.keys), np.uint8), np.zeros(len(self.keys), np.int64)
+        for s, at in _by_shard(self.keys, shards):
+            marks[at] = np.frombuffer(said[s]["a"], np.uint8)
+            own = at[at < self.words]
+            self.exact[own] = _wide(said[s]["b"], len(own))
+            if filters is not None:
+                pairs = at[at >= self.words]
+                levels[pairs] = read_levels(filters[s], self.keys[pairs])
+        levels = levels if filters is not None else (marks & np.uint8(FIRST - 1)).astype(np.int64)
+        self.has_first = (marks[self.words :] & FIRST) != 0
+        self.twice = twice_expected(levels[self.words :], self.exact[self.first], self.exact[self.second])
+
+
+def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    # An n-gram has at least two bytes of text, and a filter entry stands for two occurrences.
-    by_broadcast = size * BITS_PER_ENTRY // 8 // 4 <= broadcast_bytes
-    blocks = _blocks(docs)
-    answers = stored(blocks.mapInArrow(_send(shards), _SENT).groupBy("shard").applyInPandas(_answer(not by_broadcast), _ANSWER), "lm-shards")
-    sums = [np.frombuffer(r["data"], "<u8") for r in answers.filter("what = 'sums'").select("data").collect()]
-    train_tokens, vocabulary = (int(x) for x in np.sum([np.zeros(2, "<u8"), *sums], axis=0))
-    filters = None
-    if by_broadcast:
-        filters = {r["shard"]: np.frombuffer(r["data"], np.uint8) for r in answers.filter("what = 'filter'").select("shard", "data").collect()}
+    chunks = stored(packed(docs), "lm-chunks")
+    size, tokens = (x or 0 for x in chunks.agg(F.sum("bytes"), F.sum("tokens")).first())
+    shards, contexts = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // (8 * SHARD_BYTES)))
+    # A pair of level q occurs at least q times, so there are no more entries than tokens.
+    by_broadcast = tokens * bits_per_entry // 8 <= broadcast_bytes
+    answers = stored(chunks.mapInArrow(_send(shards), _SENT).groupBy("shard").applyInPandas(_answer(by_broadcast, bits_per_entry), _ANSWER), "lm-shards")
+    train_tokens, vocabulary = (int(x or 0) for x in answers.filter("what = 'sums'").agg(F.sum("tokens"), F.sum("words")).first())
+    filters = {r["shard"]: np.frombuffer(r["a"], np.uint8) for r in answers.filter("what = 'filter'").select("shard", "a").collect()} if by_broadcast else None
     shared = spark.sparkContext.broadcast(filters)
-
-    def finish(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts):
-            return pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
-        grams = Grams(texts["text"].tolist(), shards)
-        exact, levels = np.zeros(len(grams.key), np.int64), np.zeros(len(grams.key), np.int64)
-        reply = {k: (np.concatenate([_unpack(x) for x in g["keys"]]), np.concatenate([np.frombuffer(x, np.uint8 if k[0] == "levels" else "<u8") for x in g["data"]])) for k, g in replies.groupby(["what", "shard"])}
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for s, at in grams.by_shard(shards):
-            exact[at] = _found(*reply.get(("counts", s), none), grams.key[at])
-            levels[at] = read_levels(shared.value[s], grams.key[at]) if shared.value is not None else _found(*reply.get(("levels", s), none), grams.key[at])
-        words = grams.words
-        p_word = ((exact[:words] + 1) / (train_tokens + vocabulary + 1))[grams.word]
-        context = expected_count(levels[:words])[grams.first_of_pair]
-        share = np.divide(np.minimum(expected_count(levels[words:]), context), context, out=np.zeros(len(context)), where=context > 0)
-        weight = (PAIR_WEIGHT * context / (context + TRUST))[grams.pair]  # after an unseen word the word alone decides
-        p = weight * share[grams.pair] + (1 - weight) * p_word
-        per_doc = lambda x: np.add.reduceat(x, np.cumsum(grams.lengths) - grams.lengths)
-        return pd.DataFrame({
-            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": grams.lengths, "n_known": per_doc((exact[:words] > 0).astype(np.int64)[grams.word]),
-            "train_tokens": train_tokens, "base_score": per_doc(np.log10(p_word)), "score": per_doc(np.log10(p)),
-        })
-
-    replies = answers.filter("what in ('counts', 'levels')")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, _OUT)
+    replies = answers.filter("what = 'answer'")
+
+    def add(rows: pa.Table, said: pa.Table) -> pa.Table:
+        chunk = Answered(rows.to_pylist()[0], said, shards, shared.value)
+        mine = chunk.has_first & (chunk.twice > 0)
+        mass, followers = np.bincount(chunk.first[mine], chunk.twice[mine], chunk.words).astype(np.int64), np.bincount(chunk.first[mine], minlength=chunk.words)
+        return _messages(chunk.number, chunk.word_keys, contexts, mass, followers)
+
+    sums = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(add, _SENT).groupBy("shard").applyInPandas(_answer_sums, _ANSWER)
+
+    def finish(rows: pa.Table, said: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        chunk = Answered(row, said, shards, shared.value)
+        mass, followers = np.zeros(chunk.words), np.zeros(chunk.words)
+        told = {r["shard"]: r for r in said.to_pylist() if r["what"] == "context"}
+        for s, at in _by_shard(chunk.word_keys, contexts):
+            mass[at], followers[at] = _wide(told[s]["a"], len(at)) / 2, _wide(told[s]["b"], len(at))
+        p_word = (chunk.exact + 1) / (train_tokens + vocabulary + 1)
+        seen = followers[chunk.first]
+        whole = mass[chunk.first] + seen
+        p = np.where(whole > 0, (chunk.twice / 2 + seen * p_word[chunk.second]) / np.maximum(whole, 1), p_word[chunk.second])
+        per_doc = lambda x: np.add.reduceat(x, np.cumsum(chunk.lengths) - chunk.lengths)
+        ids = pa.array(np.frombuffer(row["ids"], "<i8"), mask=~np.frombuffer(row["named"], bool))
+        known = per_doc((chunk.exact > 0).astype(np.int64)[chunk.word])
+        base = per_doc(np.log10(p_word)[chunk.word])
+        columns = [ids, chunk.held_out, chunk.lengths, known, np.full(len(ids), train_tokens), base, per_doc(np.log10(p)[chunk.pair])]
+        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in _OUT.split(", ")])
+
+    return chunks.groupBy("chunk").cogroup(replies.unionByName(sums).groupBy("chunk")).applyInArrow(finish, _OUT)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

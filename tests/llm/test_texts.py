@@ -24,6 +24,7 @@ from plumbline.llm import op9_secrets as op9
 from plumbline.llm import op10_decontaminate as op10
 from plumbline.llm.common import lower_words
 from plumbline.llm.queries import QUERIES
+from plumbline.llm.shingles import mixed
 from tests.llm.helpers import SF, documents, new_folder, odd_rows, real_documents, texts_of
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -294,18 +295,55 @@ def test_language_model_ways_agree_and_odd_rows(spark):
     df = documents(spark, odd_rows())
     a, b = (sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in op8.score(df, broadcast_bytes=cap).collect()) for cap in (0, op8.BROADCAST_BYTES))
     assert a == b and len(a) == df.count()
+    assert [x[0] for x in a].count(True) == 2 and (False, 1 << 60) in [x[:2] for x in a]
     assert op8.score(df.limit(0)).count() == 0
 
 
 def test_log_frequency_filter():
-    grams = op8._mixed(np.arange(1, 5001, dtype=np.uint64))
+    grams = mixed(np.arange(1, 5001, dtype=np.uint64))
     counts = np.random.default_rng(9).zipf(1.5, 5000)
     bits = op8.build_filter(grams, counts)
     assert np.all(op8.read_levels(bits, grams) >= op8.level(counts))
     assert np.mean(op8.read_levels(bits, grams) > op8.level(counts)) < 0.05
-    assert np.mean(op8.read_levels(bits, op8._mixed(np.arange(9001, 14001, dtype=np.uint64))) > 0) < 0.05
-    keys = np.sort(op8._mixed(np.arange(100, dtype=np.uint64)) & np.uint64((1 << 40) - 1))
-    assert np.array_equal(op8._unpack(op8._pack(keys)), keys)
+    assert np.mean(op8.read_levels(bits, mixed(np.arange(9001, 14001, dtype=np.uint64))) > 0) < 0.05
+    for keys in (np.sort(mixed(np.arange(100, dtype=np.uint64))), np.array([3, (1 << 64) - 1], np.uint64), np.zeros(0, np.uint64)):
+        assert np.array_equal(op8._unpack(op8._pack(keys)), keys)
+    for most in (0, 1, 255, 256, 70_000, 1 << 40):
+        assert op8._wide(op8._small(np.array([0, most])), 2).tolist() == [0, most]
+    assert op8.level(np.arange(5)).tolist() == [0, 1, 2, 3, 4]
+    assert (op8._TWICE[op8.level(np.arange(1, 5))] / 2).tolist() == [1, 2, 3, 4.5]
+
+
+def plain_model(train):
+    """(p(word | context), words) from exact counts, levels and sums, in plain dicts."""
+    words, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([b"\n", *ws], ws))
+    total, unknown = sum(words.values()), 1 / (sum(words.values()) + len(words) + 1)
+    stands = lambda h, w: min(op8._TWICE[op8.level(np.array(pairs[h, w]))] / 2, words[h], words[w])
+    mass, followers = Counter(), Counter()
+    for h, w in pairs:
+        mass[h] += stands(h, w)
+        followers[h] += 1
+
+    def p(w, h):
+        single = (words[w] + 1) * unknown
+        return (stands(h, w) + followers[h] * single) / (mass[h] + followers[h]) if followers[h] else single
+
+    return p, words, total
+
+
+@pytest.mark.parametrize("cap", [0, 1 << 40])
+def test_language_model_scores_equal_a_plain_model(spark, monkeypatch, cap):
+    """With a filter that hardly errs, chunks and shards of any size give the plain model's scores."""
+    monkeypatch.setattr(op8, "CHUNK_BYTES", 40_000)
+    monkeypatch.setattr(op8, "SHARD_BYTES", 30_000)
+    df = real_documents(spark).repartition(3)
+    tokens = {d: [*lower_words(t), b"\n"] for d, t in texts_of(df).items()}
+    p, words, _ = plain_model([ws for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2])
+    assert all(math.isclose(sum(p(w, h) for w in [*words, b"\0unknown"]), 1, rel_tol=1e-9) for h in [b"\n", *list(words)[:5]])
+    got = {r["doc_id"]: r["score"] for r in op8.score(df, broadcast_bytes=cap, bits_per_entry=400).collect()}
+    assert len(got) == len(tokens)
+    for d, ws in tokens.items():
+        assert math.isclose(got[d], sum(math.log10(p(w, h)) for h, w in zip([b"\n", *ws], ws)), rel_tol=1e-9), d
 
 
 def test_alignment_equals_plain():
