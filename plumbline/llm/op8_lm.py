@@ -42,6 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import ids_and_texts, lower_words, stored, table
 from plumbline.llm.shingles import mixed
 
-CHUNK_BYTES = 4 << 20  # text bytes of a chunk
+CHUNK_BYTES = 8 << 20  # text bytes of a chunk
 SHARD_BYTES = 6 << 20  # text bytes whose n-grams make a shard
 BROADCAST_BYTES = 48 << 20
 BITS_PER_ENTRY, PROBES = 12, 6
@@ -104,13 +105,16 @@ def read_levels(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs."""
+    """Whole numbers in as few bytes each as the largest needs, byte planes compressed."""
     most = int(x.max(initial=0))
-    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most >> (8 * n) == 0)).tobytes()
+    width = next(n for n in (1, 2, 4, 8) if most >> (8 * n) == 0)
+    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + zstandard.compress(planes, 1)
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+def _wide(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -122,7 +126,7 @@ def _pack(keys: np.ndarray) -> bytes:
 def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
     low = np.frombuffer(data, "<u4", n, 4).astype(np.uint64)
-    return np.cumsum(low | _wide(data[4 + 4 * n :], n).astype(np.uint64) << np.uint64(32), dtype=np.uint64)
+    return np.cumsum(low | _wide(data[4 + 4 * n :]).astype(np.uint64) << np.uint64(32), dtype=np.uint64)
 
 
 CHUNKS = "chunk long, bytes long, tokens long, ids binary, named binary, held_out binary, lengths binary, words binary, vocabulary binary"
@@ -165,7 +169,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.number = row["chunk"]
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.word = _wide(row["words"], int(self.lengths.sum()))
+        self.word = _wide(row["words"])
         self.held_out = np.frombuffer(row["held_out"], bool)
         hashes = np.frombuffer(row["vocabulary"], "<u8")
         self.words = len(hashes)
@@ -223,8 +227,8 @@ def _gathered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray,
     return pdf, np.cumsum([0, *map(len, parts)]), grams, at, first
 
 
-def _sum(column: pd.Series, edges: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(at, np.concatenate([_wide(x, k) for x, k in zip(column, np.diff(edges).tolist(), strict=True)]), n).astype(np.int64)
+def _sum(column: pd.Series, at: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, np.concatenate([_wide(x) for x in column]), n).astype(np.int64)
 
 
 def _answer(by_broadcast: bool, bits_per_entry: int):
@@ -233,7 +237,7 @@ def _answer(by_broadcast: bool, bits_per_entry: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
         pdf, edges, grams, at, first = _gathered(pdf)
-        total = _sum(pdf["a"], edges, at, len(grams))
+        total = _sum(pdf["a"], at, len(grams))
         word = grams & np.uint64(1) == 0
         bits = build_filter(grams[~word], total[~word], bits_per_entry)
         rows = [("sums", shard, -1, b"", b"", int(total[word].sum()), int((total[word] > 0).sum()))]
@@ -247,7 +251,7 @@ def _answer(by_broadcast: bool, bits_per_entry: int):
         marks[first[~word & (total > 0)]] |= FIRST
         for chunk, low, high in zip(pdf["chunk"], edges, edges[1:], strict=False):
             mine = at[low:high]
-            rows.append(("answer", shard, chunk, marks[low:high].tobytes(), _small(total[mine[word[mine]]]), 0, 0))
+            rows.append(("answer", shard, chunk, _small(marks[low:high]), _small(total[mine[word[mine]]]), 0, 0))
         return pd.DataFrame(rows, columns=_ANSWERS)
 
     return run
@@ -257,7 +261,7 @@ def _answer_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard of contexts: what all chunks say of them, to each chunk that asks."""
     shard = int(pdf["shard"].iloc[0])
     pdf, edges, keys, at, _ = _gathered(pdf)
-    mass, followers = (_sum(pdf[c], edges, at, len(keys)) for c in ("a", "b"))
+    mass, followers = (_sum(pdf[c], at, len(keys)) for c in ("a", "b"))
     rows = [("context", shard, chunk, _small(mass[at[low:high]]), _small(followers[at[low:high]]), 0, 0) for chunk, low, high in zip(pdf["chunk"], edges, edges[1:], strict=False)]
     return pd.DataFrame(rows, columns=_ANSWERS)
 
@@ -270,9 +274,9 @@ class Answered(Chunk):
         said = {r["shard"]: r for r in answers.to_pylist() if r["what"] == "answer"}
         self.exact, marks, levels = np.zeros(self.words, np.int64), np.zeros(len(self.keys), np.uint8), np.zeros(len(self.keys), np.int64)
         for s, at in _by_shard(self.keys, shards):
-            marks[at] = np.frombuffer(said[s]["a"], np.uint8)
+            marks[at] = _wide(said[s]["a"])
             own = at[at < self.words]
-            self.exact[own] = _wide(said[s]["b"], len(own))
+            self.exact[own] = _wide(said[s]["b"])
             if filters is not None:
                 pairs = at[at >= self.words]
                 levels[pairs] = read_levels(filters[s], self.keys[pairs])
@@ -309,7 +313,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entr
         mass, followers = np.zeros(chunk.words), np.zeros(chunk.words)
         told = {r["shard"]: r for r in said.to_pylist() if r["what"] == "context"}
         for s, at in _by_shard(chunk.word_keys, contexts):
-            mass[at], followers[at] = _wide(told[s]["a"], len(at)) / 2, _wide(told[s]["b"], len(at))
+            mass[at], followers[at] = _wide(told[s]["a"]) / 2, _wide(told[s]["b"])
         p_word = (chunk.exact + 1) / (train_tokens + vocabulary + 1)
         seen = followers[chunk.first]
         whole = mass[chunk.first] + seen
