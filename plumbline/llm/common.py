@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,22 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def key_filter(keys: DataFrame, key: str, n: int) -> np.ndarray:
+    """A filter over ``n`` distinct long keys, 16 bits for each: look up with ``passes``."""
+    bits = 64 * max(1, n // 4)
+    at = F.pmod(F.col(key), F.lit(bits))
+    words = keys.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the filter may hold the keys (it always does where it was given them)."""
+    at = keys % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def joined(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``rows`` inner-joined with ``facts``, which has one row per key and the number ``n`` of its rows.
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, joined, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, passes, stored, table
 from plumbline.llm.graph import components
 from plumbline.llm.shingles import MinHash, mixed, shingles
 
@@ -157,33 +157,22 @@ def candidate_forest(classes: DataFrame) -> DataFrame:
     return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
 
 
-def _bitmap(docs: DataFrame, bits: int) -> np.ndarray:
-    """A filter of ``bits`` bits over the column ``doc``."""
-    at = F.pmod(F.xxhash64("doc"), F.lit(bits))
-    words = docs.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, grams of (at least) the wanted documents, from their whole texts: picked by a broadcast
     filter of at most 2 * PICKED bytes, or by a semi-join where there are more of them."""
     n, texts = wanted.count(), ids_and_texts(docs).filter("doc_id is not null")
-    bits = 64 * max(1, n // 4)
     if n > PICKED:
         texts, few = texts.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), None
     else:
-        few = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
+        few = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc").alias("at")), "at", n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if few is not None:
-                at = batch.column("at").to_numpy()
-                batch = batch.filter(pa.array((few.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+                batch = batch.filter(pa.array(passes(few.value, batch.column("at").to_numpy())))
             yield pa.record_batch([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "grams"])
 
-    return texts.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(run, "doc long, grams binary")
+    return texts.withColumn("at", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
 
 
 def confirmed_forest(docs: DataFrame, groups: DataFrame) -> DataFrame:

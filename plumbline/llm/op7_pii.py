@@ -6,32 +6,42 @@ discloses it in the measure in which seeing the term makes the entity likelier:
     PMI(term; entity) = log2( p(term | near entity) / p(term) ),  entity's information = -log2 p(entity)
 
 with all probabilities counted over the whole corpus. A term whose PMI reaches ``disclosure`` times
-the entity's information is a span of its own (kind ``term``) in the documents that hold both; from
-``removal`` times on it is to be removed, below that generalised. An entity is protected both as a
-value (this address) and as a class (any address). Only contexts that differ count, so copies of a
-document are one observation, and ``min_contexts`` of them are needed.
-
-The scan is one map over the texts; it stores per document its spans and candidate terms, and per
-task its word counts. All later joins are on terms near entities, which copies and hot sources
-cannot blow up: counts are combined before they are shuffled.
+the entity's information is a span of its own (kind ``term``) wherever it stands in a document that
+holds the entity; from ``removal`` times on it is to be removed, below that generalised. An entity is
+protected both as a value (this address) and as a class (any address). Only contexts that differ
+count, so copies of a document are one observation, and a term counts only if it stands in more of
+the entity's contexts than chance would put it in (at least two; Chernoff's bound on the tail of the
+number expected from the term's share of the corpus, below ``chance``).
+
+The scan is one map over the texts; it stores per document its spans, the terms near them and, where
+it has spans, its text, and per task its word counts. Terms near entities are counted by joins that
+copies and hot sources cannot blow up: counts are combined before they are shuffled. A second map
+over the stored texts gives the occurrences of terms that disclose one of the document's entities,
+picked by a filter of bounded size and then by an exact join in which hot pairs are broadcast.
 
 Defined results: null text = empty text = no spans; repeated or null ``doc_id`` rows stay separate
-(each row carries its own key); an empty table gives no rows; other columns are ignored.
+(each row carries its own key), in the sanitised texts too; spans of one start are in order of kind;
+a very long text is scanned in time linear in its length; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, passes, stored, table
+from plumbline.llm.shingles import mixed
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,29 +90,57 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def nearby_terms(text: str, start: int, end: int, words: int = 6, reach: int = 160) -> list[tuple[str, int, int]]:
-    """Up to ``words`` terms on each side of a span, on its own line."""
-    low = max(text.rfind("\n", 0, start) + 1, start - reach)
-    high = text.find("\n", end)
-    high = min(len(text) if high < 0 else high, end + reach)
+#: Terms on each side of an entity that make its context, and the characters within which they lie.
+WORDS, REACH = 6, 160
+FILTERED = 1 << 25  # pairs of entity and term up to which a broadcast filter, 16 bits for each, is used
+
+
+def nearby_terms(text: str, start: int, end: int, words: int = WORDS, reach: int = REACH) -> list[tuple[str, int, int]]:
+    """Up to ``words`` whole terms on each side of a span, on its own line."""
+    low = max(0, start - reach)
+    while 0 < low < start and text[low - 1].isalpha() and text[low].isalpha():
+        low += 1
+    low = max(low, text.rfind("\n", low, start) + 1)
+    high = min(len(text), end + reach)
+    while end < high < len(text) and text[high - 1].isalpha() and text[high].isalpha():
+        high -= 1
+    line = text.find("\n", end, high)
     before = [m for m in _TERM.finditer(text, low, start)][-words:]
-    after = [m for _, m in zip(range(words), _TERM.finditer(text, end, high))]
+    after = [m for _, m in zip(range(words), _TERM.finditer(text, end, high if line < 0 else line))]
     return [(m[0].lower(), *m.span()) for m in before + after]
 
 
+class Covered:
+    """Places that some spans cover, looked up by halving."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+
 def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
 _WORD = pa.struct([("term", pa.int64()), ("n", pa.int64())])
-_SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("words", pa.list_(_WORD))])
-SCAN = "row long, doc_id long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:long,context:long,start:int,end:int>>, words array<struct<term:long,n:long>>"
+_SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("entities", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("words", pa.list_(_WORD))])
+SCAN = "row long, doc_id long, text string, entities array<long>, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:long,context:long>>, words array<struct<term:long,n:long>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document (row, doc_id, spans, near) and word counts in rows without ``row``."""
+def scan(docs: DataFrame, all_texts: bool = False) -> DataFrame:
+    """One row per document (row, doc_id, entities, spans, near; text where it has spans, or always)
+    and word counts in rows without ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, row = Counter(), TaskContext.get().partitionId() << 36
@@ -117,14 +155,15 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 row += 1
                 counts.update(_TERM.findall(text.lower()))
-                spans, near = entities(text), []
-                taken = [(s, e) for _, s, e in spans]
+                spans, near, keys = entities(text), [], {}
+                taken = Covered([(s, e) for _, s, e in spans])
                 for kind, start, end in spans:
-                    terms = [t for t in nearby_terms(text, start, end) if not any(s < t[2] and t[1] < e for s, e in taken)]
-                    context = _key(" ".join(t for t, _, _ in terms))
-                    for term, s, e in terms:
-                        near += [{"entity": _key(x), "term": _key(term), "context": context, "start": s, "end": e} for x in (kind, f"{kind}:{text[start:end].lower()}")]
-                rows.append({"row": row, "doc_id": doc_id, "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "near": near})
+                    value = f"{kind}:{text[start:end].lower()}"
+                    own = [keys.setdefault(x, _key(x)) for x in (kind, value)]
+                    terms = [t for t, s, e in nearby_terms(text, start, end) if not taken.meets(s, e)]
+                    context = _key(" ".join(terms))
+                    near += [{"entity": x, "term": _key(term), "context": context} for term in terms for x in own]
+                rows.append({"row": row, "doc_id": doc_id, "text": text if spans or all_texts else None, "entities": list(keys.values()), "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "near": near})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCAN)
             if len(counts) > 400_000:
                 yield counted()
@@ -133,45 +172,90 @@ def scan(docs: DataFrame) -> DataFrame:
     return ids_and_texts(docs).mapInArrow(run, SCAN)
 
 
-def disclosing_terms(found: DataFrame, disclosure: float = 0.8, removal: float = 0.95, min_contexts: int = 5) -> DataFrame:
-    """(entity, term, share, remove): terms whose PMI reaches ``disclosure`` of the entity's information."""
+def disclosing_terms(found: DataFrame, disclosure: float = 0.8, removal: float = 0.95, chance: float = 1e-6) -> DataFrame:
+    """(entity, term, pair, n, share, remove): terms whose PMI reaches ``disclosure`` of the entity's
+    information; n: how often they stand near it."""
     near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
-    pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
+    pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     # The class of an entity has few values and each value few pairs, so sums are combined in the map.
     around = near.groupBy("entity").agg(F.count("*").alias("around"))
+    spots = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("spots"))
     words = found.select(F.explode("words").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n_term"))
     total = found.select(F.explode("words").alias("x")).agg(F.sum("x.n").alias("total"))
+    expected = F.col("spots") * F.least(F.lit(1.0), 2 * WORDS * F.col("n_term") / F.col("total"))
+    bound = F.col("contexts") * F.log(F.col("contexts") / expected) - F.col("contexts") + expected
     scored = (
-        pairs.filter(F.col("contexts") >= min_contexts)
-        .join(around, "entity")
+        pairs.filter("contexts >= 2")
+        .join(around.join(spots, "entity"), "entity")
         .join(words, "term")
         .crossJoin(F.broadcast(total))  # one row
-        .withColumn("pmi", F.log2(F.col("together") / F.col("around")) - F.log2(F.col("n_term") / F.col("total")))
+        .filter((F.col("contexts") > expected) & (bound >= -math.log(chance)))
+        .withColumn("pmi", F.log2(F.col("n") / F.col("around")) - F.log2(F.col("n_term") / F.col("total")))
         .withColumn("share", F.col("pmi") / -F.log2(F.col("around") / F.col("total")))
     )
-    return scored.filter(F.col("share") >= disclosure).select("entity", "term", "share", (F.col("share") >= removal).alias("remove"))
+    return scored.filter(F.col("share") >= disclosure).select("entity", "term", _pair("entity", "term").alias("pair"), "n", "share", (F.col("share") >= removal).alias("remove"))
+
+
+def _pair(entity: str, term: str):
+    return F.xxhash64(entity, term)
 
 
-def find_personal_data(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """row, doc_id, spans (entities) and terms (struct start, end, remove) per document."""
-    found = stored(scan(docs), "personal-data")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    hits = near.join(disclosing_terms(found, **thresholds).drop("share"), ["entity", "term"])
-    terms = hits.groupBy("row", "start", "end").agg(F.max("remove").alias("remove")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-    return found.filter(F.col("row").isNotNull()).select("row", "doc_id", "spans").join(terms, "row", "left")
+def _occurrences(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, entity, term, start, end: terms of documents with entities, at least those in ``pairs``."""
+    n = pairs.count()
+    mix = lambda e, t: (mixed(mixed(e.astype(np.uint64)) + t.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(mix(batch.column("entity").to_numpy(), batch.column("term").to_numpy()))], names=["at"])
 
-def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text with entities as ``<kind>``, disclosing terms as ``<term>`` or taken out.
+    few = found.sparkSession.sparkContext.broadcast(key_filter(pairs.select("entity", "term").mapInArrow(keyed, "at long"), "at", n)) if n <= FILTERED else None
 
-    For tables whose ``doc_id`` is a key; the texts are shuffled once, to meet their spans.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for row, text, own, spans in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "entities", "spans")), strict=True):
+                taken = Covered([(s["start"], s["end"]) for s in spans])
+                places: dict[str, list[tuple[int, int]]] = {}
+                for m in _TERM.finditer(text):
+                    if not taken.meets(*m.span()):
+                        places.setdefault(m[0].lower(), []).append(m.span())
+                entity, terms = np.array(own, np.int64), np.array([_key(t) for t in places], np.int64)
+                spots = list(places.values())
+                for low in range(0, len(entity), 1_000):  # a text of very many entities, some at a time
+                    some = entity[low : low + 1_000]
+                    e, t = np.repeat(some, len(terms)), np.tile(np.arange(len(terms)), len(some))
+                    if few is not None:
+                        use = passes(few.value, mix(e, terms[t]))
+                        e, t = e[use], t[use]
+                    if len(e):
+                        times = np.array([len(spots[i]) for i in t.tolist()])
+                        at = np.array([x for i in t.tolist() for x in spots[i]], np.int64)
+                        for held, new in zip(parts, (np.full(len(at), row), np.repeat(e, times), np.repeat(terms[t], times), at[:, 0], at[:, 1]), strict=True):
+                            held.append(new)
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in parts], names=["row", "entity", "term", "start", "end"])
+
+    return found.filter(F.size("spans") > 0).select("row", "text", "entities", "spans").mapInArrow(run, "row long, entity long, term long, start long, end long")
+
+
+def find_personal_data(docs: DataFrame, all_texts: bool = False, **thresholds: float) -> DataFrame:
+    """row, doc_id, text (see ``scan``), spans (entities) and terms (struct start, end, remove) per document."""
+    found = stored(scan(docs, all_texts), "personal-data")
+    pairs = stored(disclosing_terms(found, **thresholds), "disclosing")
+    hits = joined(_occurrences(found, pairs).withColumn("pair", _pair("entity", "term")).select("row", "pair", "start", "end"), pairs.select("pair", "n", "remove"), "pair")
+    terms = hits.groupBy("row", "start", "end").agg(F.max("remove").alias("remove")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "remove"))).alias("terms"))
+    return found.filter(F.col("row").isNotNull()).select("row", "doc_id", "text", "spans").join(terms, "row", "left")
+
+
+def sanitised(docs: DataFrame, **thresholds: float) -> DataFrame:
+    """doc_id, text of every row, with entities as ``<kind>``, disclosing terms as ``<term>`` or taken
+    out. The texts are stored once beside their spans, so each row gets its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, spans, terms in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "terms")), strict=True):
-                cuts = [(s["start"], s["end"], f"<{s['kind']}>") for s in spans or ()]
+                cuts = [(s["start"], s["end"], f"<{s['kind']}>") for s in spans]
                 cuts += [(t["start"], t["end"], "" if t["remove"] else "<term>") for t in terms or ()]
                 parts, at = [], 0
                 for start, end, put in sorted(cuts):
@@ -181,7 +265,7 @@ def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
                 out.append("".join([*parts, text[at:]]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return ids_and_texts(docs).join(found.select("doc_id", "spans", "terms"), "doc_id", "left").mapInArrow(run, "doc_id long, text string")
+    return find_personal_data(docs, all_texts=True, **thresholds).select("doc_id", "text", "spans", "terms").mapInArrow(run, "doc_id long, text string")
 
 
 def span_text(spans) -> F.Column:

@@ -244,10 +244,78 @@ def test_disclosing_terms(spark):
     texts = dict(rows)
     assert set(hits) == {i for i in range(400) if i % 9 == 0}
     assert {texts[d][t["start"] : t["end"]] for d, ts in hits.items() for t in ts} == {"zanzibar"}
-    clean = {r["doc_id"]: r["text"] for r in op7.sanitised(df, found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in op7.sanitised(df).collect()}
     assert "<email>" in clean[0] and "zanzibar" not in clean[0] and clean[1] == texts[1]
 
 
+def plain_disclosing(texts, disclosure=0.8, chance=1e-6):
+    """(entity, term) names whose PMI and significance suffice, from dictionaries."""
+    words, together, around, contexts, spots = Counter(), Counter(), Counter(), {}, {}
+    for text in texts:
+        words.update(re.findall(r"[^\W\d_]{3,}", text.lower()))
+        spans = plain_entities(text)
+        for kind, start, end in spans:
+            near = [t for t, s, e in op7.nearby_terms(text, start, end) if not any(a < e and s < b for _, a, b in spans)]
+            for entity in (kind, f"{kind}:{text[start:end].lower()}"):
+                if near:
+                    spots.setdefault(entity, set()).add(" ".join(near))
+                for t in near:
+                    together[entity, t] += 1
+                    around[entity] += 1
+                    contexts.setdefault((entity, t), set()).add(" ".join(near))
+    total, out = sum(words.values()), set()
+    for (entity, t), n in together.items():
+        k, expected = len(contexts[entity, t]), len(spots[entity]) * min(1.0, 12 * words[t] / total)
+        pmi = math.log2(n / around[entity]) - math.log2(words[t] / total)
+        if k >= 2 and k > expected and k * math.log(k / expected) - k + expected >= -math.log(chance) and pmi / -math.log2(around[entity] / total) >= disclosure:
+            out.add((entity, t))
+    return out
+
+
+def test_disclosing_terms_equal_a_plain_version_wherever_they_stand(spark):
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = []
+    for i in range(300):
+        who = i % 50
+        held = f"name{chr(97 + who % 26)}{chr(97 + who // 26)}x and u{who}@mail.org" if i < 100 else "no address"
+        rows.append((i, f"{say(20)} {held} {say(20)}\nfar {say(40)} name{chr(97 + who % 26)}{chr(97 + who // 26)}x, 10.0.{who}.9\n{say(5)}"))
+    rows += [(500 + i, rows[0][1]) for i in range(20)]  # copies are one context
+    texts = [t for _, t in rows]
+    want = plain_disclosing(texts)
+    assert len(want) > 30  # names that stand by an address in two contexts only
+    found = op7.scan(documents(spark, rows).repartition(5))
+    keys = {op7._key(x): x for x in {y for t in texts for k, a, b in plain_entities(t) for y in (k, f"{k}:{t[a:b].lower()}")} | {w for t in texts for w in re.findall(r"[^\W\d_]{3,}", t.lower())}}
+    assert {(keys[r["entity"]], keys[r["term"]]) for r in op7.disclosing_terms(found).collect()} == want
+    for r in op7.find_personal_data(documents(spark, rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        own = {y for k, a, b in plain_entities(text) for y in (k, f"{k}:{text[a:b].lower()}")}
+        terms = {t for e, t in want if e in own}
+        spans = plain_entities(text)
+        places = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        assert [(t["start"], t["end"]) for t in r["terms"] or ()] == places
+
+
+@pytest.mark.parametrize("filtered", [0, 1 << 25])
+def test_sanitised_rows_keep_their_own_spans(spark, monkeypatch, filtered):
+    monkeypatch.setattr(op7, "FILTERED", filtered)
+    rows = [(None, "null id a@b.org"), (None, "write to c@d.org or 10.0.0.1"), (7, "same id e@f.org here"), (7, "other text of the id, +1 234 567 890 12"), (7, "same id e@f.org here"), (8, None)]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in op7.sanitised(documents(spark, rows)).collect())
+    assert got == [(0, "null id <email>"), (0, "write to <email> or <ip>"), (7, "other text of the id, <phone>"), (7, "same id <email> here"), (7, "same id <email> here"), (8, "")]
+
+
+def test_personal_data_in_a_very_long_line(spark):
+    text = ("word " * 40 + "x@y.org 1.2.3.4 ") * 4_000
+    got = op7.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(got["spans"]) == 8_000
+
+
+def test_nearby_terms_are_whole_words():
+    text = "abcdefgh" * 30 + " left x@y.org right " + "abcdefgh" * 30
+    assert [t for t, _, _ in op7.nearby_terms(text, text.index("x@"), text.index("x@") + 7)] == ["left", "right"]
+
+
 def test_personal_data_and_secrets_odd_rows(spark):
     df = documents(spark, odd_rows())
     assert op7.find_personal_data(df).count() == df.count() == op9.find_secrets(df).count() == op9.redacted(df).count()
