@@ -1,37 +1,42 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the word pairs of the test items. A first pass counts in how many documents each occurs;
-an item keeps its rarest ones (by rank within the item, so an item that leaked everywhere keeps as
-many as any other), weighted by log inverse document frequency. A second pass finds stretches of a
-document that hold enough of an item's seed weight and aligns the item with them word by word:
-+2 for a match, -1 for a mismatch or a gap, as a share of the item's perfect score. Edited and
-paraphrased copies lose a little of that score, chance overlaps most of it.
-
-Items are taken in blocks of at most ``ITEMS`` and a block is what is broadcast, so the broadcast
-is bounded however long the test set. Documents are only ever mapped over: nothing of them is
-shuffled but the counts of seed pairs.
-
-Defined results: null or empty texts match nothing; items of one word have no seed and match
-nothing; repeated rows of an item are one item with several texts, the best counts; repeated
-``doc_id`` rows give their own rows; empty tables give no rows; other columns are ignored.
+"""Benchmark decontamination: rare n-gram seeds join passages to items, Smith-Waterman decides.
+
+An item's seeds are the rarest of its word pairs and triples, by the number of documents and items
+that hold them, weighted by log inverse document frequency. Documents and items meet in an equi-join
+on seed hashes. Where a stretch of a document holds enough of an item's seed weight, the item is
+aligned with it word by word: +2 for a match, -1 for a mismatch or a gap, as a share of the item's
+perfect score. Edited and paraphrased copies lose a little of that score, chance overlaps most of it.
+
+1. a map over the texts counts in how many documents each n-gram of an item stands;
+2. the seeds are chosen, and a second map gives the places of seeds in documents;
+3. places and seeds are joined, then weighed by document and item; what has enough weight becomes
+   stretches, and the texts that have any are read again and aligned.
+
+The maps pass only what the items (1, 2) or the stretches (3) hold, by a broadcast filter of 16 bits a
+key where there are at most ``FILTERED`` keys; beyond, everything is joined. Items are never
+collected and a document's texts are shuffled only if it has a stretch. A seed that very many
+documents hold, or an item that leaked into very many, is joined by broadcast (see ``joined``).
+
+Defined results: null or empty texts match nothing, nor do items without words; an item of one word
+is found wherever the word stands; repeated rows of an item are one item with several texts, the best
+counts, of ties the earliest place; repeated ``doc_id`` rows give their own rows, a null ``doc_id`` a
+null one; a very long text is one row of word hashes; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, stored, table
+from plumbline.llm.shingles import mixed
 
-ITEMS = 5_000
+FILTERED = 1 << 25
 #: ASCII letters to lower case, digits stay, other ASCII to spaces, bytes of other letters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -40,81 +45,75 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-@dataclass
-class Items:
-    """A block of test items: word numbers, each item's words, and the seed pairs."""
-
-    ids: list[int]
-    texts: list[np.ndarray]
-    vocabulary: dict[bytes, int]
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    owners: list[list[tuple[int, float]]] = field(default_factory=list)
-    total: list[float] = field(default_factory=list)
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
-        vocabulary: dict[bytes, int] = {}
-        ids, texts = [], []
-        for item, text in sorted(set(rows)):
-            words = words_of(text)
-            if len(words) >= 2:
-                ids.append(item)
-                texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
-        out = cls(ids, texts, vocabulary)
-        out.pairs = np.unique(np.concatenate([out.codes(t) for t in texts])) if texts else out.pairs
-        return out
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
-
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        """The pair at each position, -1 where a word is in no item."""
-        a, b = numbers[:-1].astype(np.int64), numbers[1:]
-        return np.where((a >= 0) & (b >= 0), a * len(self.vocabulary) + b, -1)
-
-    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, pair numbers) of the pairs that occur in items."""
-        at = np.flatnonzero(codes >= 0)
-        found = np.minimum(np.searchsorted(self.pairs, codes[at]), len(self.pairs) - 1)
-        hit = self.pairs[found] == codes[at]
-        return at[hit], found[hit]
-
-    def choose_seeds(self, frequency: np.ndarray, documents: int, share: float, least: int) -> None:
-        """Keep each item's rarest pairs; weigh a pair by log(documents / frequency)."""
-        owners: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.total = [0.0] * len(self.ids)
-        for i, text in enumerate(self.texts):
-            own = np.unique(np.searchsorted(self.pairs, self.codes(text)))
-            rarest = own[np.lexsort((own, frequency[own]))][: max(least, math.ceil(share * len(own)))]
-            for pair in rarest.tolist():
-                weight = math.log((documents + 1) / (frequency[pair] + 1)) + 0.1
-                owners[pair].append((i, weight))
-                self.total[i] += weight
-        self.owners = [owners.get(p, []) for p in range(len(self.pairs))]
-
-
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Documents that hold each pair of the block, and all documents; counts combined per task."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def word_hashes(text: str) -> np.ndarray:
+    words, known = words_of(text), memo("decontamination")
+    if len(known) > 400_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def grams_of(words: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, place of its first word) of pairs and triples, and of single words if asked."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    twos = mixed(words[:-1] * step + words[1:]) if len(words) > 1 else words[:0]
+    threes = mixed(twos[:-1] * step + words[2:]) if len(words) > 2 else words[:0]
+    parts = [twos, threes, *[mixed(words + np.uint64(1))] * singles]
+    return np.concatenate(parts).view(np.int64), np.concatenate([np.arange(len(p)) for p in parts])
+
+
+_ITEMS = "item long, item_id long, n_words int, words binary, grams array<long>"
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """One row per item text: a key, its words' hashes, its distinct n-grams (of one word: that word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
+                words = word_hashes(text)
+                if len(words):
+                    rows.append({"item": item, "item_id": item_id, "n_words": len(words), "words": words.tobytes(), "grams": np.unique(grams_of(words, len(words) == 1)[0]).tolist()})
+            schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return stored(rows.withColumn("item", F.xxhash64("item_id", "text")).select("item", "item_id", "text").mapInArrow(run, _ITEMS), "items")
+
+
+def _filter_of(keys: DataFrame, key: str):
+    """A broadcast filter over distinct keys; None where there are too many of them."""
+    n = keys.count()
+    return keys.sparkSession.sparkContext.broadcast(key_filter(keys, key, n)) if n <= FILTERED else None
+
+
+def document_frequencies(docs: DataFrame, grams: DataFrame, singles: bool) -> DataFrame:
+    """gram, n: documents that hold each of ``grams``."""
+    few = _filter_of(grams, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n = sent.value, 0
-        counts = np.zeros(len(block.pairs), np.int64)
         for batch in batches:
+            held = [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
-                n += 1
-                counts[np.unique(block.places(block.codes(block.numbers(words_of(text))))[1])] += 1
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*counts[at].tolist(), n], pa.int64())], names=["pair", "n"])
+                found = grams_of(word_hashes(text), singles)[0]
+                held.append(np.unique(found[passes(few.value, found)] if few is not None else found))
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.record_batch([pa.array(gram), pa.array(n, pa.int64())], names=["gram", "n"])
 
-    found = docs.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    frequency, documents = np.zeros(len(items.pairs), np.int64), 0
-    for pair, n in found:
-        if pair < 0:
-            documents = n
-        else:
-            frequency[pair] = n
-    return frequency, documents
+    return grams.join(docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def seeds_of(items: DataFrame, frequencies: DataFrame, documents: int, share: float, least: int) -> DataFrame:
+    """item, gram, weight: each item's rarest n-grams, weighed by log(documents / frequency)."""
+    held = items.select("item", F.explode("grams").alias("gram"))
+    shared = held.groupBy("gram").agg(F.count("*").alias("items")).join(frequencies, "gram")
+    rank = Window.partitionBy("item").orderBy(F.col("n") + F.col("items"), "gram")  # an item's own n-grams
+    ranked = joined(held, shared.select("gram", "items", F.col("n").alias("df")), "gram", "items").withColumnRenamed("df", "n")
+    ranked = ranked.withColumn("place", F.row_number().over(rank)).withColumn("own", F.count("*").over(Window.partitionBy("item")))
+    weight = F.log((documents + 1) / (F.col("n") + 1)) + 0.1
+    return ranked.filter(F.col("place") <= F.greatest(F.lit(least), F.ceil(share * F.col("own")))).select("item", "gram", weight.alias("weight"))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -131,14 +130,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def stretches(positions: list[int], weights: list[float], length: int, needed: float) -> Iterator[tuple[int, int]]:
-    """(first, last) of maximal runs of windows of ``length`` words with enough distinct seed weight."""
+    """(first, last) of maximal runs of windows of ``length`` words with enough seed weight."""
     low, held, run = 0, 0.0, None
     for high, at in enumerate(positions):
         held += weights[high]
         while positions[low] < at - length:
             held -= weights[low]
             low += 1
-        if held >= needed:
+        if held >= needed - 1e-9:
             if run and positions[low] <= run[1] + length:
                 run = (run[0], at)
             else:
@@ -149,52 +148,99 @@ def stretches(positions: list[int], weights: list[float], length: int, needed: f
         yield run
 
 
-def matches(block: Items, words: list[bytes], enough: float, threshold: float) -> dict[int, tuple[float, int]]:
-    """item -> (score, word position where its copy ends) for one document."""
-    numbers = block.numbers(words)
-    at, pairs = block.places(block.codes(numbers))
-    by_item: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for position, pair in zip(at.tolist(), pairs.tolist(), strict=True):
-        for item, weight in block.owners[pair]:
-            by_item[item].append((position, weight))
-    found: dict[int, tuple[float, int]] = {}
-    for item, hits in by_item.items():
-        text, needed = block.texts[item], enough * block.total[item]
-        if sum(w for _, w in hits) < needed:
-            continue
-        n = len(text)
-        for first, last in stretches([p for p, _ in hits], [w for _, w in hits], 2 * n, needed):
-            low = max(0, first - n)
-            score, end = align(text, numbers[low : last + 2 + n])
-            score /= 2 * n
-            if score >= threshold and score > found.get(block.ids[item], (0.0, 0))[0]:
-                found[block.ids[item]] = (score, low + end)
-    return found
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, enough: float = 0.15, share: float = 0.75, least: int = 8) -> DataFrame:
+def _key_of(doc_id: int | None, text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"), seed=0 if doc_id is None else (2 * doc_id + 1) % (1 << 64))
+
+
+def _half(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _places(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
+    """doc, gram, at: where (at least) the seeds stand; doc is a digest of id and text."""
+    few = _filter_of(seeds.select("gram").distinct(), "gram")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, gram, at = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found, place = grams_of(word_hashes(text), singles)
+                if few is not None:
+                    use = passes(few.value, found)
+                    found, place = found[use], place[use]
+                if len(found):
+                    doc += [_key_of(doc_id, text)] * len(found)
+                    gram.append(found)
+                    at.append(place)
+            yield pa.record_batch([pa.array(doc, pa.binary()), pa.array(np.concatenate(gram)), pa.array(np.concatenate(at), pa.int32())], names=["doc", "gram", "at"])
+
+    return docs.mapInArrow(run, "doc binary, gram long, at int")
+
+
+def candidates(docs: DataFrame, items: DataFrame, seeds: DataFrame, enough: float, singles: bool) -> DataFrame:
+    """doc, items: (item_id, words, stretches) of each item that a document may hold."""
+    owners = seeds.groupBy("gram").agg(F.collect_list(F.struct("item", "weight")).alias("owners"))
+    places = stored(_places(docs, seeds, singles), "places")
+    crowds = places.groupBy("gram").agg(F.count("*").alias("n"))
+    hits = joined(places, owners.join(crowds, "gram"), "gram").select("doc", "at", F.explode("owners").alias("x")).select("doc", "at", "x.item", "x.weight")
+    hits = hits.groupBy("doc", "item").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("hits"))
+    total = seeds.groupBy("item").agg((F.sum("weight") * enough).alias("needed"))
+    facts = items.select("item", "item_id", "n_words", "words").join(total, "item").join(hits.groupBy("item").agg(F.count("*").alias("n")), "item")
+    strong = joined(hits, facts, "item").filter("weight >= needed - 1e-9")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for n, needed, hits in zip(*(batch.column(c).to_pylist() for c in ("n_words", "needed", "hits")), strict=True):
+                found.append([{"low": a, "high": b} for a, b in stretches([h["at"] for h in hits], [h["weight"] for h in hits], 2 * n, needed)])
+            kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+            yield pa.record_batch([batch.column("doc"), batch.column("item_id"), batch.column("words"), pa.array(found, kind)], names=["doc", "item_id", "words", "found"])
+
+    near = strong.select("doc", "item_id", "words", "n_words", "needed", "hits").mapInArrow(run, "doc binary, item_id long, words binary, found array<struct<low:int,high:int>>")
+    return near.filter(F.size("found") > 0).groupBy("doc").agg(F.collect_list(F.struct("item_id", "words", "found")).alias("items"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, enough: float = 0.1, share: float = 0.75, least: int = 8) -> DataFrame:
     """doc_id, item_id, score, end_word: documents that hold a copy of an item, edited or not."""
-    spark, docs = docs.sparkSession, ids_and_texts(docs)
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, math.ceil(items.count() * 1.2 / ITEMS))
-    out = None
-    for b in range(blocks):  # each block holds about ITEMS / 1.2 items
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = Items.of([(r["item_id"], r["text"]) for r in rows])
-        if not block.ids:
-            continue
-        block.choose_seeds(*document_frequencies(docs, block), share, least)
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, i, s, e) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, (s, e) in matches(sent.value, words_of(t), enough, threshold).items()]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "score", "end_word"])
-
-        found = docs.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+    docs, items = ids_and_texts(docs), _items(benchmark)
+    singles = bool(items.filter("n_words = 1").limit(1).count())
+    frequencies = stored(document_frequencies(docs, items.select(F.explode("grams").alias("gram")).distinct(), singles), "frequencies")
+    seeds = stored(seeds_of(items, frequencies, docs.count(), share, least), "seeds")
+    wanted = stored(candidates(docs, items, seeds, enough, singles), "stretches")
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([_half(k) for k in batch.column("doc").to_pylist()], pa.int64())], names=["half"])
+
+    few = _filter_of(wanted.select("doc").mapInArrow(halves, "half long"), "half")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key_of(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            use = passes(few.value, np.array([_half(k) for k in keys], np.int64)) if few is not None else np.ones(len(keys), bool)
+            whole = pa.record_batch([pa.array(keys, pa.binary()), batch.column("doc_id"), batch.column("text")], names=["doc", "doc_id", "text"])
+            yield whole.filter(pa.array(use))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items")), strict=True):
+                words, best = word_hashes(text), {}
+                for item in held:
+                    own = np.frombuffer(item["words"], np.uint64)
+                    n = len(own)
+                    for s in item["found"]:
+                        low = max(0, s["low"] - n)
+                        score, end = align(own, words[low : s["high"] + 3 + n])
+                        found = (score / (2 * n), -(low + end))
+                        if found[0] >= threshold and found > best.get(item["item_id"], (0.0, 0)):
+                            best[item["item_id"]] = found
+                rows += [(doc_id, i, score, -end) for i, (score, end) in best.items()]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "score", "end_word"])
+
+    texts = docs.mapInArrow(again, "doc binary, doc_id long, text string")
+    return texts.join(wanted, "doc").select("doc_id", "text", "items").mapInArrow(judge, "doc_id long, item_id long, score double, end_word long")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

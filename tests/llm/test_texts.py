@@ -445,16 +445,40 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
-def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
+def plain_leaks(texts, items):
+    """(doc, item) whose whole texts align by 0.4 of the item's perfect score."""
+    own = [(i, op10.word_hashes(t)) for i, t in items if i is not None and op10.words_of(t or "")]
+    return {(d, i) for d, t in texts for i, w in own if op10.align(w, op10.word_hashes(t or ""))[0] >= 0.4 * 2 * len(w)}
+
+
+@pytest.mark.parametrize("filtered", [0, 1 << 25])
+def test_decontamination_query_equals_whole_alignment(spark, monkeypatch, filtered):
+    monkeypatch.setattr(op10, "FILTERED", filtered)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op10_decontaminate"](spark, SF).collect()}
+    assert got == plain_leaks(texts_of(real_documents(spark)).items(), bench) != set()
+
+
+def test_decontamination_short_items_ties_and_odd_rows(spark):
+    rows = [*odd_rows(), (70, "here stands Xylophon alone"), (71, "two words here"), (71, "two words here"), (None, "xylophon"), (72, "two other words")]
+    items = [(1, "xylophon"), (2, "two words"), (2, "two words"), (3, "one two"), (4, "a b c d e f g h")]
+    got = op10.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["item_id"], r["score"], r["end_word"]) for r in got) == [(0, 1, 1.0, 1), (6, 3, 1.0, 2), (70, 1, 1.0, 3), (71, 2, 1.0, 2), (71, 2, 1.0, 2)]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    pairs = lambda df: {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in df.collect()}
-    whole = pairs(QUERIES["op10_decontaminate"](spark, SF))
-    monkeypatch.setattr(op10, "ITEMS", 10)
-    assert {p[:2] for p in pairs(op10.contaminated(real_documents(spark), bench))} == {p[:2] for p in whole} != set()
     assert op10.contaminated(documents(spark, odd_rows()), bench).count() == 0
     assert op10.contaminated(real_documents(spark).limit(0), bench).count() == op10.contaminated(real_documents(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_item_that_leaked_everywhere(spark):
+    """Its seeds and its copies are hot keys."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2_000)]
+    items = [(i, " ".join(rng.choices(words, k=25))) for i in range(3)]
+    rows = [(d, " ".join([*rng.choices(words, k=20), items[0 if d % 10 else 1][1] if d % 3 else "", *rng.choices(words, k=20)])) for d in range(3_000)]
+    got = op10.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, 0 if d % 10 else 1) for d in range(3_000) if d % 3}
+
+
 def test_pipeline(spark):
     """Every stage against the operator's own decisions by plain code."""
     import corpus_pipeline
@@ -470,8 +494,8 @@ def test_pipeline(spark):
 
             assert set(after) == {d for d, (_, c) in brute_components(before).items() if d == c}
         elif name == "benchmark decontamination":
-            block = op10.Items.of([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-            leaked = {d for d, t in before.items() if any(op10.align(i, block.numbers(op10.words_of(t)))[0] >= 0.4 * 2 * len(i) for i in block.texts)}
+            bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            leaked = {d for d, _ in plain_leaks(before.items(), bench)}
             assert set(after) == set(before) - leaked and leaked
         elif name == "secret scan":
             assert set(after) == set(before) and not any(plain_secrets(t) for t in after.values())
