@@ -48,10 +48,14 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_PROBES = 6
+
+
 def key_filter(keys: DataFrame, key: str, n: int) -> np.ndarray:
-    """A filter over ``n`` distinct long keys, 16 bits for each: look up with ``passes``."""
+    """A Bloom filter over ``n`` distinct long keys (hashes), 16 bits for each: 1 in 1,000 others pass."""
     bits = 64 * max(1, n // 4)
-    at = F.pmod(F.col(key), F.lit(bits))
+    low, high = F.col(key).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1))
+    at = F.explode(F.array(*[(low + high * i) % F.lit(bits) for i in range(_PROBES)]))
     words = keys.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -60,8 +64,14 @@ def key_filter(keys: DataFrame, key: str, n: int) -> np.ndarray:
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where the filter may hold the keys (it always does where it was given them)."""
-    at = keys % (len(bits) * 8)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    keys, left, n = keys.astype(np.uint64), np.arange(len(keys)), np.uint64(len(bits) * 8)
+    for i in range(_PROBES):
+        own = keys[left]
+        at = (((own & np.uint64(0xFFFFFFFF)) + ((own >> np.uint64(32)) | np.uint64(1)) * np.uint64(i)) % n).astype(np.int64)
+        left = left[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(keys), bool)
+    out[left] = True
+    return out
 
 
 def joined(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:

@@ -171,17 +171,16 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, k: int = G
     sample = stored(ids_and_texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(run, "grade int, buckets binary").limit(rows), "rated")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((k, (1 << BITS) + 1), np.int64)  # the last place: documents of the grade
+        sums = np.zeros((k, (1 << BITS) + 1), np.int32)  # the last place: documents of the grade
         for batch in batches:
             for grade, found in zip(batch.column("grade").to_pylist(), batch.column("buckets").to_pylist(), strict=True):
                 sums[grade, np.frombuffer(found, np.int32)] += 1
                 sums[grade, -1] += 1
-        grade, at = np.nonzero(sums)
-        yield pa.record_batch([pa.array(grade, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[grade, at])], names=["grade", "at", "n"])
+        yield pa.record_batch([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
-    sums = sample.mapInArrow(count, "grade int, at int, n long").groupBy("grade", "at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((k, (1 << BITS) + 1), np.int64)
-    counts[sums["grade"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
+    for row in sample.coalesce(4).mapInArrow(count, "sums binary").toLocalIterator():  # four tables of fixed size
+        counts += np.frombuffer(row["sums"], np.int32).reshape(counts.shape)
     use = telling(counts[:, :-1], counts[:, -1])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import op1_topk, op2_repeats, op5_near_duplicates
+from plumbline.llm.common import key_filter, passes
 from plumbline.llm.graph import components
 from plumbline.llm.queries import QUERIES
 from plumbline.llm.shingles import shingles
@@ -213,6 +214,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 1000: 1000, 1001: 1000}
 
 
+def test_key_filter(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, 5_000, dtype=np.int64)
+    bits = key_filter(spark.createDataFrame([(int(k),) for k in keys[:2_000]], "k long"), "k", 2_000)
+    assert passes(bits, keys[:2_000]).all() and passes(bits, keys[2_000:]).mean() < 0.01
+    assert not passes(key_filter(spark.createDataFrame([], "k long"), "k", 0), keys).any() and len(passes(bits, keys[:0])) == 0
+
+
 def test_components_of_a_hot_star(spark):
     """A centre with most of all links: its links are joined by broadcast."""
     links = spark.createDataFrame([(5, i) for i in range(10, 4_000)] + [(i, i + 1) for i in range(5_000, 5_300)] + [(3_999, 5_000)], "a long, b long")
