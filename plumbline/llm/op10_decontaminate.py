@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, sliced, stored, table
 from plumbline.llm.shingles import mixed
 
 FILTERED = 1 << 25
@@ -47,7 +47,7 @@ def words_of(text: str) -> list[bytes]:
 
 def word_hashes(text: str) -> np.ndarray:
     words, known = words_of(text), memo("decontamination")
-    if len(known) > 400_000:
+    if len(known) > 120_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
@@ -96,7 +96,7 @@ def document_frequencies(docs: DataFrame, grams: DataFrame, singles: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.zeros(0, np.int64)]
-            for text in batch.column("text").to_pylist():
+            for text in (t for part in sliced([batch]) for t in part.column("text").to_pylist()):
                 found = grams_of(word_hashes(text), singles)[0]
                 held.append(np.unique(found[passes(few.value, found)] if few is not None else found))
             gram, n = np.unique(np.concatenate(held), return_counts=True)
@@ -161,7 +161,7 @@ def _places(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
     few = _filter_of(seeds.select("gram").distinct(), "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             doc, gram, at = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found, place = grams_of(word_hashes(text), singles)
@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
     few = _filter_of(wanted.select("doc").mapInArrow(halves, "half long"), "half")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [_key_of(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             use = passes(few.value, np.array([_half(k) for k in keys], np.int64)) if few is not None else np.ones(len(keys), bool)
             whole = pa.record_batch([pa.array(keys, pa.binary()), batch.column("doc_id"), batch.column("text")], names=["doc", "doc_id", "text"])

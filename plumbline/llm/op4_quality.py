@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import ids_and_texts, memo, stored, table
+from plumbline.llm.common import ids_and_texts, memo, sliced, stored, table
 
 FIT_ROWS = 20_000
 #: A document is kept when the top grade is at least this likely.
@@ -49,7 +49,7 @@ def _bucket(name: bytes) -> int:
 
 def _word_buckets(words: set[bytes]) -> set[int]:
     known = memo("quality")
-    if len(known) > 400_000:
+    if len(known) > 120_000:
         known.clear()
     for w in words.difference(known):
         known[w] = _bucket(b"w:" + w)
@@ -164,7 +164,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, k: int = G
     few = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("grade"), pa.array(found, pa.binary())], names=["grade", "buckets"])
 
@@ -203,7 +203,7 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             below = m.at_most(m.score([features(t) for t in texts]))
             extra = [pa.array((1 - below).sum(axis=1), pa.float64()), pa.array(1 - below[:, -1], pa.float64())]
@@ -218,7 +218,7 @@ def kept_by(docs: DataFrame, model: OrdinalModel, least: float = KEEP) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             below = sent.value.at_most(sent.value.score([features(t or "") for t in batch.column("text").to_pylist()]))
             yield batch.filter(pa.array(1 - below[:, -1] >= least))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, joined, key_filter, passes, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, passes, sliced, stored, table
 from plumbline.llm.graph import components
 from plumbline.llm.shingles import MinHash, mixed, shingles
 
@@ -55,7 +55,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(SYMBOLS)
-        for batch in batches:
+        for batch in sliced(batches):
             n, classes, signatures = [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingles(text)
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         few = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc").alias("at")), "at", n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if few is not None:
                 batch = batch.filter(pa.array(passes(few.value, batch.column("at").to_numpy())))
             yield pa.record_batch([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "grams"])
