@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-#: Turkish function words for the text-layer check.
-TURKISH_STOP_WORDS = tuple(
-    "ve bir bu ile için olarak sayılı madde de da ise veya ancak göre gibi daha olan kanun kanunu hakkında tarafından "
-    "kadar sonra her ya ki mi ne şu o ayrıca ilgili olduğu edilen".split()
-)
 #: Function words of the languages of the documents table.
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "was", "for", "that", "with", "as", "on", "be", "by", "it", "this", "are", "from", "at", "or"),

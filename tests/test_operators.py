@@ -1,6 +1,7 @@
 """Operators on small tables with the awkward cases."""
 
 import datetime
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def test_chunks():
     short = "I. DAVA\n" + "a " * 45 + "\nII. KARAR\n" + "b " * 10 + "\nIII. SON\n" + "c " * 500
     names = [s[0] for s in X.chunk_spans(short)]
     assert names[0] == "I. DAVA" and "II. KARAR" in names
-    assert X.packed("a b. c d. e f.", (0, 14), most=4, overlap=2) == [(0, 9), (5, 14)]
+    assert X.Layout("a b. c d. e f.").windows(0, 6, most=4, overlap=2) == [(0, 9), (5, 14)]
 
 
 def test_rrf_and_recall(spark):
@@ -120,3 +121,17 @@ def test_queue_rules(spark):
 def test_links(spark):
     pages = spark.createDataFrame([(1, "http://h/x/", '<a href="y.pdf">a</a><a href="http://o/z">b</a>'), (2, None, None)], "page_id long, url string, html string")
     assert [r["link"] for r in files.page_links(pages).collect()] == ["http://h/x/y.pdf"]
+
+
+def test_windows_hold_every_word_and_overlap_little():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(f"w{rng.randint(0, 9)}{rng.choice(['', '', '.', ';'])}{rng.choice([' ', ' ', ' ', chr(10), chr(10) * 2])}" for _ in range(rng.randint(1, 120)))
+        words, most, overlap = X.Layout(text), rng.randint(3, 20), rng.randint(0, 2)
+        spans = words.windows(0, len(words), most, overlap)
+        ranges = [(words.word_at(a), words.word_at(b)) for a, b in spans]
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(words)
+        assert all(0 <= b - c <= overlap and b < d for (_, b), (c, d) in zip(ranges, ranges[1:]))
+        assert all(b - a <= most + overlap for a, b in ranges)
+        starts = words.cuts(0, len(words), most)
+        assert all(a in starts and b in starts for a, b in ranges)

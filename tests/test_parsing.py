@@ -30,6 +30,13 @@ def test_notes(spark):
     assert got[3][1] == "" and got[3][0] == text.index("(Ek: bozuk")
 
 
+def test_notes_of_courts_and_brackets():
+    text = "a (b (c) Madde) (İptal: Anayasa Mahkemesinin 12/3/2010 tarihli ve E.: 2009/1, K.: 2010/2 sayılı Kararı ile.) (Ek fıkra: 31/2/2010-5/6) (Başlığı ile birlikte değişik: 1/2/2003-9/10 md.) ((x) y"
+    got = P.notes_in(text)
+    assert [g[:5] for g in got] == [("annulled", "", date(2010, 3, 12), None, "E. 2009/1 K. 2010/2"), (None,) * 5, ("amended", "", date(2003, 2, 1), "9", "10")]
+    assert [i for _, i in P.brackets("((a) b) c) (d")] == ["(a) b"]
+
+
 def test_articles(spark):
     text = "Amaç\nMadde 1 – Bir.\nKapsam\nMadde 2 – İki.\nMadde 4 - Dört.\nEk Madde 1 – Ek.\nMadde 3 – Üç."
     rows = P.articles(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").orderBy("ordinal").collect()
