@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes bytes by ``ranks`` (lower rank merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pairs_limit: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], pairs_limit: int = 1_000_000):
         self.ranks, self.token = ranks, {r: t for t, r in ranks.items()}
         self.id_bytes = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -146,6 +146,7 @@ def codec(ranks_path: str, pattern: str) -> tuple[PrefixEncoder, PieceMemo]:
         matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
         owner = f"byte bpe {ranks_path}"
+        encoder.fits = memo(owner, "fits")  # emptied with the rest when another operator takes the worker over
 
         def encode(pieces: list[str]) -> list[bytes]:
             parts = [[m.encode("utf-8", "surrogatepass") for m in matches(piece)] for piece in pieces]
