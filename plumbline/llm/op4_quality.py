@@ -49,7 +49,7 @@ def _bucket(name: bytes) -> int:
 
 def _word_buckets(words: set[bytes]) -> set[int]:
     known = memo("quality")
-    if len(known) > 120_000:
+    if len(known) > 250_000:
         known.clear()
     for w in words.difference(known):
         known[w] = _bucket(b"w:" + w)

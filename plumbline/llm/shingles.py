@@ -13,7 +13,7 @@ _MASK = (1 << 64) - 1
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     known = memo("shingles")
-    if len(known) > 120_000:
+    if len(known) > 250_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
