@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, sliced, stored, table
-from plumbline.llm.shingles import mixed
+from plumbline.llm.words import bytes_of, hashed_words, mixed
 
 FILTERED = 1 << 25
 #: ASCII letters to lower case, digits stay, other ASCII to spaces, bytes of other letters stay.
@@ -46,21 +46,31 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words, known = words_of(text), memo("decontamination")
-    if len(known) > 400_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return hashed_words(pa.array([text]), _WORDS)[0]
 
 
-def grams_of(words: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, place of its first word) of pairs and triples, and of single words if asked."""
+def grams_of(words: np.ndarray, text: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, place of its first word) of pairs and triples, and of single words if asked.
+
+    ``text``: the text each word is of; no n-gram crosses texts.
+    """
     step = np.uint64(0x9E3779B97F4A7C15)
     twos = mixed(words[:-1] * step + words[1:]) if len(words) > 1 else words[:0]
     threes = mixed(twos[:-1] * step + words[2:]) if len(words) > 2 else words[:0]
-    parts = [twos, threes, *[mixed(words + np.uint64(1))] * singles]
-    return np.concatenate(parts).view(np.int64), np.concatenate([np.arange(len(p)) for p in parts])
+    at = [np.flatnonzero(text[n:] == text[:-n]) if len(words) > n else np.zeros(0, np.int64) for n in (1, 2)]
+    parts = [twos[at[0]], threes[at[1]], *[mixed(words + np.uint64(1))] * singles]
+    return np.concatenate(parts).view(np.int64), np.concatenate([*at, *[np.arange(len(words))] * singles])
+
+
+def held_grams(texts: pa.Array, few, singles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, text, place in its text) of the n-grams that pass the filter ``few``, if there is one."""
+    words, first = hashed_words(texts, _WORDS)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    found, at = grams_of(words, text, singles)
+    if few is not None:
+        use = passes(few.value, found)
+        found, at = found[use], at[use]
+    return found, text[at], at - first[text[at]]
 
 
 _ITEMS = "item long, item_id long, n_words int, words binary, grams array<long>"
@@ -75,7 +85,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
             for item, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
                 words = word_hashes(text)
                 if len(words):
-                    rows.append({"item": item, "item_id": item_id, "n_words": len(words), "words": words.tobytes(), "grams": np.unique(grams_of(words, len(words) == 1)[0]).tolist()})
+                    rows.append({"item": item, "item_id": item_id, "n_words": len(words), "words": words.tobytes(), "grams": np.unique(grams_of(words, np.zeros(len(words)), len(words) == 1)[0]).tolist()})
             schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -94,11 +104,16 @@ def document_frequencies(docs: DataFrame, grams: DataFrame, singles: bool) -> Da
     few = _filter_of(grams, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo("decontamination")  # empties what other operators remember
         for batch in batches:
             held = [np.zeros(0, np.int64)]
-            for text in (t for part in sliced([batch]) for t in part.column("text").to_pylist()):
-                found = grams_of(word_hashes(text), singles)[0]
-                held.append(np.unique(found[passes(few.value, found)] if few is not None else found))
+            for part in sliced([batch]):
+                found, text, _ = held_grams(part.column("text"), few, singles)
+                order = np.lexsort((text, found))
+                found, text = found[order], text[order]
+                once = np.ones(len(found), bool)
+                once[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+                held.append(found[once])
             gram, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.record_batch([pa.array(gram), pa.array(n, pa.int64())], names=["gram", "n"])
 
@@ -148,8 +163,11 @@ def stretches(positions: list[int], weights: list[float], length: int, needed: f
         yield run
 
 
-def _key_of(doc_id: int | None, text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"), seed=0 if doc_id is None else (2 * doc_id + 1) % (1 << 64))
+def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> list[bytes]:
+    """A digest of id and text of some rows."""
+    data, at = bytes_of(batch.column("text"))
+    ids = batch.column("doc_id").take(pa.array(rows, pa.int64())).to_pylist()
+    return [xxhash.xxh3_128_digest(data[at[i] : at[i + 1]], seed=0 if d is None else (2 * d + 1) % (1 << 64)) for i, d in zip(rows.tolist(), ids, strict=True)]
 
 
 def _half(key: bytes) -> int:
@@ -162,17 +180,10 @@ def _places(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            doc, gram, at = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found, place = grams_of(word_hashes(text), singles)
-                if few is not None:
-                    use = passes(few.value, found)
-                    found, place = found[use], place[use]
-                if len(found):
-                    doc += [_key_of(doc_id, text)] * len(found)
-                    gram.append(found)
-                    at.append(place)
-            yield pa.record_batch([pa.array(doc, pa.binary()), pa.array(np.concatenate(gram)), pa.array(np.concatenate(at), pa.int32())], names=["doc", "gram", "at"])
+            gram, text, at = held_grams(batch.column("text"), few, singles)
+            rows, text = np.unique(text, return_inverse=True)
+            doc = pa.array(_keys(batch, rows), pa.binary()).take(pa.array(text, pa.int64()))
+            yield pa.record_batch([doc, pa.array(gram), pa.array(at, pa.int32())], names=["doc", "gram", "at"])
 
     return docs.mapInArrow(run, "doc binary, gram long, at int")
 
@@ -216,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys = [_key_of(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            keys = _keys(batch, np.arange(batch.num_rows))
             use = passes(few.value, np.array([_half(k) for k in keys], np.int64)) if few is not None else np.ones(len(keys), bool)
             whole = pa.record_batch([pa.array(keys, pa.binary()), batch.column("doc_id"), batch.column("text")], names=["doc", "doc_id", "text"])
             yield whole.filter(pa.array(use))
