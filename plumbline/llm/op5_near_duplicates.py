@@ -37,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, joined, key_filter, passes, sliced, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, sliced, stored, table
 from plumbline.llm.graph import components
-from plumbline.llm.shingles import MinHash, mixed, shingles
+from plumbline.llm.shingles import MinHash, mixed, shingle_sets
 
 SYMBOLS, CHUNK, DISTANCE = 96, 4, 47
 PERCENT = 75
@@ -55,10 +55,10 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(SYMBOLS)
+        memo("near-duplicates")  # empties what other operators remember
         for batch in sliced(batches):
             n, classes, signatures = [], [], []
-            for text in batch.column("text").to_pylist():
-                grams = shingles(text)
+            for grams in shingle_sets(batch.column("text")):
                 n.append(len(grams))
                 classes.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 signatures.append(minhash.of(grams).tobytes() if len(grams) else b"")
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             if few is not None:
                 batch = batch.filter(pa.array(passes(few.value, batch.column("at").to_numpy())))
-            yield pa.record_batch([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "grams"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([g.tobytes() for g in shingle_sets(batch.column("text"))], pa.binary())], names=["doc", "grams"])
 
     return texts.withColumn("at", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
 

@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-from plumbline.llm.common import lower_words, memo
+from plumbline.llm.common import LOWER
+from plumbline.llm.words import hashed_words, mixed
 
 WORDS = 5
-_MASK = (1 << 64) - 1
+_LETTERS = bytes(32 if 9 <= b <= 13 else LOWER[b] for b in range(256))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = memo("shingles")
-    if len(known) > 250_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of ``length`` words."""
+    n = max(0, len(words) - length + 1)
+    out = np.full(n, length, np.uint64)
+    for i in range(length):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (fixed multipliers)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the sorted hashes of its distinct ``WORDS``-word shingles; a shorter text is one
+    shingle of all its words, a text without words has none."""
+    words, first = hashed_words(texts, _LETTERS)
+    runs = _runs(words, WORDS)
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if high - low >= WORDS:
+            yield np.unique(runs[low : high - WORDS + 1])
+        else:
+            yield _runs(words[low:high], high - low)[: high - low]
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct ``WORDS``-word shingles; a shorter text is one shingle of all
-    its words, a text without words has none."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
-    n = max(1, len(h) - WORDS + 1)
-    out = np.full(n, min(len(h), WORDS), np.uint64)
-    for i in range(min(len(h), WORDS)):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+    return next(shingle_sets(pa.array([text])))
 
 
 class MinHash:
