@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,10 +201,13 @@ def candidates(docs: DataFrame, items: DataFrame, seeds: DataFrame, enough: floa
     strong = joined(hits, facts, "item").filter("weight >= needed - 1e-9")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for n, needed, hits in zip(*(batch.column(c).to_pylist() for c in ("n_words", "needed", "hits")), strict=True):
-                found.append([{"low": a, "high": b} for a, b in stretches([h["at"] for h in hits], [h["weight"] for h in hits], 2 * n, needed)])
+        for batch in sliced(batches):
+            column = batch.column("hits")
+            at, weight = column.flatten().flatten()
+            cuts, found = np.cumsum(np.append(0, pc.list_value_length(column).to_numpy(zero_copy_only=False))).tolist(), []
+            for i, (n, needed) in enumerate(zip(batch.column("n_words").to_pylist(), batch.column("needed").to_pylist(), strict=True)):
+                own = slice(cuts[i], cuts[i + 1])
+                found.append([{"low": a, "high": b} for a, b in stretches(at[own].to_pylist(), weight[own].to_pylist(), 2 * n, needed)])
             kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
             yield pa.record_batch([batch.column("doc"), batch.column("item_id"), batch.column("words"), pa.array(found, kind)], names=["doc", "item_id", "words", "found"])
 
@@ -233,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
             yield whole.filter(pa.array(use))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 100):
             rows = []
             for doc_id, text, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items")), strict=True):
                 words, best = word_hashes(text), {}
