@@ -68,6 +68,15 @@ def share_of(tokens: Column, stops: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(tokens, lambda t: F.array_contains(stops, t))) / n)
 
 
+def stop_share(tokens: Column, language: Column) -> Column:
+    """Share of ``tokens`` among the stop words of their language (0 for other languages); null without tokens."""
+    among = lambda stops: F.size(F.filter(tokens, lambda t: t.isin(*stops)))
+    hits = F.lit(0)
+    for name, stops in C.STOP_WORDS.items():
+        hits = F.when(language == name, among(stops)).otherwise(hits)
+    return F.when(F.size(tokens) > 0, hits / F.size(tokens))
+
+
 def stop_list(language: Column) -> Column:
     out = F.array().cast("array<string>")
     for name, stops in C.STOP_WORDS.items():

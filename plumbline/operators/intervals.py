@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import attach, stored
+
 
 def in_interval(day: Column, start: Column, end: Column) -> Column:
     """start <= day < end; a null bound is open."""
@@ -25,16 +27,17 @@ def as_of(queries: DataFrame, versions: DataFrame, gaps: DataFrame, key: str, da
     snapshot). Versions are searched before gaps; a repealed version is not in force.
 
     ``versions``: key, valid_from, valid_to, repealed and any columns; ``gaps``: key, gap_from,
-    gap_to. Both sides meet by an equi-join on the key.
+    gap_to. All sides meet by equi-joins: each distinct (key, day) is answered once, so that equal
+    queries get equal answers. A null key is unknown; on a null day nothing is in force.
     """
-    q = queries.withColumn("_q", F.monotonically_increasing_id())
-    hit = q.select("_q", key, F.col(day).alias("_day")).join(versions, key).filter(in_interval(F.col("_day"), F.col("valid_from"), F.col("valid_to")))
-    first = hit.groupBy("_q").agg(F.min_by(F.struct(*[c for c in versions.columns if c != key]), "valid_from").alias("version"))
-    gap = q.select("_q", key, F.col(day).alias("_day")).join(gaps, key).filter(in_interval(F.col("_day"), F.col("gap_from"), F.col("gap_to"))).select("_q", F.lit(True).alias("_gap")).distinct()
+    asked = queries.select(F.col(key), F.col(day).alias("_day")).distinct()
+    hit = asked.join(versions, key).filter(in_interval(F.col("_day"), F.col("valid_from"), F.col("valid_to")))
+    first = hit.groupBy(key, "_day").agg(F.min_by(F.struct(*[c for c in versions.columns if c != key]), "valid_from").alias("version"))
+    gap = asked.join(gaps, key).filter(in_interval(F.col("_day"), F.col("gap_from"), F.col("gap_to"))).select(key, "_day", F.lit(True).alias("_gap")).distinct()
     known = versions.select(key).unionByName(gaps.select(key)).distinct().withColumn("_known", F.lit(True))
-    out = q.join(first, "_q", "left").join(gap, "_q", "left").join(known, key, "left")
+    out = queries.withColumn("_day", F.col(day)).join(first, [key, "_day"], "left").join(gap, [key, "_day"], "left").join(known, key, "left")
     status = F.when(F.col("version.repealed"), "not_in_force").when(F.col("version").isNotNull(), "found").when(F.col("_gap"), "gap").when(F.col("_known"), "not_in_force").otherwise("unknown")
-    out = out.withColumn("status", status).drop("_q", "_gap", "_known")
+    out = out.withColumn("status", status).drop("_day", "_gap", "_known")
     if latest is not None:
         out = out.join(latest.select(key, "latest_snapshot"), key, "left").withColumn("stale", F.coalesce(F.col(day) > F.col("latest_snapshot"), F.lit(True)))
     return out
@@ -87,33 +90,38 @@ def timeline(snapshots: DataFrame, key: str, tolerance: float = 0.0) -> DataFram
     A text is compared with the text that the running version holds, not with the previous
     snapshot's, so small drifts cannot add up unseen: that is why it is a fold over the key's rows
     and not a window. A change between two snapshots happened on an unknown day, which is a gap.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, running, last = [], None, None
-        for day, text in pdf.sort_values("snapshot")[["snapshot", "text"]].itertuples(index=False):
-            name = pdf[key].iloc[0]
-            if text is None or pd.isna(text):
-                if running is not None:
-                    running["valid_to"] = last
-                    rows.append(dict(zip(OUT, (name, "gap", last, day, None, "removed"), strict=True)))
-                    running = None
-            elif running is not None and _share_changed(running["text"], text) <= tolerance:
-                pass
-            else:
-                if running is not None:
-                    running["valid_to"] = last
-                    if last < day:
-                        rows.append(dict(zip(OUT, (name, "gap", last, day, None, "changed"), strict=True)))
-                why = "original" if last is None else "amended" if running is not None else "added"
-                running = dict(zip(OUT, (name, "version", day, None, text, why), strict=True))
-                rows.append(running)
-            last = day
-        return pd.DataFrame(rows, columns=OUT)
-
-    OUT = [key, "kind", "valid_from", "valid_to", "text", "reason"]
+    Keys are dealt out by hash and folded one after the other from sorted rows, so a task holds one
+    running version however many keys or snapshots it gets. Rows without a snapshot day are left
+    out; a null key is a key.
+    """
+    names = [key, "kind", "valid_from", "valid_to", "text", "reason"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, running, last, schema = None, None, None, None
+        for batch in batches:
+            k, d, t = batch.schema.types
+            schema, done = pa.schema(list(zip(names, (k, pa.string(), d, d, t, pa.string()), strict=True))), []
+            for own, day, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != name:
+                    done += [running] if running else []
+                    name, running, last = own, None, None
+                if running is None and text is not None:
+                    running = dict(zip(names, (own, "version", day, None, text, "original" if last is None else "added"), strict=True))
+                elif running is not None and (text is None or _share_changed(running["text"], text) > tolerance):
+                    done.append(running | {"valid_to": last})
+                    if text is None or last < day:
+                        done.append(dict(zip(names, (own, "gap", last, day, None, "removed" if text is None else "changed"), strict=True)))
+                    running = None if text is None else dict(zip(names, (own, "version", day, None, text, "amended"), strict=True))
+                last = day
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if running:
+            yield pa.RecordBatch.from_pylist([running], schema=schema)
+
+    attach(snapshots.sparkSession)
+    rows = snapshots.filter(F.col("snapshot").isNotNull()).select(key, F.col("snapshot").cast("date").alias("snapshot"), "text")
     key_type = snapshots.schema[key].dataType.simpleString()
-    return snapshots.groupBy(key).applyInPandas(fold, f"{key} {key_type}, kind string, valid_from date, valid_to date, text string, reason string")
+    return rows.repartition(key).sortWithinPartitions(key, "snapshot", "text").mapInArrow(fold, f"`{key}` {key_type}, kind string, valid_from date, valid_to date, text string, reason string")
 
 
 def _share_changed(a: str, b: str) -> float:
@@ -133,15 +141,24 @@ def interleaved(versions: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w))
 
 
-def chains(versions: DataFrame, node: str, previous: str, most: int = 99) -> DataFrame:
-    """node, root, depth: each version's place in its chain, by recursive SQL."""
-    versions.select(F.col(node).alias("n"), F.col(previous).alias("p")).createOrReplaceTempView("_chain")
-    return versions.sparkSession.sql(
-        f"""WITH RECURSIVE walk(n, root, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT n, n, 0 FROM _chain WHERE p IS NULL
-              UNION ALL SELECT c.n, w.root, w.depth + 1 FROM _chain c JOIN walk w ON c.p = w.n)
-            SELECT n AS {node}, root, depth FROM walk"""
-    )
+def chains(versions: DataFrame, node: str, previous: str) -> DataFrame:
+    """node, root, depth: each version's place in its chain, of any length.
+
+    Pointer doubling: each round a version jumps to where the one it points to points, so a chain of
+    n versions takes log2(n) joins. Versions that reach no root (in or behind a cycle, or behind a
+    version that is not there) have no row. ``node`` is a key.
+    """
+    n, p = F.col(node), F.col(previous)
+    rows = versions.filter(n.isNotNull()).select(n.alias("n"), p.alias("p"), F.when(p.isNull(), n).alias("root"), F.when(p.isNull(), 0).otherwise(1).alias("depth"))
+    state = stored(rows, "chain")
+    done, waiting = state.filter("p is null"), state.filter("p is not null")
+    while True:
+        onward = done.unionByName(waiting).select(F.col("n").alias("p"), F.col("p").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        moved = stored(waiting.join(onward, "p").select("n", F.col("_p").alias("p"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth")), "chain")
+        arrived, waiting = moved.filter("p is null"), moved.filter("p is not null")
+        if arrived.isEmpty():
+            return done.select(F.col("n").alias(node), "root", "depth")
+        done = done.unionByName(arrived)
 
 
 def days_of_gaps(gaps: DataFrame, keys: Iterable[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions.dates import compare_dates
-from plumbline.operators.relational import latest_per_key
 
 
 def record_matches(ours: DataFrame, official: DataFrame, row: str, keys: list[str], same: list[str], date: str) -> DataFrame:
@@ -36,20 +35,32 @@ def downgraded(old: Column, new: Column) -> Column:
     return F.when(old.startswith("verified") & (new == "not_in_source"), old).otherwise(new)
 
 
+def _keyed(df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:
+    """row, reason, strength (0 is strongest) and key, for each key that a row has."""
+    each = F.array(*[F.struct(F.lit(reason).alias("reason"), F.lit(i).alias("strength"), key.alias("key")) for i, (reason, key) in enumerate(keys.items())])
+    return df.select(F.col(row), F.explode(each).alias("x")).select(row, "x.*").filter("key <> ''")
+
+
 def candidates_by(df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:
-    """Pairs that share any key (strongest reason first in ``keys``): a union of equi-joins, never an OR join.
+    """row, reason, class_id, others: the classes of rows that share a key, as membership.
+
+    ``class_id`` is the smallest row with the key and ``others`` how many rows share it; rows alone
+    with a key are left out. Two rows are candidates of each other if they have a class in common. A
+    crowded key is counted before the shuffle and stays one row for each of its members.
+    """
+    keyed = _keyed(df, row, keys)
+    classes = keyed.groupBy("reason", "key").agg(F.min(row).alias("class_id"), (F.count("*") - 1).alias("others")).filter("others > 0")
+    return keyed.join(classes, ["reason", "key"]).select(row, "reason", "class_id", "others")
+
+
+def candidates_of(subjects: DataFrame, df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:
+    """subject, row, reason: all candidates of each of a set of subjects, with the strongest shared key.
 
-    A key that n rows share gives n - 1 pairs with its smallest row and, for each row, one with the
-    row before it, so a crowded key stays linear.
+    One equi-join on (reason, key), never an OR join.
     """
-    parts = None
-    for strength, (reason, key) in enumerate(keys.items()):
-        w = Window.partitionBy("_k").orderBy(row)
-        keyed = df.select(F.col(row), key.alias("_k")).filter(F.col("_k").isNotNull() & (F.col("_k") != ""))
-        linked = keyed.select(F.col(row).alias("b"), F.array_distinct(F.array(F.first(row).over(w), F.coalesce(F.lag(row).over(w), F.first(row).over(w)))).alias("_a"))
-        found = linked.select(F.explode("_a").alias("a"), "b").filter("a <> b").select("a", "b", F.lit(reason).alias("reason"), F.lit(strength).alias("_s"))
-        parts = found if parts is None else parts.unionByName(found)
-    return latest_per_key(parts, ["a", "b"], [F.asc("_s")]).drop("_s")
+    asked = _keyed(subjects, row, keys).withColumnRenamed(row, "subject").drop("strength")
+    pairs = asked.join(_keyed(df, row, keys), ["reason", "key"]).filter(F.col("subject") != F.col(row))
+    return pairs.groupBy("subject", row).agg(F.min_by("reason", "strength").alias("reason"))
 
 
 def confidence(reasons: Column) -> tuple[Column, Column, Column]:

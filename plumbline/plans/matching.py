@@ -25,16 +25,28 @@ def fuzzy_match(t: Tables) -> DataFrame:
     return M.record_matches(ours, official, "event_id", ["user_id", "event_type", "g"], ["p"], "day").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][^.]+$', '') AS stem FROM pages),
-k AS (SELECT page_id, 0 AS s, 'stem' AS reason, stem AS k FROM p WHERE stem <> '' UNION ALL SELECT page_id, 1, 'host', host FROM p WHERE host <> ''),
-l AS (SELECT reason, s, page_id AS b, first_value(page_id) OVER w AS f, coalesce(lag(page_id) OVER w, first_value(page_id) OVER w) AS g FROM k WINDOW w AS (PARTITION BY reason, k ORDER BY page_id)),
-x AS (SELECT DISTINCT f AS a, b, reason, s FROM l WHERE f <> b UNION SELECT g, b, reason, s FROM l WHERE g <> b)
-SELECT a, b, arg_min(reason, s) AS reason FROM x GROUP BY 1, 2""")
-def candidate_blocking(t: Tables) -> DataFrame:
-    """Pages that may be versions of each other, by file stem, else by host."""
-    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+_PAGES = """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][^.]+$', '') AS stem,
+trim(regexp_replace(translate(lower(translate(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 'İI', 'iı')), 'çğışöüâîû', 'cgisouaiu'), '\\s+', ' ', 'g')) AS title FROM pages)"""
+
+
+def _page_keys() -> dict:
+    """File stem, title and host of a page, strongest first."""
     stem = F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), "[.][^.]+$", "")
-    return M.candidates_by(t.pages, "page_id", {"stem": stem, "host": host}).select("a", "b", "reason")
+    return {"stem": stem, "title": T.name_key(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), "host": F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)}
+
+
+@query(f"""{_PAGES}, k AS (SELECT page_id, 'stem' AS reason, stem AS k FROM p UNION ALL SELECT page_id, 'title', title FROM p UNION ALL SELECT page_id, 'host', host FROM p)
+SELECT page_id, reason, min(page_id) OVER w AS class_id, count(*) OVER w - 1 AS others FROM k WHERE k <> '' WINDOW w AS (PARTITION BY reason, k) QUALIFY others > 0""")
+def candidate_blocking(t: Tables) -> DataFrame:
+    """Pages that may be versions of each other, as classes by file stem, title and host."""
+    return M.candidates_by(t.pages, "page_id", _page_keys())
+
+
+@query(f"""{_PAGES} SELECT a.page_id AS subject, b.page_id, CASE WHEN a.stem = b.stem AND a.stem <> '' THEN 'stem' WHEN a.title = b.title AND a.title <> '' THEN 'title' ELSE 'host' END AS reason
+FROM p a JOIN p b ON a.page_id <> b.page_id AND ((a.stem = b.stem AND a.stem <> '') OR (a.title = b.title AND a.title <> '') OR (a.host = b.host AND a.host <> '')) WHERE a.page_id % 50 = 0""")
+def candidates_of_pages(t: Tables) -> DataFrame:
+    """All candidates of every fiftieth page among all pages, with the strongest reason."""
+    return M.candidates_of(t.pages.filter("page_id % 50 = 0"), t.pages, "page_id", _page_keys())
 
 
 @query("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars < 300 THEN 'text_summary_only' END, CASE WHEN lang = 'es' THEN 'layout_unknown' END, CASE WHEN n_chars % 3 = 0 THEN 'date_from_closing' END, CASE WHEN source = 'src1' THEN 'statute_unmapped:x' END], lambda x: x IS NOT NULL) AS w FROM documents),
@@ -49,14 +61,15 @@ def confidence(t: Tables) -> DataFrame:
 _SPACE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH p AS (SELECT conv_id AS point, turn, (conv_id * 7 + turn) % 250 AS doc_id, substr(text, 1, 12) AS quote FROM conversations WHERE role = 'user'),
-f AS (SELECT point, turn, CASE WHEN d.doc_id IS NULL THEN 'unread' WHEN d.lang = 'es' THEN 'not_in_force' WHEN NOT contains({_SPACE.format("d.text")}, {_SPACE.format("p.quote")}) THEN 'not_quoted' ELSE 'kept' END AS fate FROM p LEFT JOIN documents d ON d.doc_id = p.doc_id AND d.doc_id < 200)
-SELECT point, turn, fate, max(CASE WHEN fate = 'kept' THEN true ELSE false END) OVER (PARTITION BY point) AS stands FROM f""")
+@query(f"""WITH p AS (SELECT doc_id AS point, doc_id + unnest([0, 1]) AS doc_id, string_split(text, chr(10))[-1] AS quote FROM documents),
+f AS (SELECT point, p.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unread' WHEN d.lang = 'es' THEN 'not_in_force' WHEN NOT contains({_SPACE.format("d.text")}, {_SPACE.format("p.quote")}) THEN 'not_quoted' ELSE 'kept' END AS fate FROM p LEFT JOIN documents d ON d.doc_id = p.doc_id)
+SELECT point, doc_id, fate, max(CASE WHEN fate = 'kept' THEN true ELSE false END) OVER (PARTITION BY point) AS stands FROM f""")
 def quote_gate(t: Tables) -> DataFrame:
-    """Citations of conversations checked against the documents that they name."""
-    points = t.conversations.filter("role = 'user'").select(F.col("conv_id").alias("point"), "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 250).alias("doc_id"), F.substring("text", 1, 12).alias("quote"))
-    sources = t.documents.filter("doc_id < 200").select("doc_id", "text", (F.col("lang") != "es").alias("in_force"))
-    return M.citation_gate(points, sources, "point", "doc_id", "quote").select("point", "turn", "fate", "stands")
+    """Each document's last line, cited from the document itself and from the next one."""
+    quote = F.element_at(F.split("text", "\n"), -1)
+    points = t.documents.select(F.col("doc_id").alias("point"), quote.alias("quote"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("doc_id", F.col("point") + F.col("step"))
+    sources = t.documents.select("doc_id", "text", (F.col("lang") != "es").alias("in_force"))
+    return M.citation_gate(points, sources, "point", "doc_id", "quote").select("point", "doc_id", "fate", "stands")
 
 
 @query("""SELECT page_id, CASE WHEN html LIKE '%PDF%' AND starts_with(html, '%PDF') THEN 'pdf' WHEN starts_with(ltrim(lower(html)), '<!doctype html') OR contains(lower(substr(html, 1, 1000)), '<html') THEN 'html' WHEN length(html) > 0 THEN 'text' ELSE 'unknown' END AS found FROM pages""")
@@ -121,8 +134,8 @@ def type_backfill(t: Tables) -> DataFrame:
 
 @query()
 def quote_places(t: Tables) -> DataFrame:
-    """Where the first words of a document's second line stand in it."""
+    """Where a document's second line stands in it; no place without one."""
     from plumbline.operators.parsing import located
 
-    quote = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 20)
+    quote = F.get(F.split("text", "\n"), 1)
     return located(t.documents.withColumn("quote", quote), "text", "quote").select("doc_id", "char_start", "char_end")

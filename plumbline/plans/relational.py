@@ -56,13 +56,13 @@ def fill_rate(t: Tables) -> DataFrame:
     return R.fill_rate(rows, {"quality": (all_, F.col("quality").isNotNull()), "toxic": (en, F.col("toxic").isNotNull()), "long_text": (long, F.col("n_chars") > 5000)})
 
 
-@query("""WITH m AS (SELECT o_orderpriority, round_even(median(year(o_orderdate)), 0) AS med FROM orders GROUP BY 1)
-SELECT o.o_orderpriority, CAST(m.med AS BIGINT) AS median_year, count(*) AS outliers FROM orders o JOIN m USING (o_orderpriority) WHERE abs(year(o_orderdate) - m.med) > 3 GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT o_custkey, round_even(median(year(o_orderdate)), 0) AS med FROM orders GROUP BY 1)
+SELECT o.o_custkey, CAST(m.med AS BIGINT) AS median_year, count(*) AS outliers FROM orders o JOIN m USING (o_custkey) WHERE abs(year(o_orderdate) - m.med) > 3 GROUP BY 1, 2""")
 def year_median_outlier(t: Tables) -> DataFrame:
-    """Orders more than three years from their group's median year; the medians are a small table."""
-    year = t.orders.select("o_orderpriority", F.year("o_orderdate").alias("y"))
-    median = year.groupBy("o_orderpriority").agg(F.bround(F.percentile("y", F.lit(0.5))).cast("long").alias("median_year"))
-    return year.join(median, "o_orderpriority").filter(F.abs(F.col("y") - F.col("median_year")) > 3).groupBy("o_orderpriority", "median_year").agg(F.count("*").alias("outliers"))
+    """Orders more than three years from their customer's median year."""
+    year = t.orders.select("o_custkey", F.year("o_orderdate").alias("y"))
+    median = year.groupBy("o_custkey").agg(F.bround(F.percentile("y", F.lit(0.5))).cast("long").alias("median_year"))
+    return year.join(median, "o_custkey").filter(F.abs(F.col("y") - F.col("median_year")) > 3).groupBy("o_custkey", "median_year").agg(F.count("*").alias("outliers"))
 
 
 @query("""SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) AS object FROM (SELECT user_id, event_type AS k, CAST(max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS VARCHAR) AS v FROM events GROUP BY 1, 2) GROUP BY 1""")
@@ -203,10 +203,18 @@ def year_bands(t: Tables) -> DataFrame:
     return t.orders.groupBy(era, "o_orderstatus", year_band(F.col("o_orderdate")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) = 0 AS same FROM ((SELECT o_orderkey, o_custkey FROM orders EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 0) UNION ALL (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 0 EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders))""")
+_BUYERS = "SELECT DISTINCT o_custkey AS k FROM orders"
+
+
+@query(f"""SELECT 'buyers known' AS tables, count(*) = 0 AS same FROM (({_BUYERS} EXCEPT ALL SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) UNION ALL (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) EXCEPT ALL {_BUYERS}))
+UNION ALL SELECT 'orders buyers', count(*) = 0 FROM ((SELECT o_custkey AS k FROM orders EXCEPT ALL {_BUYERS}) UNION ALL ({_BUYERS} EXCEPT ALL SELECT o_custkey FROM orders))""")
 def row_set_equality(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", "o_custkey")
-    return R.same_rows(rows, rows.filter("o_orderkey >= 0"))
+    """Buyers against customers with orders (two ways to one set), and orders' customers with repetitions against without."""
+    orders = t.orders.select(F.col("o_custkey").alias("k"))
+    buyers = orders.distinct()
+    known = t.customer.select(F.col("c_custkey").alias("k")).join(orders, "k", "left_semi")
+    told = lambda name, a, b: R.same_rows(a, b).select(F.lit(name).alias("tables"), "same")
+    return told("buyers known", buyers, known).unionByName(told("orders buyers", orders, buyers))
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import intervals as I
 from plumbline.plans.registry import Tables, query
+from plumbline.session import shared_dir
 from plumbline.streaming import events as S
 
 #: Customers' orders as versions: each lasts until the next; orders of status P have no known text (a gap), F is repealed.
@@ -64,11 +65,15 @@ def scd2_publish(t: Tables) -> DataFrame:
     return I.publish(live, _snapshot(t, "2000-01-01"), "o_custkey", "v", stamp("2000-01-01"))
 
 
-@query()
+@query("""WITH y AS (SELECT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS snapshot, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS text FROM orders GROUP BY 1, 2),
+l AS (SELECT *, lag(text) OVER w AS before, lag(snapshot) OVER w AS last FROM y WINDOW w AS (PARTITION BY o_custkey ORDER BY snapshot)), s AS (SELECT * FROM l WHERE before IS NULL OR before <> text)
+SELECT o_custkey, 'version' AS kind, CAST(snapshot AS VARCHAR) AS valid_from, CAST(lead(last) OVER (PARTITION BY o_custkey ORDER BY snapshot) AS VARCHAR) AS valid_to, text, CASE WHEN before IS NULL THEN 'original' ELSE 'amended' END AS reason FROM s
+UNION ALL SELECT o_custkey, 'gap', CAST(last AS VARCHAR), CAST(snapshot AS VARCHAR), NULL, 'changed' FROM s WHERE before IS NOT NULL""")
 def timeline_build(t: Tables) -> DataFrame:
     """Versions and gaps of each customer's priority over yearly snapshots."""
     years = t.orders.groupBy("o_custkey", F.trunc("o_orderdate", "year").alias("snapshot")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("text"))
-    return I.timeline(years, "o_custkey")
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return I.timeline(years, "o_custkey").select("o_custkey", "kind", day("valid_from"), day("valid_to"), "text", "reason")
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, coalesce(e.d, a.d) AS effective, CASE WHEN e.d IS NOT NULL THEN 'exception' WHEN a.d IS NOT NULL THEN 'act' ELSE 'unknown' END AS basis FROM lineitem l
@@ -111,12 +116,7 @@ def notes_between(t: Tables) -> DataFrame:
 
 def _streamed(t: Tables, shape) -> DataFrame:
     """Run a streaming query over the events file to its end, into the shared folder."""
-    import tempfile
-    import uuid
-
-    spark = t.spark
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark, root = t.spark, shared_dir(t.spark, "stream")
     path = f"{t.sf_dir}/events.parquet" if _is_folder(t) else f"{t.sf_dir}/events*.parquet"
     stream = S.event_stream(spark, path, t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need it
     return S.run_once(shape(stream), f"{root}/out", f"{root}/state")

@@ -18,8 +18,8 @@ _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, le
 
 @query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k, {_STOPS} AS s FROM documents) SELECT doc_id, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round(len(list_filter(k, lambda x: list_contains(s, x))) / len(k), 6) END AS share FROM t""")
 def stopword_ratio(t: Tables) -> DataFrame:
-    tokens = T.letter_tokens(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).cast("long").alias("tokens"), F.round(T.share_of(tokens, T.stop_list(F.col("lang"))), 6).alias("share"))
+    counted = T.bound(T.letter_tokens(F.col("text")), lambda k: F.struct(F.size(k).cast("long").alias("tokens"), F.round(T.stop_share(k, F.col("lang")), 6).alias("share")))
+    return t.documents.select("doc_id", counted.alias("x")).select("doc_id", "x.tokens", "x.share")
 
 
 @query(f"""WITH m AS (SELECT doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS n, len(string_split(text, chr(10))) AS pages, {_TOKENS} AS k, {_STOPS} AS s, len(regexp_replace(text, '[^?]', '', 'g')) AS q FROM documents),
@@ -27,7 +27,7 @@ v AS (SELECT doc_id, n / pages AS per, len(k) AS tokens, CASE WHEN len(k) > 0 TH
 SELECT doc_id, CASE WHEN per < 50 THEN 'no_text_layer' WHEN tokens >= 50 AND share < 0.03 THEN 'bad_ocr_layer' END AS reason, tokens FROM v""")
 def text_quality(t: Tables) -> DataFrame:
     """Verdicts on texts, a line standing for a page."""
-    measured = X.measured(t.documents, "text", T.stop_list(F.col("lang")), "\n")
+    measured = X.measured(t.documents, "text", F.col("lang"), "\n")
     reason, _ = X.verdict()
     whole = F.when(reason == "partial_text_layer", F.lit(None)).otherwise(reason)
     return measured.select("doc_id", whole.alias("reason"), F.col("q.tokens").cast("long").alias("tokens"))
@@ -57,12 +57,19 @@ def shingle_containment(t: Tables) -> DataFrame:
     return pairs.select("doc_id", "other", F.round(score, 6).alias("score"))
 
 
-@query("""SELECT min(doc_id) AS first_id, count(*) AS copies, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
+@query("""SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text) QUALIFY copies > 1""")
 def exact_dedupe(t: Tables) -> DataFrame:
-    return X.exact_duplicates(t.documents, "doc_id", "text").filter("copies > 1").select("first_id", "copies", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return X.exact_duplicates(t.documents, "doc_id", "text")
 
 
-@query()
+_LINES = f"""WITH s AS ({_SETS.format(id="doc_id", table="documents")}), d AS (SELECT doc_id, text, md5(split_part(text, chr(10), 1)) AS key, g FROM documents JOIN s USING (doc_id)),
+b AS (SELECT key, arg_max(doc_id, (length(text), -doc_id)) AS best FROM d GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT d.key, d.doc_id, best, length(d.text) / length(l.text) AS r, CASE WHEN len(d.g) > 0 THEN len(list_intersect(d.g, l.g)) / len(d.g) WHEN d.text = l.text THEN 1.0 ELSE 0.0 END AS s FROM d JOIN b USING (key) JOIN d l ON l.doc_id = best),
+k AS (SELECT *, min(CASE WHEN s >= {C.SAME_TEXT_SHARE} AND r >= {C.SAME_LENGTH_SHARE} THEN 2 WHEN s >= {C.EXCERPT_SHARE} THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS w FROM h)
+SELECT key, doc_id, ['different_text', 'excerpt', 'same_text'][w + 1] AS kind, CASE WHEN w = 2 AND doc_id <> best THEN best END AS duplicate_of FROM k"""
+
+
+@query(_LINES)
 def dup_groups(t: Tables) -> DataFrame:
     """Documents that begin with the same line, with their group's verdict."""
     keyed = t.documents.withColumn("key", F.md5(F.substring_index("text", "\n", 1))).withColumn("day", F.lit("2024-01-01").cast("date"))

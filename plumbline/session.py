@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -21,6 +23,23 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = shared_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local(cores: int | str = 8, app: str = "plumbline") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     return attach(

@@ -20,11 +20,17 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def content_type(content: Column) -> Column:
-    """Type by first bytes; zip and OLE containers by the names that they hold."""
+    """Type by first bytes; zip containers by their directory's names, OLE ones by stream names they hold.
+
+    A text's letter may be cut at the end of the first kilobyte.
+    """
     hex8 = F.hex(F.substring(content, 1, 8))
     head = F.lower(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
     raw = F.decode(content, "ISO-8859-1")
-    zipped = F.when(raw.contains("word/"), "docx").when(raw.contains("xl/"), "xlsx_xlsm").when(raw.contains("content.xml"), "udf").otherwise("unknown")
+    member = lambda name: raw.rlike("(?s)PK\x01\x02.{42}" + name)  # noqa: E731  (a directory entry's name is its 47th byte on)
+    zipped = F.when(member("word/"), "docx").when(member("xl/"), "xlsx_xlsm").when(member("content[.]xml"), "udf").otherwise("unknown")
+    whole = lambda n: F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
+    valid = whole(1024) | ((F.length(content) > 1024) & (whole(1023) | whole(1022) | whole(1021)))
     ole = F.when(raw.contains("W\x00o\x00r\x00d\x00D\x00o\x00c"), "doc").when(raw.contains("W\x00o\x00r\x00k\x00b\x00o\x00o\x00k"), "xls").otherwise("unknown")
     return (
         F.when(hex8.startswith("25504446"), "pdf")
@@ -32,7 +38,7 @@ def content_type(content: Column) -> Column:
         .when(hex8 == "D0CF11E0A1B11AE1", ole)
         .when(hex8.startswith("FFD8FF") | hex8.startswith("89504E47") | hex8.startswith("49492A00") | hex8.startswith("4D4D002A"), "image")
         .when(F.ltrim(head).startswith("<!doctype html") | head.contains("<html"), "html")
-        .when((F.length(content) > 0) & ~F.substring(content, 1, 1024).cast("string").rlike("[\\x00-\\x08\\x0E-\\x1F\ufffd]"), "text")
+        .when((F.length(content) > 0) & valid & ~head.rlike("[\\x00-\\x08\\x0E-\\x1F]"), "text")
         .otherwise("unknown")
     )
 

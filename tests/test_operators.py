@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import zipfile
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -46,9 +47,35 @@ def test_timeline_holds_small_drifts_against_the_version(spark):
     assert [(r["kind"], r["valid_from"].year, r["reason"]) for r in got] == [("version", 2000, "original"), ("gap", 2001, "changed"), ("gap", 2002, "removed"), ("version", 2002, "amended"), ("version", 2004, "added")]
 
 
+def test_timeline_of_many_keys(spark):
+    day = lambda i: date(2000 + i, 1, 1)
+    rows = [(None, day(0), "a"), (None, day(1), "b"), (2, day(0), None), (2, day(1), "a"), (2, day(2), "a"), (3, None, "lost"), (3, day(0), "")]
+    got = {tuple(r) for r in I.timeline(spark.createDataFrame(rows, "k int, snapshot date, text string"), "k").collect()}
+    want = {(None, "version", day(0), day(0), "a", "original"), (None, "gap", day(0), day(1), None, "changed"), (None, "version", day(1), None, "b", "amended")}
+    assert got == want | {(2, "version", day(1), None, "a", "added"), (3, "version", day(0), None, "", "original")}
+
+
 def test_chains(spark):
     v = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, None)], "n int, p int")
     assert sorted(tuple(r) for r in I.chains(v, "n", "p").collect()) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (9, 9, 0)]
+    long = [(0, None), *[(i, i - 1) for i in range(1, 300)], (500, 501), (501, 500), (502, 501), (600, 601)]
+    got = I.chains(spark.createDataFrame(long, "n int, p int"), "n", "p").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0, i) for i in range(300)]
+    assert I.chains(v.limit(0), "n", "p").count() == 0
+
+
+def test_candidates_hold_all_links(spark):
+    df = spark.createDataFrame([(1, "x", "h"), (2, "x", "h"), (3, "y", "h"), (4, None, "g"), (5, "", "g"), (6, "z", None)], "id int, stem string, host string")
+    keys = {"stem": F.col("stem"), "host": F.col("host")}
+    got = sorted(tuple(r) for r in M.candidates_by(df, "id", keys).collect())
+    assert got == [(1, "host", 1, 2), (1, "stem", 1, 1), (2, "host", 1, 2), (2, "stem", 1, 1), (3, "host", 1, 2), (4, "host", 4, 1), (5, "host", 4, 1)]
+    pairs = sorted(tuple(r) for r in M.candidates_of(df.filter("id in (2, 5, 6)"), df, "id", keys).collect())
+    assert pairs == [(2, 1, "stem"), (2, 3, "host"), (5, 4, "host")]
+
+
+def test_exact_duplicates(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "a"), (5, "b")], "id int, text string")
+    assert sorted(tuple(r) for r in X.exact_duplicates(df, "id", "text").collect()) == [(1, 1, 2), (2, 2, 2), (3, 2, 2), (4, 1, 2)]
 
 
 def test_latest_ties_and_islands(spark):
@@ -99,6 +126,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes("çok".encode("windows-1254"))
     found = {r["path"].rsplit("/", 1)[1]: (r["type"], r["odd"]) for r in files.scan(spark, str(tmp_path)).withColumn("type", files.content_type(F.col("content"))).withColumn("odd", files.extension_mismatch(F.col("path"), F.col("type"))).collect()}
     assert found["a.pdf"] == ("pdf", False) and found["b.pdf"] == ("html", True)
+    (tmp_path / "cut.txt").write_bytes(b"x" * 1023 + "ğ".encode() + b" more")
+    with zipfile.ZipFile(tmp_path / "word.docx", "w") as z:
+        z.writestr("word/document.xml", "<x/>")
+    with zipfile.ZipFile(tmp_path / "other.zip", "w") as z:
+        z.writestr("notes.txt", "word/ content.xml")
+    types = {r["path"].rsplit("/", 1)[1]: r["type"] for r in files.scan(spark, str(tmp_path)).withColumn("type", files.content_type(F.col("content"))).collect()}
+    assert (types["cut.txt"], types["word.docx"], types["other.zip"]) == ("text", "docx", "unknown")
     texts = files.scan(spark, str(tmp_path)).filter("path like '%c.txt'").select(files.decoded_text(F.col("content")).alias("t"))
     assert texts.first()["t"] == "çok"
 
