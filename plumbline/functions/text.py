@@ -29,6 +29,11 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(_plain(c), "[^a-z0-9]+", " "))
 
 
+def folded_words(c: Column) -> Column:
+    """The words of ``fold``."""
+    return F.regexp_extract_all(_plain(c), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def name_key(c: Column) -> Column:
     """``fold`` of a file name."""
     return F.trim(F.regexp_replace(_plain(c), r"\s+", " "))
@@ -96,7 +101,14 @@ def _grams(w: Column, n: int, last: Column) -> Column:
 def shingles(c: Column, n: int = C.SHINGLE_WORDS) -> Column:
     """Distinct n-word shingles of the folded text; none below n words."""
     none = F.array().cast("array<string>")
-    return bound(F.split(fold(c), " "), lambda w: F.array_distinct(F.when(F.size(w) >= n, _grams(w, n, F.size(w) - n + 1)).otherwise(none)))
+    return bound(folded_words(c), lambda w: F.array_distinct(F.when(F.size(w) >= n, _grams(w, n, F.size(w) - n + 1)).otherwise(none)))
+
+
+def shingle_hashes(c: Column, n: int = C.SHINGLE_WORDS) -> Column:
+    """``shingles`` as 64-bit hashes of their words, without building their texts."""
+    none = F.array().cast("array<bigint>")
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return bound(F.transform(folded_words(c), lambda x: F.xxhash64(x)), lambda w: F.array_distinct(F.when(F.size(w) >= n, grams(w)).otherwise(none)))
 
 
 def raw_shingles(c: Column, n: int = C.SHINGLE_WORDS) -> Column:

@@ -40,8 +40,8 @@ _SETS = f"SELECT {{id}}, {_SHINGLES} AS g FROM (SELECT {{id}}, string_split({_FO
 x AS (SELECT item_id, len(g) AS na, unnest(g) AS h FROM a), y AS (SELECT doc_id, len(g) AS nb, unnest(g) AS h FROM b)
 SELECT doc_id, item_id, count(*) AS shared, round(count(*) / least(min(na), min(nb)), 6) AS score FROM x JOIN y USING (h) GROUP BY 1, 2 HAVING count(*) / least(min(na), min(nb)) >= 0.5""")
 def benchmark_overlap(t: Tables) -> DataFrame:
-    a = t.benchmark.select("item_id", T.shingles(F.col("text")).alias("shingles"))
-    b = t.documents.select("doc_id", T.shingles(F.col("text")).alias("shingles"))
+    a = t.benchmark.select("item_id", T.shingle_hashes(F.col("text")).alias("shingles"))
+    b = t.documents.select("doc_id", T.shingle_hashes(F.col("text")).alias("shingles"))
     return X.containment_pairs(b, a, "doc_id", "item_id", 0.5, 10).select("doc_id", "item_id", "shared", F.round("score", 6).alias("score"))
 
 
