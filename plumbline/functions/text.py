@@ -209,3 +209,21 @@ def normal_space(c: Column) -> Column:
 def holds_quote(text: Column, quote: Column) -> Column:
     """Whether ``text`` holds ``quote``, white space aside."""
     return F.contains(normal_space(text), normal_space(quote))
+
+
+def number_key(c: Column) -> Column:
+    """YYYY/N of a case number, its division left out; anything else folded."""
+    return F.coalesce(case_number(c)[0], fold(c))
+
+
+def progressive_forms(c: Column) -> Column:
+    """The distinct words with -iyor (or its vowel variants), sorted. The pattern is a fixed value."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?iuU)\b\w*[ıiuü]yor\w*\b"), F.lit(0))))
+
+
+def email_key(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def token_digest(c: Column) -> Column:
+    return F.sha2(c, 256)

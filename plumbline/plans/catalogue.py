@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from plumbline.plans import matching, relational, search, temporal, texts  # noqa: F401  register their queries
+from plumbline.plans import matching, records, relational, search, temporal, texts  # noqa: F401  register their queries
 from plumbline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

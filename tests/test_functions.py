@@ -72,3 +72,13 @@ def test_clean_text(spark):
 
 def test_page_of(spark):
     assert value(spark, T.page_of(F.lit("ab\fcd\fef"), F.lit(6))) == 3
+
+
+def test_keys_of_numbers_mails_and_forms(spark):
+    from plumbline.functions import text as T
+
+    rows = [("2017/016188", "2017/16188"), ("2024/10-389", "2024/389"), (" Esas No: Ç ", "esas no c"), (None, None)]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", T.number_key(F.col("raw"))).collect())
+    one = spark.range(1).select(T.progressive_forms(F.lit("Geliyor, bekliyoruz; geliyor. Yoruldu görüyor görüyor")).alias("f"), T.email_key(F.lit("  A@B.Org ")).alias("m")).first()
+    assert one["f"] == ["Geliyor", "bekliyoruz", "geliyor", "görüyor"] and one["m"] == "a@b.org"
