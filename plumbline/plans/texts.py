@@ -22,15 +22,14 @@ def stopword_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", counted.alias("x")).select("doc_id", "x.tokens", "x.share")
 
 
-@query(f"""WITH m AS (SELECT doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS n, len(string_split(text, chr(10))) AS pages, {_TOKENS} AS k, {_STOPS} AS s, len(regexp_replace(text, '[^?]', '', 'g')) AS q FROM documents),
-v AS (SELECT doc_id, n / pages AS per, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round_even(len(list_filter(k, lambda x: list_contains(s, x))) / len(k), 4) ELSE 0 END AS share FROM m)
-SELECT doc_id, CASE WHEN per < 50 THEN 'no_text_layer' WHEN tokens >= 50 AND share < 0.03 THEN 'bad_ocr_layer' END AS reason, tokens FROM v""")
+@query(f"""WITH m AS (SELECT doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS n, len(string_split(text, chr(10))) AS pages, list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS f, {_TOKENS} AS k, {_STOPS} AS s, len(regexp_replace(text, '[^?]', '', 'g')) AS q FROM documents),
+v AS (SELECT doc_id, n / pages AS per, len(list_filter(f[1:len(f) - coalesce(list_position(list_reverse(f), true), len(f) + 1)], lambda x: NOT x)) / pages AS inner_empty, len(k) AS tokens, CASE WHEN len(k) > 0 THEN round_even(len(list_filter(k, lambda x: list_contains(s, x))) / len(k), 4) ELSE 0 END AS share FROM m)
+SELECT doc_id, CASE WHEN per < 50 THEN 'no_text_layer' WHEN inner_empty >= {C.PARTIAL_SHARE} THEN 'partial_text_layer' WHEN tokens >= 50 AND share < 0.03 THEN 'bad_ocr_layer' END AS reason, tokens FROM v""")
 def text_quality(t: Tables) -> DataFrame:
     """Verdicts on texts, a line standing for a page."""
     measured = X.measured(t.documents, "text", F.col("lang"), "\n")
     reason, _ = X.verdict()
-    whole = F.when(reason == "partial_text_layer", F.lit(None)).otherwise(reason)
-    return measured.select("doc_id", whole.alias("reason"), F.col("q.tokens").cast("long").alias("tokens"))
+    return measured.select("doc_id", reason.alias("reason"), F.col("q.tokens").cast("long").alias("tokens"))
 
 
 _SETS = f"SELECT {{id}}, {_SHINGLES} AS g FROM (SELECT {{id}}, string_split({_FOLD}, ' ') AS w FROM {{table}})"
