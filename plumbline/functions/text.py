@@ -67,12 +67,6 @@ def letter_tokens(c: Column) -> Column:
     return F.regexp_extract_all(lower_tr(c), F.lit(LETTERS), F.lit(0))
 
 
-def share_of(tokens: Column, stops: Column) -> Column:
-    """Share of ``tokens`` among ``stops``; null without tokens."""
-    n = F.size(tokens)
-    return F.when(n > 0, F.size(F.filter(tokens, lambda t: F.array_contains(stops, t))) / n)
-
-
 def stop_share(tokens: Column, language: Column) -> Column:
     """Share of ``tokens`` among the stop words of their language (0 for other languages); null without tokens."""
     among = lambda stops: F.size(F.filter(tokens, lambda t: t.isin(*stops)))
@@ -82,13 +76,6 @@ def stop_share(tokens: Column, language: Column) -> Column:
     return F.when(F.size(tokens) > 0, hits / F.size(tokens))
 
 
-def stop_list(language: Column) -> Column:
-    out = F.array().cast("array<string>")
-    for name, stops in C.STOP_WORDS.items():
-        out = F.when(language == name, F.array(*map(F.lit, stops))).otherwise(out)
-    return out
-
-
 def bound(value: Column, use) -> Column:
     """use(value) with ``value`` evaluated once, even where lambdas inside refer to it."""
     return F.element_at(F.transform(F.array(value), use), 1)
