@@ -23,11 +23,16 @@ def _of(c: Column) -> Column:
     return F.when(day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+#: Like a date, but with a year of too few or too many digits.
+_MISSHAPEN = _SIGN.join(["(?<![0-9])[0-9]{1,2}"] * 2 + ["[0-9]+"])
+
+
 def parse_date(c: Column) -> tuple[Column, Column]:
-    """(date, invalid): invalid where something like a date stands that is no day. Nothing is guessed."""
-    value = F.trim(c)
-    date = F.when(value.rlike("^(?:" + _NUMERIC + ")$") | lower_tr(value).rlike("^(?:" + _NAMED + ")$"), _of(value))
-    return date, (value != "") & date.isNull()
+    """(the first date in a text, invalid): numeric dates come before named months. Nothing is guessed:
+    invalid where something like a date stands that is no day; a text without such a thing is not."""
+    date = _of(c)
+    like = c.rlike(_NUMERIC) | lower_tr(c).rlike(_NAMED) | c.rlike(_MISSHAPEN)
+    return date, F.coalesce(like & date.isNull(), F.lit(False))
 
 
 def dates_in(c: Column) -> Column:
@@ -36,12 +41,26 @@ def dates_in(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, _of), lambda d: d.isNotNull())))
 
 
-def closing_date(c: Column, tail: int = 1500) -> Column:
-    """The last date in the text's end."""
-    found = F.regexp_extract_all(F.right(c, F.lit(tail)), F.lit(_NUMERIC), F.lit(0))
+_ANY = f"(?:{_NUMERIC}|{_NAMED})"
+#: What follows the day in a ruling's last sentence: on that day, unanimously or by majority, it was decided.
+_RULED = r"\s*(?:gününde|tarihinde)\s+oy\s*(?:birliğiyle|çokluğuyla)\s+karar\s+verildi"
+
+
+def _last(c: Column, pattern: str, tail: int) -> Column:
+    found = F.regexp_extract_all(lower_tr(F.right(c, F.lit(tail))), F.lit(pattern), F.lit(0))
     return F.when(F.size(found) > 0, _of(F.element_at(found, -1)))
 
 
+def closing_date(c: Column, tail: int = 1500) -> Column:
+    """The last date in the text's end, in numbers or with the month's name."""
+    return _last(c, _ANY, tail)
+
+
+def ruling_date(c: Column, tail: int = 1500) -> Column:
+    """The date of the last closing formula in the text's end."""
+    return _last(c, _ANY + _RULED, tail)
+
+
 def compare_dates(a: Column, b: Column, days: int = C.FUZZY_DAYS) -> Column:
     gap = F.abs(F.datediff(a, b))
     return F.when(a.isNull() | b.isNull(), "absent").when(gap == 0, "match").when(gap <= days, "fuzzy").otherwise("mismatch")

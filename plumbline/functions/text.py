@@ -35,8 +35,8 @@ def folded_words(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    """``fold`` of a file name."""
-    return F.trim(F.regexp_replace(_plain(c), r"\s+", " "))
+    """Letters and digits of a name without case and accents, every run of other characters as one space."""
+    return F.trim(F.regexp_replace(_plain(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def stem_key(c: Column) -> Column:
@@ -129,11 +129,15 @@ def joined(*parts: Column, by: str = " · ") -> Column:
 
 
 def case_number(c: Column) -> tuple[Column, Column]:
-    """('YYYY/N', division) of numbers such as 2017/12-345 or '2017 / 345 (7)'."""
-    pattern = r"^\s*(\d{4})\s*/\s*(?:(\d+)\s*-\s*)?(\d+)(?:\s*\((\d+)\))?\s*$"
+    """('YYYY/N', division) of the first number such as 2017/12-345, '2017 / 345 (7)' or 2017/(7) 12-345 in a text.
+
+    A bracketed number before the division is a slip and ignored; behind the number it is the division.
+    """
+    year, slip, division, number = r"(\d{4})\s*/\s*", r"(?:\(\d+\)\s*)?", r"(?:(\d{1,2})\s*-\s*)?", r"0*(\d{1,6})(?!\w)"
+    pattern = year + slip + division + number + r"(?:\s*\((\d+)\))?"
     part = lambda i: F.regexp_extract(c, pattern, i)
-    number = F.when(part(1) != "", F.concat(part(1), F.lit("/"), F.regexp_replace(part(3), "^0+(?=.)", "")))
-    return number, F.when(part(2) != "", part(2)).when(part(4) != "", part(4))
+    found = F.when(part(1) != "", F.concat(part(1), F.lit("/"), part(3)))
+    return found, F.when(part(2) != "", part(2)).when(part(4) != "", part(4))
 
 
 def expanded_articles(c: Column, most: int = 200) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import attach, stored
+from plumbline.operators.folds import version_timeline
+from plumbline.session import stored
 
 
 def in_interval(day: Column, start: Column, end: Column) -> Column:
@@ -83,45 +83,15 @@ def exception_dates(items: DataFrame, acts: DataFrame, exceptions: DataFrame, ac
     return out.withColumn("effective", F.coalesce("_e", "_a")).withColumn("basis", basis).drop("_e", "_a")
 
 
-def timeline(snapshots: DataFrame, key: str, tolerance: float = 0.0) -> DataFrame:
+def timeline(snapshots: DataFrame, key: str, tolerance: float = 0.0, ranges: int | None = None) -> DataFrame:
     """Versions and gaps of each key from its texts in dated snapshots (key, snapshot, text; a null
-    text means the key is absent from that snapshot).
+    text means the key is absent from that snapshot), by a fold that can be cut (``version_timeline``).
 
-    A text is compared with the text that the running version holds, not with the previous
-    snapshot's, so small drifts cannot add up unseen: that is why it is a fold over the key's rows
-    and not a window. A change between two snapshots happened on an unknown day, which is a gap.
-
-    Keys are dealt out by hash and folded one after the other from sorted rows, so a task holds one
-    running version however many keys or snapshots it gets. Rows without a snapshot day are left
-    out; a null key is a key.
+    A text has changed if more than ``tolerance`` of its words differ from the text that the running
+    version holds. Texts are compared word by word in time that grows with the product of their
+    lengths where they differ: cut long texts before (into articles, as ``parsing.articles`` does).
     """
-    names = [key, "kind", "valid_from", "valid_to", "text", "reason"]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, running, last, schema = None, None, None, None
-        for batch in batches:
-            k, d, t = batch.schema.types
-            schema, done = pa.schema(list(zip(names, (k, pa.string(), d, d, t, pa.string()), strict=True))), []
-            for own, day, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != name:
-                    done += [running] if running else []
-                    name, running, last = own, None, None
-                if running is None and text is not None:
-                    running = dict(zip(names, (own, "version", day, None, text, "original" if last is None else "added"), strict=True))
-                elif running is not None and (text is None or _share_changed(running["text"], text) > tolerance):
-                    done.append(running | {"valid_to": last})
-                    if text is None or last < day:
-                        done.append(dict(zip(names, (own, "gap", last, day, None, "removed" if text is None else "changed"), strict=True)))
-                    running = None if text is None else dict(zip(names, (own, "version", day, None, text, "amended"), strict=True))
-                last = day
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
-        if running:
-            yield pa.RecordBatch.from_pylist([running], schema=schema)
-
-    attach(snapshots.sparkSession)
-    rows = snapshots.filter(F.col("snapshot").isNotNull()).select(key, F.col("snapshot").cast("date").alias("snapshot"), "text")
-    key_type = snapshots.schema[key].dataType.simpleString()
-    return rows.repartition(key).sortWithinPartitions(key, "snapshot", "text").mapInArrow(fold, f"`{key}` {key_type}, kind string, valid_from date, valid_to date, text string, reason string")
+    return version_timeline(snapshots, key, lambda held, text: _share_changed(held, text) > tolerance, ranges)
 
 
 def _share_changed(a: str, b: str) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions.dates import compare_dates
+from plumbline.operators.skew import joined
 
 
 def record_matches(ours: DataFrame, official: DataFrame, row: str, keys: list[str], same: list[str], date: str) -> DataFrame:
@@ -46,11 +47,11 @@ def candidates_by(df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame
 
     ``class_id`` is the smallest row with the key and ``others`` how many rows share it; rows alone
     with a key are left out. Two rows are candidates of each other if they have a class in common. A
-    crowded key is counted before the shuffle and stays one row for each of its members.
+    crowded key is counted before the shuffle, and its members' rows stay where they are.
     """
     keyed = _keyed(df, row, keys)
     classes = keyed.groupBy("reason", "key").agg(F.min(row).alias("class_id"), (F.count("*") - 1).alias("others")).filter("others > 0")
-    return keyed.join(classes, ["reason", "key"]).select(row, "reason", "class_id", "others")
+    return joined(keyed, classes, ["reason", "key"], "others").select(row, "reason", "class_id", "others")
 
 
 def candidates_of(subjects: DataFrame, df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:

@@ -27,7 +27,7 @@ TYPES = (
     ("regulation", r"YÖNETMELİ[ĞK]|TEBLİĞ"),
     ("letter", r"(?m)^[ \t]*(?:Sayı|Konu)[ \t]*:"),
 )
-#: What a note's first word says of the article.
+#: What a note's first word says of the article.
 NOTE_KINDS = {"değişik": "amended", "ek": "added", "mülga": "repealed", "iptal": "annulled", "yeniden": "amended", "aynen": "adopted", "değiştirilerek": "amended"}
 
 
@@ -103,51 +103,81 @@ def _shape(rest: str) -> tuple[str, list[str]]:
     return "".join(signs), [t for t in tokens if t.isdigit()]
 
 
+def _note(raw: str, place: int) -> tuple | None:
+    """One item: a kind, a scope, a colon, and either day - law / article or a court's ruling of a day."""
+    kind, scope, rest = _head(raw)
+    shape, n = _shape(rest)
+    if re.fullmatch(r"9/9/9-(k\W{0,3})?9/9", shape):
+        law, article = ("KHK-" if "k" in shape else "") + n[3], n[4]
+    elif kind == "annulled" and (day := _DAY.search(shape)) and "w" in shape[: day.start()]:
+        law, n = None, n[shape[: day.start()].count("9") :]
+        article = " ".join(f"{a}. {re.sub(r'\s', '', b)}" for a, b in re.findall(r"\b([EK])\s*[.:]+\s*:?\s*(\d+\s*/\s*\d+)", rest))
+    else:
+        return None
+    day = pd.to_datetime(f"{n[2]}-{int(n[1]):02}-{int(n[0]):02}", errors="coerce") if len(n[2]) == 4 else pd.NaT
+    return None if pd.isna(day) else (kind, scope, day.date(), law, article, raw, place)
+
+
 def notes_in(text: str) -> list[tuple]:
-    """(kind, scope, day, law, article, raw, offset) of each note item; what cannot be parsed stays raw.
+    """(kind, scope, day, law, article, raw, offset) of each note item.
 
-    An item is a kind, a scope, a colon, and either day - law / article or a court's ruling: its day
-    and its case and ruling numbers (law is null then, article is E. a/b K. c/d).
+    A court's ruling has no law; its article is its case and ruling numbers (E. a/b K. c/d), as far as
+    they are given. A bracket with an item that cannot be parsed stays raw as a whole.
     """
     out = []
     for place, inside in brackets(text):
         if not _head(inside):
             continue
-        for raw in _items(inside):
-            kind, scope, rest = _head(raw)
-            shape, n = _shape(rest)
-            law = article = None
-            if re.fullmatch(r"9/9/9-(k\W{0,3})?9/9", shape):
-                law, article = ("KHK-" if "k" in shape else "") + n[3], n[4]
-            elif kind == "annulled" and len(ruling := re.findall(r"\b([EK])\s*[.:]+\s*:?\s*(\d+\s*/\s*\d+)", rest)) == 2 and _DAY.search(shape):
-                article = " ".join(f"{a}. {re.sub(r'\s', '', b)}" for a, b in ruling)
-                at = shape[: _DAY.search(shape).start()].count("9")
-                n = n[at:]
-            day = pd.to_datetime(f"{n[2]}-{int(n[1]):02}-{int(n[0]):02}", errors="coerce") if article and len(n[2]) == 4 else pd.NaT
-            if pd.isna(day):
-                out.append((None, None, None, None, None, raw, place))
-            else:
-                out.append((kind, scope, day.date(), law, article, raw, place))
+        found = [_note(raw, place) for raw in _items(inside)]
+        out += [(None, None, None, None, None, inside, place)] if None in found else found
     return out
 
 
-_HEAD = re.compile(r"^[ \t]*(?:(EK|Ek)[ \t]+|(GEÇİCİ|Geçici)[ \t]+)?(?:MADDE|Madde)[ \t]+(\d+(?:/[A-Za-zÇĞİÖŞÜçğıöşü])?)[ \t]*[-–—][ \t]*", re.M)
+# The words that begin an article, and its series.
+ARTICLE_WORDS, SERIES = ("MADDE", "Madde"), {"EK": "Ek ", "Ek": "Ek ", "GEÇİCİ": "Geçici ", "Geçici": "Geçici "}
+
+
+def _article_head(line: str) -> tuple[str, str, int] | None:
+    """(series, number, where its text begins) of a line such as 'Ek Madde 12/A - text'."""
+    words = line.split(None, 2)
+    series = SERIES.get(words[0]) if words else None
+    at = 1 if series else 0
+    if len(words) < at + 2 or words[at] not in ARTICLE_WORDS:
+        return None
+    rest = line[line.index(words[at], line.index(words[0]) + (len(words[0]) if at else 0)) + len(words[at]) :]
+    begin = rest.lstrip(" \t")
+    digits = len(begin) - len(begin.lstrip("0123456789"))
+    tail = begin[digits:]
+    letter = tail[:2] if tail[:1] == "/" and tail[1:2].isalpha() else ""
+    after = tail[len(letter) :].lstrip(" \t")
+    if not digits or after[:1] not in ("-", "–", "—"):
+        return None
+    return series or "", begin[:digits] + letter, len(line) - len(after[1:].lstrip(" \t"))
+
+
+def article_heads(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(place of the line, where the article's text begins, series, number) of each article head."""
+    place = 0
+    for line in text.split("\n"):
+        if head := _article_head(line):
+            yield place, place + head[2], head[0], head[1]
+        place += len(line) + 1
+
+
 ARTICLES = "id long, ordinal int, article_no string, heading string, text string, char_start int, warning string"
 
 
 def articles_in(text: str) -> list[tuple]:
     """(article_no, heading, text, offset, warning) of a statute's articles; numbering breaks are flagged."""
-    heads, out, last = list(_HEAD.finditer(text)), [], {}
-    for m, after in zip(heads, [*heads[1:], None], strict=True):
-        series = "Ek " if m[1] else "Geçici " if m[2] else ""
-        number = int(re.match(r"\d+", m[3])[0])
+    heads, out, last = list(article_heads(text)), [], {}
+    for (place, begin, series, no), after in zip(heads, [*heads[1:], None], strict=True):
+        number = int(re.match(r"\d+", no)[0])
         before = last.get(series)
-        warning = None if before is None or number == before + 1 or "/" in m[3] else "repeated_number" if number == before else "out_of_order" if number < before else "skipped_number"
+        warning = None if before is None or number == before + 1 or "/" in no else "repeated_number" if number == before else "out_of_order" if number < before else "skipped_number"
         last[series] = max(number, before or 0)
-        lines = text[: m.start()].rstrip("\n").rsplit("\n", 1)
-        heading = lines[-1].strip() if m.start() and lines[-1].strip() and not lines[-1].strip().endswith((".", ";", ":", ",")) and len(lines[-1]) < 120 else ""
-        end = after.start() if after else len(text)
-        out.append((f"{series}{m[3]}", heading, text[m.end() : end].strip(), m.start(), warning))
+        lines = text[:place].rstrip("\n").rsplit("\n", 1)
+        heading = lines[-1].strip() if place and lines[-1].strip() and not lines[-1].strip().endswith((".", ";", ":", ",")) and len(lines[-1]) < 120 else ""
+        out.append((f"{series}{no}", heading, text[begin : after[0] if after else len(text)].strip(), place, warning))
     return out
 
 

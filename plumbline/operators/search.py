@@ -95,24 +95,29 @@ def index_sync(wanted: DataFrame, stored: DataFrame, vectors: DataFrame, key: li
     return out.withColumn("reuse", F.col("action").isin("insert", "rewrite") & F.coalesce("_v", F.lit(False))).drop("_w", "_s", "_v")
 
 
-def embedding_batches(df: DataFrame, row: str, tokens: str, most: int = 64, most_tokens: int = 60_000) -> DataFrame:
-    """row, batch: texts in batches of at most ``most`` texts and ``most_tokens`` tokens, filled greedily
-    in each partition. A text that alone exceeds the tokens is a batch of its own."""
+def embedding_batches(df: DataFrame, row: str, tokens: str, most: int = 64, most_tokens: int = 60_000, ids: int = 4_096) -> DataFrame:
+    """id, batch, tokens: texts in batches of at most ``most`` texts and ``most_tokens`` tokens, filled in the
+    order of their ids within each range of ``ids`` ids, so the same rows always make the same batches.
+    A text that alone exceeds the tokens is a batch of its own; null ids are a range; ``row`` is a number.
+    """
     import pandas as pd
-    from pyspark import TaskContext
 
     def run(parts):
-        part, batch, n, size = TaskContext.get().partitionId(), 0, 0, 0
+        held, batch, n, size = None, 0, 0, 0
         for pdf in parts:
             out = []
-            for t in pdf["t"]:
+            for own, t in zip(pdf["range"], pdf["t"]):
+                own = "-" if pd.isna(own) else str(int(own))
+                if own != held:
+                    held, batch, n, size = own, 0, 0, 0
                 if n and (n == most or size + t > most_tokens):
                     batch, n, size = batch + 1, 0, 0
                 n, size = n + 1, size + int(t)
-                out.append(f"{part}-{batch}")
+                out.append(f"{own}.{batch}")
             yield pd.DataFrame({"id": pdf["id"], "batch": out, "tokens": pdf["t"]})
 
-    return df.select(F.col(row).alias("id"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t")).mapInPandas(run, "id long, batch string, tokens long")
+    rows = df.select(F.col(row).cast("long").alias("id"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t"), F.floor(F.col(row) / ids).alias("range"))
+    return rows.repartition("range").sortWithinPartitions("range", "id", "t").mapInPandas(run, "id long, batch string, tokens long")
 
 
 def overlap_ranking(df: DataFrame, row: str, text: str, terms: list[str], covered: Column, bonus: int = 100) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import names as N
 from plumbline.functions import text as T
 from plumbline.operators import matching as M
+from plumbline.operators import verification as V
 from plumbline.plans.registry import Tables, query
 from plumbline.sources import files
 
@@ -25,14 +27,14 @@ def fuzzy_match(t: Tables) -> DataFrame:
     return M.record_matches(ours, official, "event_id", ["user_id", "event_type", "g"], ["p"], "day").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-_PAGES = """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][^.]+$', '') AS stem,
-trim(regexp_replace(translate(lower(translate(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 'İI', 'iı')), 'çğışöüâîû', 'cgisouaiu'), '\\s+', ' ', 'g')) AS title FROM pages)"""
+_NAME = "trim(regexp_replace(translate(lower(translate({}, 'İI', 'iı')), 'çğışöüâîû', 'cgisouaiu'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_PAGES = f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {_NAME.format("regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][^.]+$', '')")} AS stem,
+{_NAME.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages)"""
 
 
 def _page_keys() -> dict:
     """File stem, title and host of a page, strongest first."""
-    stem = F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), "[.][^.]+$", "")
-    return {"stem": stem, "title": T.name_key(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), "host": F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)}
+    return {"stem": T.stem_key(F.regexp_extract("url", "([^/]*)$", 1)), "title": T.name_key(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), "host": F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)}
 
 
 @query(f"""{_PAGES}, k AS (SELECT page_id, 'stem' AS reason, stem AS k FROM p UNION ALL SELECT page_id, 'title', title FROM p UNION ALL SELECT page_id, 'host', host FROM p)
@@ -139,3 +141,35 @@ def quote_places(t: Tables) -> DataFrame:
 
     quote = F.get(F.split("text", "\n"), 1)
     return located(t.documents.withColumn("quote", quote), "text", "quote").select("doc_id", "char_start", "char_end")
+
+
+# Orders are decisions; the source lacks orders divisible by 7, shows the case of others with zeros and a division, dates of
+# every fifth shifted, an unreadable date for every 23rd, another chamber for every 13th, and every 11th twice.
+_OURS = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey % 20 + 1 AS VARCHAR) || ' HD' AS chamber, o_orderkey % 3 = 0 AS divided FROM orders"
+
+
+@query(f"""WITH o AS ({_OURS}), s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE day + CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 6 ELSE 0 END AS INTEGER) END AS day, CASE WHEN o_orderkey % 13 = 0 THEN 'HGK' ELSE chamber END AS chamber FROM o WHERE o_orderkey % 7 > 0),
+f AS (SELECT o.o_orderkey, CASE WHEN s.chamber = o.chamber THEN 'match' ELSE 'mismatch' END AS chamber, CASE WHEN s.day IS NULL THEN 'mismatch' WHEN s.day = o.day THEN 'match' WHEN abs(s.day - o.day) <= 3 THEN 'fuzzy' ELSE 'mismatch' END AS d, o.o_orderkey % 11 = 0 AS twice, year(o.day) <= 1997 AS old FROM o JOIN s USING (o_orderkey))
+SELECT o.o_orderkey, CASE WHEN f.o_orderkey IS NULL THEN 'not_in_source' WHEN f.chamber = 'mismatch' OR d = 'mismatch' OR twice THEN 'mismatch' ELSE 'verified' END AS verdict, f.chamber, d AS decision_date, coalesce(twice AND f.chamber = 'match' AND d <> 'mismatch', false) AS ambiguous FROM o LEFT JOIN f USING (o_orderkey)""")
+def official_matches(t: Tables) -> DataFrame:
+    """Orders held against an official source, field by field."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    number = F.concat(F.lit("2020/"), key.cast("string"))
+    chamber = (F.col("o_custkey") % 20 + 1).cast("string")
+    ours = t.orders.select(key, number.alias("esas_no"), number.alias("karar_no"), F.concat(chamber, F.lit(". Hukuk Dairesi")).alias("chamber"), F.lit(None).cast("string").alias("bam_region"), day.alias("decision_date"))
+    shifted = F.when(key % 23 > 0, F.date_add(day, F.when(key % 5 == 0, key % 6).otherwise(0).cast("int")))
+    shown = F.when(key % 3 == 0, F.concat(F.lit("2020/10-00"), key.cast("string"))).otherwise(number)
+    body = F.when(key % 13 == 0, "Hukuk Genel Kurulu").otherwise(F.concat(F.lit("YARGITAY "), chamber, F.lit(". HD")))
+    source = t.orders.filter(key % 7 > 0).select(F.explode(F.when(key % 11 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("copy"), key, shown.alias("esas_no"), number.alias("karar_no"), body.alias("chamber"), shifted.alias("decision_date"))
+    source = source.withColumn("ref", F.concat_ws("-", F.col("o_orderkey").cast("string"), "copy"))
+    return V.field_vectors(ours, source, "o_orderkey").select("o_orderkey", "verdict", "chamber", "decision_date", "ambiguous")
+
+
+@query(r"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey AS n, l_linenumber % 4 AS f, l_suppkey AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE f WHEN 0 THEN n || '/A' WHEN 1 THEN 'Ek ' || n WHEN 2 THEN 'Geçici ' || n || ' (' || s || ')' ELSE n || '. madde' END AS article, CASE f WHEN 0 THEN n || ' HD' WHEN 1 THEN n || ' D' WHEN 2 THEN 'HGK' ELSE 'kurul ' || n END AS chamber FROM s""")
+def canonical_names(t: Tables) -> DataFrame:
+    """Spellings of articles and chambers, made from order lines, in their canonical form."""
+    n, s, form = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 4
+    article = F.when(form == 0, F.concat(n, F.lit("-a"))).when(form == 1, F.concat(F.lit("EK_"), n)).when(form == 2, F.concat(F.lit(" gecici-"), n, F.lit("-"), s)).otherwise(F.concat(n, F.lit(".  madde")))
+    chamber = F.when(form == 0, F.concat(F.lit("Yargıtay "), n, F.lit(". Hukuk Dairesi"))).when(form == 1, F.concat(n, F.lit(".D."))).when(form == 2, F.lit("YARGITAY HUKUK GENEL KURULU")).otherwise(F.concat(F.lit("Kurul-"), n))
+    return t.lineitem.select("l_orderkey", "l_linenumber", N.article_number(article).alias("article"), N.canonical_chamber(chamber).alias("chamber"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import intervals as I
+from plumbline.operators import links as L
 from plumbline.plans.registry import Tables, query
 from plumbline.session import shared_dir
 from plumbline.streaming import events as S
@@ -156,3 +157,13 @@ def interleaved_timeline(t: Tables) -> DataFrame:
     rows = I.interleaved(spans.filter("o_orderstatus <> 'P'"), spans.filter("o_orderstatus = 'P'"), "o_custkey")
     counts = rows.groupBy("place").agg(F.count_if(F.col("kind") == "gap").alias("gaps"), F.count_if(F.col("kind") == "version").alias("versions"))
     return counts.select(F.col("place").cast("long").alias("place"), "gaps", "versions")
+
+
+@query()
+def linked_versions(t: Tables) -> DataFrame:
+    """Parts that propose a predecessor within their block of 100, with the links that would branch or close refused;
+    compared with links made one by one in the tests."""
+    key = F.col("p_partkey")
+    block = F.floor(key / 100)
+    proposed = F.when(key % 9 > 0, block * 100 + F.when(block % 2 == 0, key * 7 + 3).otherwise(key * key + 3 * key + 7) % 100)
+    return L.linked_chains(t.part.select("p_partkey", proposed.alias("previous")), "p_partkey", "previous")

@@ -82,3 +82,28 @@ def test_keys_of_numbers_mails_and_forms(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", T.number_key(F.col("raw"))).collect())
     one = spark.range(1).select(T.progressive_forms(F.lit("Geliyor, bekliyoruz; geliyor. Yoruldu görüyor görüyor")).alias("f"), T.email_key(F.lit("  A@B.Org ")).alias("m")).first()
     assert one["f"] == ["Geliyor", "bekliyoruz", "geliyor", "görüyor"] and one["m"] == "a@b.org"
+
+
+@pytest.mark.parametrize(("text", "want", "bad"), [("07.06.2004 tarihinde", datetime.date(2004, 6, 7), False), ("hello", None, False), ("tarihsiz", None, False), (None, None, False), ("21.05 .2013", datetime.date(2013, 5, 21), False), ("07.06.2023T.C", datetime.date(2023, 6, 7), False), ("23.00.2010", None, True), ("08/04/20219", None, True), ("12.05.20", None, True), ("7.6.200", None, True), ("on 8 HAZİRAN 2004", datetime.date(2004, 6, 8), False), ("31 Haziran 2004", None, True), ("5 adet 2004", None, False)])
+def test_dates_anywhere(spark, text, want, bad):
+    date, invalid = D.parse_date(F.lit(text).cast("string"))
+    assert (value(spark, date), value(spark, invalid)) == (want, bad)
+
+
+def test_closing_dates_with_month_names(spark):
+    assert value(spark, D.closing_date(F.lit("x 01.02.2003, sonra 8 Haziran 2004 gününde oy birliğiyle karar verildi"))) == datetime.date(2004, 6, 8)
+    ruled = "3.4.2001 gününde oybirliğiyle karar verildi. 8.6.2004 tarihinde oy çokluğuyla karar verildi. 9.9.2009"
+    assert value(spark, D.ruling_date(F.lit(ruled))) == datetime.date(2004, 6, 8)
+    assert value(spark, D.ruling_date(F.lit("8 Haziran 2004 gününde oybirliğiyle karar verildi"))) == datetime.date(2004, 6, 8)
+    assert value(spark, D.ruling_date(F.lit("9.9.2009 tarihinde görüşüldü"))) is None
+
+
+@pytest.mark.parametrize(("text", "want"), [("2017/(7) 12-345", ("2017/345", "12")), ("E. 2017/345", ("2017/345", None)), ("2001/(7)22-1234", ("2001/1234", "22")), ("2001/27016 E", ("2001/27016", None)), ("2010 / 37635", ("2010/37635", None)), ("2017/1234567", (None, None))])
+def test_case_numbers_in_texts(spark, text, want):
+    assert tuple(value(spark, c) for c in T.case_number(F.lit(text))) == want
+
+
+def test_names_without_signs(spark):
+    assert value(spark, T.name_key(F.lit("Rapor_v2 (son)"))) == "rapor v2 son"
+    assert value(spark, T.stem_key(F.lit("KANUN-5510, ek.udf"))) == value(spark, T.stem_key(F.lit("Kanun 5510 (Ek).pdf"))) == "kanun 5510 ek"
+    assert value(spark, T.name_key(F.lit("--- "))) == ""

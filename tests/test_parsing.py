@@ -76,3 +76,17 @@ def test_linked_versions(spark):
 def test_stated_dates(spark):
     q = F.lit("on 5.3.2020 or 06.07.2021")
     assert tuple(spark.range(1).select(*[P.stated_dates(q, F.lit(d).cast("date")) for d in ("2020-03-05", "2021-07-06", "2022-01-01")]).first()) == (True, True, False)
+
+
+def test_notes_of_courts_without_numbers_and_brackets_with_a_bad_item():
+    text = "(İptal cümle: Anayasa Mahkemesi’nin 25/12/2014 tarihli Kararı ile.) (Ek: 1/2/2003-5/6 md.; Mülga: tarihsiz) (İptal: 3/4/2005) (Ek: 32/13/2017-7036/11 md.)"
+    got = P.notes_in(text)
+    assert got[0][:5] == ("annulled", "cümle", date(2014, 12, 25), None, "")
+    assert [g[:5] for g in got[1:]] == [(None,) * 5] * 3
+    assert got[1][5] == "Ek: 1/2/2003-5/6 md.; Mülga: tarihsiz"
+
+
+def test_article_heads():
+    text = "MADDE 1- Bir\n  Ek Madde 12/A – iki\nGEÇİCİ MADDE 3\t—üç\nMadde x - no\nMadde 5 no dash\nEk 6 - no\n Madde 7-\nSözMadde 8 - no\nMadde 9 / A - no"
+    got = [(series + no, text[begin:].split("\n")[0]) for _, begin, series, no in P.article_heads(text)]
+    assert got == [("1", "Bir"), ("Ek 12/A", "iki"), ("Geçici 3", "üç"), ("7", "")]
