@@ -1,15 +1,16 @@
 """Token-ID output: Arrow files of fixed-size-list batches, written and read as Spark jobs.
 
 A file holds one key range of documents: their ids (each document closed by the end id) run on
-through sequences of equal length, stored as ``fixed_size_list`` columns ``ids`` and ``mask`` (false
-on the padding of the last sequence). The record batches are plain buffers, so a memory-mapped
-reader gets sequence i without copying. A second Arrow file beside it lists each document's place.
+through sequences of equal length, stored as ``fixed_size_list`` columns ``ids`` and ``mask`` (1, and 0
+on the padding of the last sequence; a byte each). The record batches are plain buffers, so a
+memory-mapped reader gets sequence i and its mask without copying. A second Arrow file beside it lists each document's place.
 The manifest (one row per file) is a Parquet table that Spark commits: files of failed or
 speculative attempts are never in it.
 
 Defined results: the ids are the library's own with ``add_special_tokens=False``, so a text that holds
 an added token's string (``<|endoftext|>``) gets that token's id there; null text = empty text = the
-end id alone; a null ``doc_id`` sorts first; rows
+end id alone; a very long text runs on through as many sequences as it needs; a null ``doc_id`` sorts
+first; rows
 that share a ``doc_id`` are separate documents ordered by text; an empty table gives no rows; other
 columns are ignored.
 """
@@ -85,7 +86,7 @@ class _SequenceWriter:
     def __init__(self, sink, length: int, vocab_size: int, per_batch: int = 256):
         self.kind, self.np_kind = _id_type(vocab_size)
         self.length, self.room, self.pending, self.held = length, length * per_batch, [], 0
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out, self.sequences = pa.ipc.new_file(sink, self.schema), 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -99,7 +100,7 @@ class _SequenceWriter:
             self.pending, self.held = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, np.arange(len(flat)) < used)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, (np.arange(len(flat)) < used).astype(np.uint8))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
         self.sequences += len(flat) // self.length
 
@@ -150,7 +151,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 
 def open_sequences(path: str, name: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """(ids by sequence, mask by sequence, document index) of one file; ids are views of the map."""
+    """(ids by sequence, mask by sequence, document index) of one file; ids and masks are views of the map."""
     fs, root = _filesystem(path)
     local = fs.type_name == "local"
     source = pa.memory_map(f"{root}/{name}.arrow") if local else fs.open_input_file(f"{root}/{name}.arrow")
@@ -160,7 +161,7 @@ def open_sequences(path: str, name: str) -> tuple[np.ndarray, np.ndarray, pa.Tab
         batch = reader.get_batch(i)
         length = batch.schema.field("ids").type.list_size
         ids.append(batch.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(-1, length))
-        masks.append(batch.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, length))
+        masks.append(batch.column("mask").flatten().to_numpy(zero_copy_only=True).reshape(-1, length))
     with fs.open_input_file(f"{root}/{name}.docs.arrow") as f:
         docs = pa.ipc.open_file(f).read_all()
     return ids, masks, docs

@@ -32,7 +32,6 @@ JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
 def token_rows(texts):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     out, start = {}, 0
     for doc in sorted(texts):
         ids = np.array([*tok.encode(texts[doc], add_special_tokens=False).ids, 2], "<u4")
@@ -57,7 +56,8 @@ def test_token_files_layout(spark, tmp_path):
     for r in manifest.collect():
         ids, masks, _ = op3.open_sequences(path, r["path"])
         assert all(x.shape[1] == 16 for x in ids) and sum(int(m.sum()) for m in masks) == r["n_tokens"]
-        assert not ids[0].flags.owndata  # a view of the file
+        assert not ids[0].flags.owndata and not masks[0].flags.owndata  # views of the file
+        assert masks[0].dtype == np.uint8 and all(m.max() == 1 for m in masks)
 
 
 def test_token_files_odd_rows(spark, tmp_path):
