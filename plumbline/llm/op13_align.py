@@ -12,8 +12,8 @@ counted by id pair over all documents, and each document is rated by the counts
    their numbers are written to the shared folder;
 2. pairs are counted with partial sums before the shuffle;
 3. a second map rates the written rows. The counts are broadcast: of two tokens that end together one
-   is a suffix of the other, so a vocabulary has at most as many pairs as its tokens have suffixes
-   (``most_pairs``), whatever the corpus.
+   is a suffix of the other, so two vocabularies have a fixed number of pairs (``most_pairs``, counted
+   before), whatever the corpus.
 
 Defined results: null and empty texts have no tokens, nor have texts whose tokens do not give the text's
 own bytes back (zeros, an empty digest); strings of special tokens are plain text; a very long text is
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 _RATED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\s ")
-#: Pieces that a worker remembers, and the letters of the longest of them.
-PIECES, LETTERS = 250_000, 64
+#: Pieces that a worker remembers, the letters of the longest of them, and pieces that are aligned together.
+PIECES, LETTERS, TOGETHER = 350_000, 64, 5_000
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -62,74 +63,108 @@ class Vocabularies:
 
         self.tokens_a, letters = Tokenizer.from_file(a_path), byte_of_letter()
         self.tokens_a.encode_special_tokens = True
-        self.pieces_b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.bytes_a = {i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode() for token, i in self.tokens_a.get_vocab().items()}
-        b = self.pieces_b
+        self.pieces_b = b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        vocabulary = self.tokens_a.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in range(b.get_piece_size()) for p in [b.id_to_piece(i)]]
         self.space_b = b.piece_to_id("▁")
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bytes]]:
-        """A's ids, B's ids and the bytes of each text; B sets a space before a text, so it gets the rest only."""
-        a = self.tokens_a.encode_batch_fast(texts, add_special_tokens=False)
-        b = self.pieces_b.encode([t[1:] for t in texts], num_threads=1)
-        for text, x, y in zip(texts, a, b, strict=True):
-            yield x.ids, [self.space_b] if text == " " else y, text.encode("utf-8", "surrogatepass")
+        #: Lengths of the tokens, whether they begin with a space, and an id's text behind each of the marks of its side.
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b)]
+        self.begins = [np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b)]
+        self.told = [f"{mark}{i}" for marks, side in ((("", ";", ","), self.bytes_a), (("|", ","), self.bytes_b)) for mark in marks for i in range(len(side))]
+
+    def _one_by_one(self, pieces: list[str]) -> list[list[list[int]]]:
+        """The ids of each piece, by A and by B; B sets a space before a text, so it gets the rest only."""
+        a = [e.ids for e in self.tokens_a.encode_batch_fast(pieces, add_special_tokens=False)]
+        b = self.pieces_b.encode([p[1:] for p in pieces], num_threads=1)
+        return [a, [[self.space_b] if p == " " else ids for p, ids in zip(pieces, b, strict=True)]]
+
+    def encode(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids of all pieces, numbers of ids of each piece), each by A and by B.
+
+        Pieces of one space, at their start, are encoded as one text and cut where a token begins with one.
+        """
+        if len(pieces) > 1 and all(p[:1] == " " and p.count(" ") == 1 and len(p) > 1 and not p[1].isspace() for p in pieces):
+            whole = "".join(pieces)
+            ids = [np.array(x, np.int64) for x in (self.tokens_a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.pieces_b.encode(whole[1:], num_threads=1))]
+            starts = [np.flatnonzero(begins[x]) for begins, x in zip(self.begins, ids, strict=True)]
+            if all(len(x) == len(pieces) for x in starts):
+                return ids, [np.diff(x, append=len(i)) for x, i in zip(starts, ids, strict=True)]
+        lists = self._one_by_one(pieces)
+        return [np.array([i for x in side for i in x], np.int64) for side in lists], [np.array(list(map(len, side)), np.int64) for side in lists]
 
     def most_pairs(self) -> int:
-        """No corpus has more pairs: each token's suffixes, times the tokens that may share their bytes."""
-        sizes = [len(x) for x in (*self.bytes_a.values(), *self.bytes_b)]
-        shared = max(len(self.bytes_a) - len(set(self.bytes_a.values())), len(self.bytes_b) - len(set(self.bytes_b))) + 1
-        return sum(sizes) * shared
+        """The pairs of an A and a B token of which one is a suffix of the other: no corpus links more."""
+        a, b = Counter(self.bytes_a), Counter(self.bytes_b)
+        within = lambda one, other, first: sum(n * sum(other[x[i:]] for i in range(first, len(x))) for x, n in one.items())
+        return within(a, b, 0) + within(b, a, 1)
 
 
-def components(ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """(A tokens, B tokens) of each connected component of the graph of overlapping tokens, by their place.
+def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connected component of each A and each B token in the graph of overlapping tokens, named by its first A token.
 
-    ``ends_*``: where each token ends. Both lists end at the same byte.
+    ``ends_*``: where each token ends, ascending; both lists end at the same byte. Between two ends in a row
+    lies one token of each side: an edge. Union-find over all edges at once: roots are hooked to the
+    smaller root that an edge shows them, paths are halved until they are flat, and so on until no edge
+    joins two roots.
     """
-    n_a = len(ends_a)
-    parent = list(range(n_a + len(ends_b)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    i = j = 0
-    while i < n_a and j < len(ends_b):  # the tokens at i and j overlap
-        one, other = root(i), root(n_a + j)
-        if one != other:
-            parent[max(one, other)] = min(one, other)
-        end_a, end_b = ends_a[i], ends_b[j]
-        i, j = i + (end_a <= end_b), j + (end_b <= end_a)
-    groups: dict[int, tuple[list[int], list[int]]] = {}
-    for x in range(n_a):
-        groups.setdefault(root(x), ([], []))[0].append(x)
-    for y in range(len(ends_b)):
-        groups.setdefault(root(n_a + y), ([], []))[1].append(y)
-    return list(groups.values())
+    ends = np.union1d(ends_a, ends_b)
+    left, right = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends) + len(ends_a)
+    parent = np.arange(len(ends_a) + len(ends_b))
+    while True:
+        one, other = parent[left], parent[right]
+        low, high = np.minimum(one, other), np.maximum(one, other)
+        apart = low != high
+        if not apart.any():
+            return parent[: len(ends_a)], parent[len(ends_a) :]
+        np.minimum.at(parent, high[apart], low[apart])
+        while not np.array_equal(flat := parent[parent], parent):
+            parent = flat
 
 
 #: Of a piece or text: groups as text, numbers of A tokens, B tokens, groups and links, id pairs of the links.
 Aligned = tuple[str, int, int, int, int, bytes]
 
 
-def aligned(ids_a: list[int], ids_b: list[int], data: bytes, words: Vocabularies) -> Aligned | None:
-    """The alignment of one text or piece; None where the tokens do not give its bytes back."""
-    parts_a, parts_b = [words.bytes_a[i] for i in ids_a], [words.bytes_b[i] for i in ids_b]
-    if b"".join(parts_a) != data or b"".join(parts_b) != data:
-        return None
-    ends_a, ends_b = np.cumsum([len(p) for p in parts_a]).tolist(), np.cumsum([len(p) for p in parts_b]).tolist()
-    groups, links, told = components(ends_a, ends_b), [], []
-    for of_a, of_b in groups:
-        told.append(f"{','.join(str(ids_a[x]) for x in of_a)}|{','.join(str(ids_b[y]) for y in of_b)}")
-        ending: dict[int, list[int]] = {}
-        for y in of_b:
-            ending.setdefault(ends_b[y], []).append(ids_b[y])
-        links += [(ids_a[x], b) for x in of_a for b in ending.get(ends_a[x], ())]
-    pairs = np.array(links, np.int64).reshape(-1, 2)
-    return ";".join(told), len(ids_a), len(ids_b), len(groups), len(links), (pairs[:, 0] << 32 | pairs[:, 1]).tobytes()
+def aligned(pieces: list[str], words: Vocabularies) -> list[Aligned | None]:
+    """The alignment of each piece; None where its tokens do not give its bytes back."""
+    data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    ids, counts = words.encode(pieces)
+    good = np.ones(len(pieces), bool)
+    for side, parts in enumerate((words.bytes_a, words.bytes_b)):
+        joined = [parts[i] for i in ids[side].tolist()]
+        cuts = np.cumsum([0, *counts[side]]).tolist()
+        whole = b"".join(joined)
+        if whole != b"".join(data) or not np.array_equal(np.diff(np.cumsum([0, *words.sizes[side][ids[side]]])[cuts]), list(map(len, data))):
+            good &= [b"".join(joined[low:high]) == d for low, high, d in zip(cuts, cuts[1:], data, strict=False)]
+    kept = [x[np.repeat(good, n)] for x, n in zip(ids, counts, strict=True)]
+    counts = [n[good] for n in counts]
+    ends = [np.cumsum(size[x]) for size, x in zip(words.sizes, kept, strict=True)]
+    of_a, of_b = components(*ends)
+    piece = [np.repeat(np.arange(len(n)), n) for n in counts]
+    # A component's members by end: those of both sides that end together are links.
+    _, link_a, link_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+    linked = of_a[link_a] == of_b[link_b]
+    link_a, link_b = link_a[linked], link_b[linked]
+    pairs = kept[0][link_a] << 32 | kept[1][link_b]
+    # Members in the order of their components, A before B, each told behind its mark.
+    heads = np.flatnonzero(of_a == np.arange(len(of_a)))
+    first_a, first_b = np.zeros(len(of_a), bool), np.r_[True, of_b[1:] != of_b[:-1]][: len(of_b)]
+    first_a[heads] = True
+    opens = np.r_[True, piece[0][1:] != piece[0][:-1]][: len(of_a)]
+    n_a, n_b = map(len, words.sizes)
+    mark_a = np.where(opens, 0, np.where(first_a, 1, 2)) * n_a + kept[0]
+    mark_b = 3 * n_a + np.where(first_b, 0, 1) * n_b + kept[1]
+    order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+    told = list(map(words.told.__getitem__, np.concatenate([mark_a, mark_b])[order].tolist()))
+    every = np.arange(len(counts[0]))
+    cuts = [np.cumsum([0, *counts[0] + counts[1]]), np.searchsorted(piece[0][link_a], [*every, len(every)])]
+    groups = np.bincount(piece[0][heads], minlength=len(every))
+    texts, links = cuts[0].tolist(), cuts[1].tolist()
+    found = ((f"{''.join(told[texts[i] : texts[i + 1]])}", a, b, g, links[i + 1] - links[i], pairs[links[i] : links[i + 1]].tobytes()) for i, (a, b, g) in enumerate(zip(counts[0].tolist(), counts[1].tolist(), groups.tolist(), strict=True)))
+    return [next(found) if ok else None for ok in good.tolist()]
 
 
 def pieces_of(text: str) -> list[str]:
@@ -145,19 +180,28 @@ class Aligner:
     def __init__(self, words: Vocabularies, owner: str):
         self.words, self.owner = words, owner
 
+    def _new(self, pieces: list[str]) -> Iterator[tuple[str, Aligned | None]]:
+        """Plain pieces together, the others in smaller lots."""
+        odd = [p for p in pieces if p.count(" ") != 1 or len(p) < 2 or p[1].isspace()]
+        rest = set(odd)
+        plain = [p for p in pieces if p not in rest] if odd else pieces
+        for lot in (plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)):
+            yield from zip(lot, aligned(lot, self.words), strict=True)
+        for lot in (odd[i : i + TOGETHER] for i in range(0, len(odd), TOGETHER)):
+            yield from zip(lot, aligned(lot, self.words), strict=True)
+
     def texts(self, texts: list[str]) -> Iterator[Aligned | None]:
         known = memo(self.owner, "pieces")
         cut = [pieces_of(" " + t) if t else [] for t in texts]
         once: dict[str, Aligned | None] = {}
-        new = list(set().union(*cut).difference(known))
-        for piece, tokens in zip(new, self.words.encode(new), strict=True):
-            (known if len(piece) <= LETTERS else once)[piece] = aligned(*tokens, self.words)
+        for piece, found in self._new(list(set().union(*cut).difference(known))):
+            (known if len(piece) <= LETTERS else once)[piece] = found
         for text, pieces in zip(texts, cut, strict=True):
-            found = [known[p] if p in known else once[p] for p in pieces]
+            found = [known[p] if p in known else once[p] for p in pieces] if once else [known[p] for p in pieces]
             if not found:
                 yield None
             elif None in found:  # judged as a whole: what one piece lacks another may have
-                yield aligned(*next(self.words.encode([" " + text])), self.words)
+                yield aligned([" " + text], self.words)[0]
             else:
                 told, n_a, n_b, groups, links, pairs = zip(*found, strict=True)
                 yield ";".join(told), sum(n_a), sum(n_b), sum(groups), sum(links), b"".join(pairs)

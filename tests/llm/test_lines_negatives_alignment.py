@@ -1,5 +1,6 @@
 """Operators 11, 12 and 13 against plain versions, on real and odd rows, and by their other ways."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -176,10 +177,11 @@ def plain_alignment(texts):
         ends = [dict(zip(np.cumsum([len(x) for _, x in side]).tolist(), (i for i, _ in side))) for side in (a, b)]
         common = sorted(ends[0].keys() & ends[1].keys())
         own = [(ends[0][c], ends[1][c]) for c in common]
-        groups, low = [], 0
-        for c in common:
-            groups.append("|".join(",".join(str(i) for e, i in side.items() if low < e <= c) for side in ends))
-            low = c
+        members = [[[], []] for _ in common]
+        for side in (0, 1):
+            for e, i in ends[side].items():
+                members[bisect.bisect_left(common, e)][side].append(str(i))
+        groups = ["|".join(map(",".join, m)) for m in members]
         links.append(own)
         out.append((len(a), len(b), len(common), len(own), hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
     counts = Counter(x for own in links for x in own)
@@ -228,6 +230,7 @@ def test_components_are_the_smallest_groups():
         n = rng.randrange(1, 30)
         a, b = (sorted({*rng.sample(range(1, n + 1), rng.randrange(n)), n}) for _ in range(2))
         common = sorted(set(a) & set(b))
-        got = op13.components(a, b)
-        assert [(a[x[-1]], b[y[-1]]) for x, y in got] == [(c, c) for c in common]
-        assert [i for x, _ in got for i in x] == list(range(len(a))) and [i for _, y in got for i in y] == list(range(len(b)))
+        of_a, of_b = (x.tolist() for x in op13.components(np.array(a), np.array(b)))
+        groups = [[[side[i] for i, x in enumerate(of) if x == name] for side, of in ((a, of_a), (b, of_b))] for name in sorted(set(of_a))]
+        assert set(of_a) == set(of_b) and [(x[-1], y[-1]) for x, y in groups] == [(c, c) for c in common]
+        assert of_a == sorted(of_a) and of_b == sorted(of_b)
