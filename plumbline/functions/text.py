@@ -1,7 +1,10 @@
-"""Text functions as column expressions (no Python in the plan)."""
+"""Text functions as column expressions (no Python in the plan but for ``composed``)."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,22 +106,61 @@ def raw_shingles(c: Column, n: int = C.SHINGLE_WORDS) -> Column:
     return bound(words(c), lambda w: F.array_distinct(_grams(w, n, F.greatest(F.size(w) - n + 1, F.lit(1)))))
 
 
+#: Words that may stand alone after a suspended hyphen at a line's end.
+CONJUNCTIONS = ("ve", "veya", "ile", "ya", "de", "da", "mi", "mı", "mu", "mü")
+
+
+def composed(c: Column) -> Column:
+    """NFC. Only texts with combining marks leave the JVM."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.coalesce(nfc(F.when(c.rlike(r"\p{M}"), c)), c)
+
+
 def clean_text(c: Column) -> Column:
-    """Invisible characters out, space variants to spaces, line ends to LF, wrapped words joined."""
-    c = F.regexp_replace(c, "[\u200b-\u200f\u00ad\ufeff]", "")
+    """Invisible characters out, space variants to spaces, NFC, line ends to LF, wrapped words joined, bullets to dashes.
+
+    A word at a line's end is joined with the next one unless that is a conjunction. Joining can make
+    another word of a conjunction, so it is done once more than conjunctions follow each other that way.
+    """
+    c = F.regexp_replace(c, "[\u200b-\u200f\u2060\u00ad\ufeff]", "")
     c = F.regexp_replace(c, "[\u00a0\u2000-\u200a\u202f\u3000]", " ")
-    c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.regexp_replace(c, r"(?<=\p{Ll})-\n(?!(?:ve|veya|ile|da|de)\b)(?=\p{Ll})", "")
-    return F.regexp_replace(c, "(?m)^[ \t]*[•▪●◦‣][ \t]*", "- ")
+    c = F.regexp_replace(composed(c), "\r\n?", "\n")
+    stays = "|".join(CONJUNCTIONS)
+    join = lambda t: F.regexp_replace(t, rf"(?<=\p{{Ll}})-\n(?!(?:{stays})(?!\p{{L}}))(?=\p{{Ll}})", "")
+    again = F.regexp_count(c, F.lit(rf"(?<!\p{{L}})(?:{stays})-\n"))
+    c = F.aggregate(F.sequence(F.lit(0), again), join(c), lambda t, _: join(t))
+    return F.regexp_replace(c, "(?m)^[ \t]*[•▪●◦‣⚫][ \t]*", "- ")
 
 
 def wording(c: Column) -> Column:
     """What stays when layout is ignored: quotes and dashes unified, white space and spaces before signs collapsed."""
-    c = F.regexp_replace(F.regexp_replace(c, "[“”„«»]", '"'), "[‘’]", "'")
-    c = F.regexp_replace(F.regexp_replace(c, "[–—−]", "-"), r"\s+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "[“”„‟«»]", '"'), "[‘’`´]", "'")
+    c = F.regexp_replace(F.regexp_replace(c, "[–—−‐‑]", "-"), r"\s+", " ")
     return F.trim(F.regexp_replace(c, r" ([,.;:!?)])", "$1"))
 
 
+def without_markers(c: Column, numbers: Column) -> Column:
+    """A text without the footnote markers of the given ``numbers`` (an array of int): in brackets, or glued to a word's or sentence's end.
+
+    Other digits stay, so a changed cross reference is a change. Glued markers may follow each other.
+    """
+    either = F.concat(F.lit("(?:"), F.array_join(numbers.cast("array<string>"), "|"), F.lit(")"))
+    bracketed = F.concat(F.lit(r"(?<=[^\s(])[ \t]*\("), either, F.lit(r"\)(?=\s|$|\()"))
+    glued = F.concat(F.lit(r"(?<=[^\s\p{N}_(/\-])"), either, F.lit(r"+(?=\s|$)"))
+    return F.when(F.coalesce(F.size(numbers), F.lit(0)) > 0, F.regexp_replace(F.regexp_replace(c, bracketed, F.lit("")), glued, F.lit(""))).otherwise(c)
+
+
+def canonical_ref(c: Column) -> Column:
+    """A reference as it is compared: Turkish lower case, without dates, the court's name and signs at its end."""
+    text = F.regexp_replace(lower_tr(c), r"(?<!\d)\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)", " ")
+    text = F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("yargıtay "), F.lit(""))
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"^[ ,;.]+|[ ,;.]+$", "")
+
+
 def content_hash(header: Column, text: Column) -> Column:
     return F.sha2(F.when(F.length(header) > 0, F.concat(header, F.lit("\n\n"), text)).otherwise(text), 256)
 

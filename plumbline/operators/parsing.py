@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import config as C
+from plumbline.functions.text import lower_tr, wording
+
 # The marks that tell layouts and types apart, in the order in which they are tried.
 LAYOUTS = (
     ("new_template", r"(?m)^[ \t]*(?:I\.[ \t]*DAVA|V\.[ \t]*GEREKÇE|VI\.[ \t]*KARAR)(?![\p{L}\p{N}])"),
@@ -230,8 +233,6 @@ def word_changes(a: str, b: str) -> int:
 
 def compared(df: DataFrame, old: str, new: str, uncertain: int = 2) -> DataFrame:
     """df and ``change``: unchanged (same wording), changed, or uncertain (a few words differ)."""
-    from plumbline.functions.text import wording
-
     @F.pandas_udf("int")
     def differing(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([word_changes(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -265,6 +266,10 @@ def linked_versions(old: DataFrame, current: DataFrame, keys: list[str], row: st
 
 
 def stated_dates(question: Column, day: Column) -> Column:
-    """Whether a date literally stands in a text, as d.m.yyyy, dd.mm.yyyy or d/m/yyyy."""
+    """Whether a date literally stands in a text, as d.m.yyyy, dd.mm.yyyy, d/m/yyyy or with its month's name."""
     spelled = [F.date_format(day, p) for p in ("d.M.yyyy", "dd.MM.yyyy", "d/M/yyyy")]
-    return spelled[0].isNotNull() & (question.contains(spelled[0]) | question.contains(spelled[1]) | question.contains(spelled[2]))
+    months = F.element_at(F.array(*map(F.lit, C.MONTHS)), F.month(day))
+    named = F.concat_ws(" ", F.dayofmonth(day).cast("string"), months, F.year(day).cast("string"))
+    plain = lower_tr(F.regexp_replace(question, r"\s+", " "))
+    whole = lambda s: F.regexp_count(plain, F.concat(F.lit(r"(?<!\d)"), F.regexp_replace(s, r"\.", r"\\."), F.lit(r"(?!\d)"))) > 0
+    return day.isNotNull() & (whole(spelled[0]) | whole(spelled[1]) | whole(spelled[2]) | whole(named))

@@ -37,6 +37,14 @@ class Index:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def frequencies(self) -> DataFrame:
+        """term, row, tf."""
+        return self.read().select("term", self.row, F.size("positions").cast("long").alias("tf"))
+
+    def lengths(self) -> DataFrame:
+        """row, words of the rows that have any."""
+        return self.spark.read.parquet(f"{self.path}-lengths")
+
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; the filter reaches the files' statistics."""
         return self.read().filter(F.col("term").isin(terms))
@@ -49,6 +57,7 @@ def write_index(df: DataFrame, row: str, text: str, by: list[str] | None = None,
     ordered = found.repartitionByRange(*(by or []), "term", row).sortWithinPartitions(*(by or []), "term", row)
     writer = ordered.write.partitionBy(*by) if by else ordered.write
     writer.parquet(path)
+    df.filter(F.col(row).isNotNull()).select(row, F.size(T.letter_tokens(F.col(text))).cast("long").alias("words")).filter("words > 0").groupBy(row).agg(F.sum("words").alias("words")).write.parquet(f"{path}-lengths")
     names = ["term", row, "positions", *(by or [])]
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     return Index(spark, path, row, by or [], ", ".join(f"`{n}` {kinds[n]}" for n in names))

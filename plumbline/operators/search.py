@@ -9,13 +9,8 @@ from plumbline import config as C
 from plumbline.functions import text as T
 
 
-def inverted_index(df: DataFrame, row: str, text: str) -> DataFrame:
-    """term, row, tf: built once, stored partitioned by term, and joined with queries."""
-    return df.select(row, F.explode(T.letter_tokens(F.col(text))).alias("term")).groupBy("term", row).agg(F.count("*").alias("tf"))
-
-
 def lexical_ranking(index: DataFrame, row: str, terms: list[str], n: int) -> DataFrame:
-    """The n rows with most occurrences of the OR-ed terms. The filter on ``term`` reaches the index."""
+    """The n rows with most occurrences of the OR-ed terms. ``index``: term, row, tf; the filter on ``term`` reaches it."""
     hits = index.filter(F.col("term").isin(terms)).groupBy(row).agg(F.sum("tf").alias("score"))
     return ranked(hits.orderBy(F.desc("score"), row).limit(n), "score", row)
 
@@ -27,7 +22,7 @@ def bm25_ranking(index: DataFrame, lengths: DataFrame, row: str, terms: list[str
     df_ = hits.groupBy("term").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.col("_mean")))
-    scored = hits.join(F.broadcast(df_), "term").join(lengths, row).crossJoin(F.broadcast(total)).groupBy(row).agg(F.sum(part).alias("score"))
+    scored = hits.join(F.broadcast(df_), "term").join(lengths, row).crossJoin(F.broadcast(total)).groupBy(row).agg(F.round(F.sum(part), 9).alias("score"))
     return ranked(scored.orderBy(F.desc("score"), row).limit(n), "score", row)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import query_terms
 from plumbline.operators import centroids as N
 from plumbline.operators import search as S
+from plumbline.plans.postings import index_of
 from plumbline.plans.registry import Tables, query
 
 QUESTION = "the thing of and with this"
@@ -22,7 +23,7 @@ _RRF = f"SELECT doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, ran
 
 
 def _lexical(t: Tables) -> DataFrame:
-    return S.lexical_ranking(S.inverted_index(t.documents, "doc_id", "text"), "doc_id", TERMS, S.candidate_budget(10))
+    return S.lexical_ranking(index_of(t).frequencies(), "doc_id", TERMS, S.candidate_budget(10))
 
 
 def _vector(t: Tables) -> DataFrame:
@@ -37,10 +38,15 @@ def lexical_rank(t: Tables) -> DataFrame:
     return _lexical(t).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\\p{L}+')) AS term FROM documents"
+
+
+@query(f"""WITH t AS ({_TOKENS}), l AS (SELECT doc_id, count(*) AS words FROM t GROUP BY 1), n AS (SELECT count(*) AS docs, avg(words) AS mean FROM l), h AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE list_contains({_LIST}, term) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
+s AS (SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / mean))), 9) AS score FROM h JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY 1)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY rank LIMIT 50""")
 def bm25_rank(t: Tables) -> DataFrame:
-    index = S.inverted_index(t.documents, "doc_id", "text")
-    return S.bm25_ranking(index, index.groupBy("doc_id").agg(F.sum("tf").alias("words")), "doc_id", TERMS, 50)
+    index = index_of(t)
+    return S.bm25_ranking(index.frequencies(), index.lengths(), "doc_id", TERMS, 50).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _ASKED = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9)"

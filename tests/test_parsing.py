@@ -90,3 +90,8 @@ def test_article_heads():
     text = "MADDE 1- Bir\n  Ek Madde 12/A – iki\nGEÇİCİ MADDE 3\t—üç\nMadde x - no\nMadde 5 no dash\nEk 6 - no\n Madde 7-\nSözMadde 8 - no\nMadde 9 / A - no"
     got = [(series + no, text[begin:].split("\n")[0]) for _, begin, series, no in P.article_heads(text)]
     assert got == [("1", "Bir"), ("Ek 12/A", "iki"), ("Geçici 3", "üç"), ("7", "")]
+
+
+def test_stated_dates_with_month_names(spark):
+    q = F.lit("15.3.2020 günü, 5  MAYIS 2021 ve 07.08.20190")
+    assert tuple(spark.range(1).select(*[P.stated_dates(q, F.lit(d).cast("date")) for d in ("2021-05-05", "2020-03-05", "2020-03-15", "2019-08-07", None)]).first()) == (True, False, True, False, False)
