@@ -1,9 +1,11 @@
 """Token-ID output: Arrow files of fixed-size-list batches, written and read as Spark jobs.
 
 A file holds one key range of documents: their ids (each document closed by the end id) run on
-through sequences of equal length, stored as ``fixed_size_list`` columns ``ids`` and ``mask`` (1, and 0
-on the padding of the last sequence; a byte each). The record batches are plain buffers, so a
-memory-mapped reader gets sequence i and its mask without copying. A second Arrow file beside it lists each document's place.
+through sequences of equal length, stored as a ``fixed_size_list`` column ``ids`` beside ``used``, how many
+ids of a sequence are no padding. The record batches are plain buffers, so a memory-mapped reader gets
+sequence i without copying. Its mask (1, and 0 on padding; a byte each) is a view of the file's one row
+of ones and zeros, a ``fixed_size_list`` of twice the length in a file of its own: a batch holds sequences
+of one use only, the padded last sequence is a batch by itself. A second Arrow file beside it lists each document's place.
 The manifest (one row per file) is a Parquet table that Spark commits: files of failed or
 speculative attempts are never in it.
 
@@ -86,7 +88,7 @@ class _SequenceWriter:
     def __init__(self, sink, length: int, vocab_size: int, per_batch: int = 256):
         self.kind, self.np_kind = _id_type(vocab_size)
         self.length, self.room, self.pending, self.held = length, length * per_batch, [], 0
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("used", pa.int32())])
         self.out, self.sequences = pa.ipc.new_file(sink, self.schema), 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -96,21 +98,34 @@ class _SequenceWriter:
             flat = np.concatenate(self.pending)
             whole = len(flat) // self.room * self.room
             for at in range(0, whole, self.room):
-                self._write(flat[at : at + self.room], self.room)
+                self._write(flat[at : at + self.room], self.length)
             self.pending, self.held = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, (np.arange(len(flat)) < used).astype(np.uint8))]
-        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
-        self.sequences += len(flat) // self.length
+        """Whole sequences, of which each has ``used`` ids."""
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length)
+        self.out.write_batch(pa.record_batch([ids, pa.array(np.full(len(ids), used, np.int32))], schema=self.schema))
+        self.sequences += len(ids)
 
     def close(self) -> None:
         if self.held:
             flat = np.concatenate(self.pending)
-            self._write(np.pad(flat, (0, -len(flat) % self.length)), len(flat))
+            whole = len(flat) // self.length * self.length
+            if whole:
+                self._write(flat[:whole], self.length)
+            if whole < len(flat):
+                self._write(np.pad(flat[whole:], (0, self.length - len(flat) + whole)), len(flat) - whole)
         self.out.close()
 
 
+def _write_masks(sink, length: int) -> None:
+    """One row of ``length`` ones and as many zeros: the mask of n used ids begins ``length - n`` in."""
+    row = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(np.array([1, 0], np.uint8), length)), 2 * length)
+    batch = pa.record_batch([row], names=["mask"])
+    with pa.ipc.new_file(sink, batch.schema) as out:
+        out.write_batch(batch)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, length: int = 2048, vocab_size: int = 50_257) -> DataFrame:
     """Write ``docs`` below ``path`` in ascending ``doc_id`` order; return the manifest."""
     spark = docs.sparkSession
@@ -139,6 +154,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if writer is not None:
             writer.close()
             sink.close()
+            with fs.open_output_stream(f"{root}/{name}.mask.arrow") as side:
+                _write_masks(side, length)
             with fs.open_output_stream(f"{root}/{name}.docs.arrow") as side, pa.ipc.new_file(side, index[0].schema) as out:
                 for x in index:
                     out.write_batch(x)
@@ -153,15 +170,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 def open_sequences(path: str, name: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
     """(ids by sequence, mask by sequence, document index) of one file; ids and masks are views of the map."""
     fs, root = _filesystem(path)
-    local = fs.type_name == "local"
-    source = pa.memory_map(f"{root}/{name}.arrow") if local else fs.open_input_file(f"{root}/{name}.arrow")
-    reader = pa.ipc.open_file(source)
+    opened = lambda kind: pa.ipc.open_file(pa.memory_map(f"{root}/{name}{kind}") if fs.type_name == "local" else fs.open_input_file(f"{root}/{name}{kind}"))
+    reader, ruler = opened(".arrow"), opened(".mask.arrow").get_batch(0).column("mask").flatten().to_numpy(zero_copy_only=True)
     ids, masks = [], []
     for i in range(reader.num_record_batches):
         batch = reader.get_batch(i)
         length = batch.schema.field("ids").type.list_size
         ids.append(batch.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(-1, length))
-        masks.append(batch.column("mask").flatten().to_numpy(zero_copy_only=True).reshape(-1, length))
+        begin = length - batch.column("used")[0].as_py()
+        masks.append(np.broadcast_to(ruler[begin : begin + length], ids[-1].shape))
     with fs.open_input_file(f"{root}/{name}.docs.arrow") as f:
         docs = pa.ipc.open_file(f).read_all()
     return ids, masks, docs
