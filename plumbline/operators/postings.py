@@ -1,27 +1,58 @@
 """A positional inverted index, cover-density ranking over it, and hybrid search below filters.
 
 The index is a stored table of postings (term, row, positions), cut into folders by the columns that
-searches filter by and sorted by term within them, so that a search reads the row groups of its own
+searches filter by and sorted by term within each file, so that a search reads the row groups of its own
 terms in the folders that its filters allow. It is written once and read by every search after that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions import text as T
 from plumbline.operators import search as S
-from plumbline.session import shared_dir
+from plumbline.session import attach, shared_dir
+
+
+#: Partitions that a term's postings are spread over by row, so that a term of every row is not one partition's.
+SPREAD = 16
 
 
 def postings(df: DataFrame, row: str, text: str, by: list[str] | None = None) -> DataFrame:
-    """term, row, positions (from 1, ascending) and ``by``. A null text has no postings, nor has a null row."""
-    tokens = df.filter(F.col(row).isNotNull()).select(row, *(by or []), F.posexplode(T.letter_tokens(F.col(text))).alias("_at", "term"))
-    return tokens.groupBy(*(by or []), "term", row).agg(F.sort_array(F.collect_list(F.col("_at") + 1)).alias("positions"))
+    """term, row, positions (from 1, ascending) and ``by``. A null text has no postings, nor has a null row.
+
+    A row's postings are made where its text is, by sorting the words of a batch: nothing is shuffled.
+    """
+    attach(df.sparkSession)
+    own = df.filter(F.col(row).isNotNull()).select(row, *(by or []), T.letter_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_tokens"))
+    kinds = dict(own.dtypes)
+    kept = [row, *(by or [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 500):
+                batch = whole.slice(low, 500)
+                lists = batch.column("_tokens")
+                counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                code, at = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                order = np.lexsort((code, at))  # stable: positions stay ascending
+                starts = np.flatnonzero(np.r_[True, (code[order][1:] != code[order][:-1]) | (at[order][1:] != at[order][:-1])]) if len(order) else np.zeros(0, np.int64)
+                rows = pa.array(at[order][starts])
+                terms = coded.dictionary.take(pa.array(code[order][starts]))
+                cuts = pa.array(np.append(starts, len(order)), pa.int32())
+                yield pa.record_batch([terms, *(batch.column(c).take(rows) for c in kept), pa.ListArray.from_arrays(cuts, pa.array(place[order], pa.int32()))], names=["term", *kept, "positions"])
+
+    return own.mapInArrow(run, "term string, " + "".join(f"`{c}` {kinds[c]}, " for c in kept) + "positions array<int>")
 
 
 @dataclass
@@ -51,10 +82,10 @@ class Index:
 
 
 def write_index(df: DataFrame, row: str, text: str, by: list[str] | None = None, path: str | None = None) -> Index:
-    """Write the index. Ranges go over term and row, so a term that every row holds is cut as well."""
+    """Write the index, each file sorted by term. Postings are shuffled once; a term's are spread over several files."""
     spark, path = df.sparkSession, path or shared_dir(df.sparkSession, "postings")
     found = postings(df, row, text, by)
-    ordered = found.repartitionByRange(*(by or []), "term", row).sortWithinPartitions(*(by or []), "term", row)
+    ordered = found.repartition("term", F.pmod(F.xxhash64(row), F.lit(SPREAD))).sortWithinPartitions(*(by or []), "term", row)
     writer = ordered.write.partitionBy(*by) if by else ordered.write
     writer.parquet(path)
     df.filter(F.col(row).isNotNull()).select(row, F.size(T.letter_tokens(F.col(text))).cast("long").alias("words")).filter("words > 0").groupBy(row).agg(F.sum("words").alias("words")).write.parquet(f"{path}-lengths")
