@@ -7,6 +7,7 @@ terms in the folders that its filters allow. It is written once and read by ever
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,37 +23,64 @@ from plumbline.operators import search as S
 from plumbline.session import attach, shared_dir
 
 
-#: Partitions that a term's postings are spread over by row, so that a term of every row is not one partition's.
-SPREAD = 16
+#: Buckets that a term's postings are spread over, so that a term of every row is not one bucket's; buckets of a
+#: partition; rows whose words are sorted together.
+SPREAD, BUCKETS, TOGETHER = 16, 4, 1_000
+
+
+def _postings(batch: pa.RecordBatch, kept: list[str]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """(term, ``kept`` and positions of each word of each row; the word's number and the row's number of each)."""
+    lists = batch.column("_tokens")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code, at = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    order = np.lexsort((code, at))  # stable: positions stay ascending
+    code, at = code[order], at[order]
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])]) if len(order) else np.zeros(0, np.int64)
+    terms = coded.dictionary.take(pa.array(code[starts], pa.int32()))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    rows = pa.array(at[starts], pa.int64())
+    found = pa.record_batch([terms, *(batch.column(c).take(rows) for c in kept), positions], names=["term", *kept, "positions"])
+    hashes = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()], np.int64)
+    return found, hashes[code[starts]] if len(starts) else starts, at[starts]
 
 
 def postings(df: DataFrame, row: str, text: str, by: list[str] | None = None) -> DataFrame:
-    """term, row, positions (from 1, ascending) and ``by``. A null text has no postings, nor has a null row.
+    """term, row, positions (from 1, ascending) and ``by``, each term's dealt to few partitions. A null text has no postings, nor has a null row.
 
-    A row's postings are made where its text is, by sorting the words of a batch: nothing is shuffled.
+    A row's postings are made where its text is, by sorting the words of a batch. They are shuffled once,
+    as compressed columns for each bucket of terms, which is a third of what they take as rows.
     """
-    attach(df.sparkSession)
+    spark = attach(df.sparkSession)
     own = df.filter(F.col(row).isNotNull()).select(row, *(by or []), T.letter_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_tokens"))
-    kinds = dict(own.dtypes)
-    kept = [row, *(by or [])]
+    kinds, kept = dict(own.dtypes), [row, *(by or [])]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * BUCKETS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                lists = batch.column("_tokens")
-                counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
-                code, at = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
-                place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-                order = np.lexsort((code, at))  # stable: positions stay ascending
-                starts = np.flatnonzero(np.r_[True, (code[order][1:] != code[order][:-1]) | (at[order][1:] != at[order][:-1])]) if len(order) else np.zeros(0, np.int64)
-                rows = pa.array(at[order][starts])
-                terms = coded.dictionary.take(pa.array(code[order][starts]))
-                cuts = pa.array(np.append(starts, len(order)), pa.int32())
-                yield pa.record_batch([terms, *(batch.column(c).take(rows) for c in kept), pa.ListArray.from_arrays(cuts, pa.array(place[order], pa.int32()))], names=["term", *kept, "positions"])
-
-    return own.mapInArrow(run, "term string, " + "".join(f"`{c}` {kinds[c]}, " for c in kept) + "positions array<int>")
+            for low in range(0, whole.num_rows, TOGETHER):
+                found, term, at = _postings(whole.slice(low, TOGETHER), kept)
+                bucket = (term + at % SPREAD) % buckets
+                order = np.argsort(bucket, kind="stable")
+                names, starts = np.unique(bucket[order], return_index=True)
+                blocks = []
+                for begin, end in zip(starts, np.append(starts[1:], len(order)), strict=True):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, found.schema, options=options) as out:
+                        out.write_batch(found.take(pa.array(order[begin:end])))
+                    blocks.append(sink.getvalue().to_pybytes())
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block"):
+                yield from pa.ipc.open_stream(block.as_buffer())
+
+    dealt = own.mapInArrow(pack, "bucket long, block binary").repartition(parts, "bucket")
+    return dealt.mapInArrow(unpack, "term string, " + "".join(f"`{c}` {kinds[c]}, " for c in kept) + "positions array<int>")
 
 
 @dataclass
@@ -85,7 +113,7 @@ def write_index(df: DataFrame, row: str, text: str, by: list[str] | None = None,
     """Write the index, each file sorted by term. Postings are shuffled once; a term's are spread over several files."""
     spark, path = df.sparkSession, path or shared_dir(df.sparkSession, "postings")
     found = postings(df, row, text, by)
-    ordered = found.repartition("term", F.pmod(F.xxhash64(row), F.lit(SPREAD))).sortWithinPartitions(*(by or []), "term", row)
+    ordered = found.sortWithinPartitions(*(by or []), "term", row)
     writer = ordered.write.partitionBy(*by) if by else ordered.write
     writer.parquet(path)
     df.filter(F.col(row).isNotNull()).select(row, F.size(T.letter_tokens(F.col(text))).cast("long").alias("words")).filter("words > 0").groupBy(row).agg(F.sum("words").alias("words")).write.parquet(f"{path}-lengths")
