@@ -38,6 +38,7 @@ def article_number(c: Column) -> Column:
     """'18', '18/A', 'Ek 2', 'Geçici 4', 'Geçici 79 (2)' of themselves or of aliases such as gecici-79-2; others only trimmed."""
     trimmed = F.trim(F.regexp_replace(c, r"\s+", " "))
     low = lower_tr(trimmed)
+    # Fixed values, patterns: the spellings of a series, a number, its letter and its part.
     series, number, letter, part = r"(?:(ek|ge[cç][iı]c[iı])[-_ ])?", r"(\d+)", "[-/]?([a-zçğıöşü])", r"[-_ ]?\((\d+)\)|[-_](\d+)"
     pattern = f"^{series}{number}(?:{letter}|{part})?$"
     at = lambda i: F.regexp_extract(low, pattern, i)

@@ -148,6 +148,7 @@ def without_markers(c: Column, numbers: Column) -> Column:
 
     Other digits stay, so a changed cross reference is a change. Glued markers may follow each other.
     """
+    # Fixed values, patterns: where a marker may stand.
     either = F.concat(F.lit("(?:"), F.array_join(numbers.cast("array<string>"), "|"), F.lit(")"))
     bracketed = F.concat(F.lit(r"(?<=[^\s(])[ \t]*\("), either, F.lit(r"\)(?=\s|$|\()"))
     glued = F.concat(F.lit(r"(?<=[^\s\p{N}_(/\-])"), either, F.lit(r"+(?=\s|$)"))

@@ -71,6 +71,7 @@ def _share(wanted: Column, hit: Column) -> Column:
     return F.coalesce(F.try_divide(hit, F.size(wanted)), F.lit(1.0)).cast("double")
 
 
+#: The names of the metrics.
 METRICS = ("schema", "status", "headline", "must_cite", "citation_validity", "must_ask", "must_not", "formal_mode", "disclaimer")
 
 

@@ -9,7 +9,7 @@ from plumbline import config as C
 from plumbline.functions import text as T
 from plumbline.functions.names import appeal_region, canonical_chamber
 
-#: The last year that the source does not hold, and how many older records are asked for to see whether that is so.
+#: The last year that the source does not hold, and how many older records are asked for to see whether that is so.
 OLD_YEAR, SAMPLE = 2009, 20
 
 
