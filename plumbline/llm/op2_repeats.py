@@ -14,8 +14,9 @@ share anchors; about every 35th byte begins a new *span*, the windows of one anc
    different spans. Only where several of them share an anchor can further windows be equal: at the
    edges of repeats and around edits.
 2. those spans' bytes are cut from the texts, which meet the list of them in groups of ids, and are
-   dealt out by anchor. Each group of anchors gets a suffix array, by prefix doubling up to
-   ``length`` bytes with ties in text order. The previous and the next smaller position of each
+   dealt out by anchor. A group of anchors is taken in parts of whole anchors, each of which gets a
+   suffix array (about 110 bytes of memory for each byte), by prefix doubling up to ``length`` bytes
+   with ties in text order. The previous and the next smaller position of each
    position in suffix order are its two candidates for an earlier match; the longer common prefix
    with either is its LPF, and a window whose LPF reaches ``length`` is a repeat.
 3. the repeats meet their documents, in groups of ids, and are cut out.
@@ -46,12 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, stored, table
+from plumbline.llm.common import give_back, ids_and_texts, stored, table, tidied
 from plumbline.llm.shingles import mixed
 
 LENGTH, GRAM = 100, 24
 TEXT_BYTES = 16 << 20  # bytes of text that a task looks at together, and that a group of ids holds
 SPANS, CONTEXT_BYTES = 400_000, 4 << 20  # spans, and span bytes, that a group should hold
+SUFFIX_BYTES, PARTS = 1 << 20, 256  # span bytes of a suffix array, unless a part has more; parts of a group
 HOT, HOT_SPANS, SAMPLE = 5_000, 1_000_000, 64
 PIECE = 4 << 20
 
@@ -240,6 +242,7 @@ def _settle_spans(hot: np.ndarray, groups: int):
         several = first & ((np.bincount(anchor, first)[anchor] > 1) | _is_in(h, hot))
         doc, start, n, h = doc[several], start[several], n[several], h[several]
         rows += _rows("open", _id_group(doc, groups), doc=doc, start=start, n=n, h=h)
+        give_back()
         return pd.DataFrame(passed + rows, columns=columns)
 
     return run
@@ -320,29 +323,44 @@ def _look_into(groups: int):
         rows = pdf[pdf["what"] == "mark"][columns].to_dict("records")
         contexts = pdf[pdf["what"] == "context"]
         if len(contexts):
-            doc, start, n = (np.concatenate([np.frombuffer(x, t) for x in contexts[c]]) for c, t in (("doc", "<i8"), ("start", "<i8"), ("n", "<i4")))
-            data, sizes = b"".join(contexts["s"]), n + LENGTH - 1
+            doc, start, n, part = (np.concatenate([np.frombuffer(x, t) for x in contexts[c]]) for c, t in (("doc", "<i8"), ("start", "<i8"), ("n", "<i4"), ("h", "u1")))
+            data, sizes = b"".join(contexts["s"]), (n + LENGTH - 1).astype(np.int64)
             begins = np.cumsum(sizes) - sizes
-            order = np.lexsort((start, doc))
-            once = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)]
-            order = order[once]
-            text = b"".join([data[begins[i] : begins[i] + sizes[i]] for i in order.tolist()])
-            again = np.flatnonzero(previous_factors(text, sizes[order]) >= LENGTH)
-            if len(again):
-                own = np.searchsorted(np.cumsum(sizes[order]), again, "right")
-                at = start[order][own] + again - (np.cumsum(sizes[order]) - sizes[order])[own]
-                rows += _mark_rows(*_runs(doc[order][own], at), groups)
+            order = np.lexsort((start, doc, part))
+            once = np.r_[True, (np.diff(part[order]) != 0) | (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)]
+            order, found = order[once], []
+            for low, high in _whole_parts(part[order], sizes[order]):
+                some = order[low:high]
+                text = b"".join([data[begins[i] : begins[i] + sizes[i]] for i in some.tolist()])
+                again = np.flatnonzero(previous_factors(text, sizes[some]) >= LENGTH)
+                ends = np.cumsum(sizes[some])
+                own = np.searchsorted(ends, again, "right")
+                found.append((doc[some][own], start[some][own] + again - (ends - sizes[some])[own]))
+            rows += _mark_rows(*_runs(*(np.concatenate(x) for x in zip(*found, strict=True))), groups)
         windows = pdf[pdf["what"] == "window"]
         if len(windows):
             doc, start = (np.concatenate([np.frombuffer(x, "<i8") for x in windows[c]]) for c in ("doc", "start"))
             hi, lo = _split(b"".join(windows["s"]))
             found, first = Spans(np.zeros(len(hi), np.uint64), hi, lo, doc, start, np.ones(len(hi), np.int64)).firsts()
             rows += _mark_rows(*_runs(found.columns[3][~first], found.columns[4][~first]), groups)
+        give_back()
         return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+def _whole_parts(part: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of whole parts, at most SUFFIX_BYTES where no part has more; parts stand in order."""
+    low = held = 0
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+    for at, size in zip(cuts, np.add.reduceat(sizes, cuts).tolist(), strict=True):
+        if held and held + size > SUFFIX_BYTES:
+            yield low, at
+            low, held = at, 0
+        held += size
+    yield low, len(part)
+
+
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Single windows as runs (doc, start, windows)."""
     order = np.lexsort((at, doc))
@@ -372,7 +390,7 @@ def find_repeats(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
                 rows.append({"what": "span", "bucket": b, "h": h[at].astype("<u8").tobytes(), "s": _joined(hi[at], lo[at]), "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
             yield _batch(rows)
 
-    settled = stored(docs.mapInArrow(deal, _ROWS).groupBy(F.col("bucket"), F.col("what")).applyInPandas(_settle_spans(hot, groups), _MARKS), "repeats")
+    settled = stored(docs.mapInArrow(tidied(deal), _ROWS).groupBy(F.col("bucket"), F.col("what")).applyInPandas(_settle_spans(hot, groups), _MARKS), "repeats")
 
     def cut_out(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         """The bytes of a group's spans to look into, dealt out by anchor."""
@@ -380,10 +398,10 @@ def find_repeats(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
         order = np.argsort(doc, kind="stable")
         doc, start, n, h = doc[order], start[order], n[order], h[order]
         at, slices = [], []
-        for own, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
+        for own, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
             low, high = np.searchsorted(doc, own), np.searchsorted(doc, own, "right")
             if low < high:
-                data = text.encode("utf-8", "surrogatepass")
+                data = text.as_py().encode("utf-8", "surrogatepass")
                 for i, a, m in zip(range(low, high), start[low:high].tolist(), n[low:high].tolist(), strict=True):
                     if a + m + LENGTH - 1 <= len(data):  # else the place is in another text of this id
                         at.append(i)
@@ -391,11 +409,14 @@ def find_repeats(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
         at = np.array(at, np.int64)
         doc, start, n, h = doc[at], start[at], n[at], h[at]
         is_hot, rows = _is_in(h, sent_hot.value), []
-        cold = np.flatnonzero(~is_hot)
-        for b, at in _by_bucket((mixed(h[cold]) % np.uint64(wide)).astype(np.int64)):
+        cold, spot = np.flatnonzero(~is_hot), mixed(h)
+        part = (spot // np.uint64(wide) % np.uint64(PARTS)).astype(np.uint8)  # an anchor's spans are in one part
+        for b, at in _by_bucket((spot[cold] % np.uint64(wide)).astype(np.int64)):
             at = cold[at]
-            rows.append({"what": "context", "bucket": b, "s": b"".join([slices[i] for i in at.tolist()]), "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
+            rows.append({"what": "context", "bucket": b, "h": part[at].tobytes(), "s": b"".join([slices[i] for i in at.tolist()]), "doc": doc[at].astype("<i8").tobytes(), "start": start[at].astype("<i8").tobytes(), "n": n[at].astype("<i4").tobytes()})
         rows += _hot_windows([(doc[i], start[i], slices[i]) for i in np.flatnonzero(is_hot).tolist()], wide, groups)
+        del slices, texts
+        give_back()
         return pa.Table.from_pylist(rows, schema=_SCHEMA)
 
     wanted = settled.filter("what = 'open'").groupBy("bucket")
@@ -413,7 +434,7 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
             spread = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 if i is None else i for i, t in zip(ids, batch.column("text").to_pylist(), strict=True)] if batch.column("doc_id").null_count else ids
             yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(_id_group(np.array(spread, np.int64), groups))], names=["doc_id", "text", "bucket"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, bucket long")
+    return docs.mapInArrow(tidied(run), "doc_id long, text string, bucket long")
 
 
 def _hot_windows(spans: list[tuple[int, int, bytes]], wide: int, groups: int) -> list[dict]:
@@ -458,7 +479,8 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, starts, ns = ids[order], starts[order], ns[order]
         rows, seen = [], set()
-        for doc, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
+        for doc, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
+            text = text.as_py()
             data, runs = text.encode("utf-8", "surrogatepass"), []
             if doc is not None:
                 if (doc, text) in seen:
@@ -472,6 +494,7 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
                 at = b
             kept = b"".join([*parts, data[at:]])
             rows.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *[kept] * keep_bytes))
+        give_back()
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,30 @@ def test_previous_factors_equal_naive(length):
     assert got.tolist() == naive_factors(texts, length)
 
 
+def test_suffix_arrays_are_made_of_parts_of_whole_anchors(monkeypatch):
+    rng, length = np.random.default_rng(5), op2_repeats.LENGTH
+    base = bytes(rng.integers(97, 123, 6_000, dtype=np.uint8))
+    texts = [base, *[base[:a] + b"#" + base[a:] for a in rng.integers(0, 6_000, 15).tolist()]]
+    rows = []
+    for doc, data in enumerate(texts):
+        h, start, n = op2_repeats.spans_of(data)
+        part = (op2_repeats.mixed(h) % np.uint64(256)).astype(np.uint8)
+        spans = b"".join(data[a : a + m + length - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True))
+        rows.append({"what": "context", "bucket": 0, "h": part.tobytes(), "s": spans, "doc": np.full(len(h), doc).tobytes(), "start": start.tobytes(), "n": n.astype("<i4").tobytes()})
+    sizes, plain = [], op2_repeats.previous_factors
+    monkeypatch.setattr(op2_repeats, "previous_factors", lambda text, n: sizes.append(len(text)) or plain(text, n))
+
+    def marks(most):
+        monkeypatch.setattr(op2_repeats, "SUFFIX_BYTES", most, raising=False)
+        sizes.clear()
+        out = op2_repeats._look_into(1)(pd.DataFrame(rows))
+        return [out[c].tolist() for c in ("doc", "start", "n")], list(sizes)
+
+    whole, parts = marks(1 << 30), marks(50_000)
+    assert len(whole[1]) == 1 and len(parts[1]) > 1 and max(parts[1]) <= 50_000
+    assert whole[0] == parts[0] and sum(parts[1]) == whole[1][0]
+
+
 def test_smaller_before_equals_a_stack():
     rng = np.random.default_rng(6)
     for x in (rng.permutation(300), np.arange(50), np.arange(50)[::-1].copy(), np.zeros(0, int)):
