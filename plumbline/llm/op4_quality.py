@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import ids_and_texts, memo, sliced, stored, table
+from plumbline.llm.common import ids_and_texts, memo, sliced, stored, table, tidied
 
 FIT_ROWS = 20_000
 #: A document is kept when the top grade is at least this likely.
@@ -168,7 +168,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, k: int = G
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("grade"), pa.array(found, pa.binary())], names=["grade", "buckets"])
 
-    sample = stored(ids_and_texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(run, "grade int, buckets binary").limit(rows), "rated")
+    sample = stored(ids_and_texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(tidied(run), "grade int, buckets binary").limit(rows), "rated")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((k, (1 << BITS) + 1), np.int32)  # the last place: documents of the grade
@@ -222,7 +222,7 @@ def kept_by(docs: DataFrame, model: OrdinalModel, least: float = KEEP) -> DataFr
             below = sent.value.at_most(sent.value.score([features(t or "") for t in batch.column("text").to_pylist()]))
             yield batch.filter(pa.array(1 - below[:, -1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, sliced, stored, table
+from plumbline.llm.common import ids_and_texts, joined, key_filter, memo, passes, sliced, stored, table, tidied
 from plumbline.llm.graph import components
 from plumbline.llm.shingles import MinHash, mixed, shingle_sets
 
@@ -64,7 +64,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 signatures.append(minhash.of(grams).tobytes() if len(grams) else b"")
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
-    return ids_and_texts(docs).mapInArrow(run, _SIGNED)
+    return ids_and_texts(docs).mapInArrow(tidied(run), _SIGNED)
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -88,12 +88,12 @@ def _keyed(classes: DataFrame) -> DataFrame:
     """doc, key: every key of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):  # 96 keys a row
             if batch.num_rows:
                 keys = chunk_keys(_symbols(batch.column("signature")))
                 yield pa.record_batch([pa.array(np.repeat(batch.column("doc").to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["doc", "key"])
 
-    return classes.select("doc", "signature").mapInArrow(run, "doc long, key long")
+    return classes.select("doc", "signature").mapInArrow(tidied(run), "doc long, key long")
 
 
 def blocked(rows: DataFrame, counts: DataFrame, group: str, row: str, blocks) -> DataFrame:
@@ -154,7 +154,7 @@ def candidate_forest(classes: DataFrame) -> DataFrame:
     keys = _keyed(classes)
     crowds = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowds")
     rows = blocked(keys, crowds, "key", "doc", F.ceil(F.col("n") / BLOCK)).join(classes.select("doc", "signature"), "doc")
-    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
+    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(tidied(span), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(passes(few.value, batch.column("at").to_numpy())))
             yield pa.record_batch([batch.column("doc_id"), pa.array([g.tobytes() for g in shingle_sets(batch.column("text"))], pa.binary())], names=["doc", "grams"])
 
-    return texts.withColumn("at", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
+    return texts.withColumn("at", F.xxhash64("doc_id")).mapInArrow(tidied(run), "doc long, grams binary")
 
 
 def confirmed_forest(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def confirmed_forest(docs: DataFrame, groups: DataFrame) -> DataFrame:
         for group in _groups(batches):
             yield _links(exact_links(group["doc"].to_pylist(), group["grams"].to_pylist()))
 
-    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(span, "a long, b long").distinct()
+    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(tidied(span), "a long, b long").distinct()
 
 
 def exact_links(docs: list[int], data: list[bytes]) -> list[tuple[int, int]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import ids_and_texts, memo, table
+from plumbline.llm.common import ids_and_texts, memo, table, tidied
 from plumbline.llm.tokens import PieceMemo
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -181,7 +181,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.record_batch(columns + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-    return ids_and_texts(docs).mapInArrow(run, OUT + ", ids binary" * keep_ids)
+    return ids_and_texts(docs).mapInArrow(tidied(run), OUT + ", ids binary" * keep_ids)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

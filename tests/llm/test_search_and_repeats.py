@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import op1_topk, op2_repeats, op5_near_duplicates
-from plumbline.llm.common import key_filter, passes
+from plumbline.llm.common import key_filter, passes, tidied
 from plumbline.llm.graph import components
 from plumbline.llm.queries import QUERIES
 from plumbline.llm.shingles import shingles
@@ -233,6 +233,17 @@ def test_pigeonhole():
         assert (keys[0] == keys[1]).any()
 
 
+def test_maps_give_memory_back_when_they_end_or_are_left(monkeypatch):
+    given = []
+    monkeypatch.setattr("plumbline.llm.common.give_back", lambda: given.append(1))
+    run = tidied(lambda batches: (x + 1 for x in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and len(given) == 1
+    left = run(iter([1, 2]))
+    assert next(left) == 2
+    left.close()
+    assert len(given) == 2
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
