@@ -246,8 +246,13 @@ def holds_quote(text: Column, quote: Column) -> Column:
 
 
 def number_key(c: Column) -> Column:
-    """YYYY/N of a case number, its division left out; anything else folded."""
-    return F.coalesce(case_number(c)[0], fold(c))
+    """YYYY/N of a case number of any length, its division and leading zeros left out; anything else folded.
+
+    A division is never taken for the number, whatever follows it.
+    """
+    pattern = r"(\d{4})\s*/\s*(?:\(\d+\)\s*)?(?:\d+\s*-\s*(?=\d))?+0*(\d+)(?!\w)"
+    part = lambda i: F.regexp_extract(c, pattern, i)
+    return F.when(part(1) != "", F.concat(part(1), F.lit("/"), part(2))).otherwise(fold(c))
 
 
 def progressive_forms(c: Column) -> Column:

@@ -107,3 +107,8 @@ def test_names_without_signs(spark):
     assert value(spark, T.name_key(F.lit("Rapor_v2 (son)"))) == "rapor v2 son"
     assert value(spark, T.stem_key(F.lit("KANUN-5510, ek.udf"))) == value(spark, T.stem_key(F.lit("Kanun 5510 (Ek).pdf"))) == "kanun 5510 ek"
     assert value(spark, T.name_key(F.lit("--- "))) == ""
+
+
+@pytest.mark.parametrize(("raw", "want"), [("2020/10-001234567", "2020/1234567"), ("2020/1234567", "2020/1234567"), ("2020/10-12a", "2020 10 12a"), ("2017 / 0345 (7)", "2017/345"), ("2017/(7) 12-345", "2017/345"), ("2017/12 - x", "2017/12")])
+def test_number_keys_of_any_length(spark, raw, want):
+    assert value(spark, T.number_key(F.lit(raw))) == want

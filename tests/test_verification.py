@@ -63,3 +63,13 @@ def test_old_records_are_skipped_while_a_sample_allows_it(spark):
     held = source.unionByName(spark.createDataFrame([("z", "2005/1", "2006/1", "9. HD", date(2006, 1, 1))], source.schema))
     assert not V.heuristic_holds(ours, held, "r")
     assert {r["r"]: r["outcome"] for r in V.verified(ours, held, texts, "r", skip_old=False).collect()}[1] == "verified"
+
+
+def test_numbers_of_seven_digits_are_matched(spark):
+    day = date(2015, 3, 4)
+    keys = "esas_no string, karar_no string, chamber string,"
+    ours = spark.createDataFrame([(i, f"2020/{i}", f"2020/{i}", "9. HD", None, day) for i in (999_999, 1_000_000, 1_000_001, 12_345_678)], f"r int, {keys} bam_region string, decision_date date")
+    official = [("a", "2020/10-00999999", "2020/999999", "9. HD", day), ("b", "2020/10-001000000", "2020/1000000", "9. HD", day), ("c", "2020/1000001", "2020/1000001", "9. HD", day), ("d", "2020 / 123 - 12345678", "2020/012345678", "9. HD", day)]
+    source = spark.createDataFrame(official, f"ref string, {keys} decision_date date")
+    got = {r["r"]: (r["verdict"], r["ref"], r["candidates"]) for r in V.field_vectors(ours, source, "r").collect()}
+    assert got == {999_999: ("verified", "a", 1), 1_000_000: ("verified", "b", 1), 1_000_001: ("verified", "c", 1), 12_345_678: ("verified", "d", 1)}
