@@ -169,3 +169,11 @@ def test_windows_hold_every_word_and_overlap_little():
         assert all(b - a <= most + overlap for a, b in ranges)
         starts = words.cuts(0, len(words), most)
         assert all(a in starts and b in starts for a, b in ranges)
+
+
+def test_duplicate_groups_of_empty_and_short_texts(spark):
+    rows = [(1, "e", ""), (2, "e", ""), (3, "s", "two words"), (4, "s", "two words"), (5, "m", ""), (6, "m", "two words"), (7, "n", None), (8, "n", None), (9, "n", ""), (10, None, ""), (11, None, "")]
+    df = spark.createDataFrame(rows, "id long, key string, text string").withColumn("day", F.lit("2020-01-01").cast("date"))
+    got = {r["id"]: (r["kind"], r["duplicate_of"]) for r in X.duplicate_groups(df, "key", "id", "text", "day").collect()}
+    other = ("different_text", None)
+    assert got == {1: ("same_text", None), 2: ("same_text", 1), 3: ("same_text", None), 4: ("same_text", 3), 5: other, 6: other, 7: other, 8: other, 9: other}
